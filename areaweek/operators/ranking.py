@@ -73,3 +73,22 @@ def top_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k
     """
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= k)
+
+
+def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], name: str = "quantile") -> DataFrame:
+    """Quantiles with linear interpolation, one row per point.
+
+    Only the two rows around each position leave the sorted frame.
+    """
+    clean = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    indexed = row_index(clean, [F.asc("_v")], "_i")
+    size = indexed.agg(F.count(F.lit(1)).alias("_n"))
+    spots = size.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("point"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("_pos")) for q in points])).alias("s")).select(
+        "s.point", "s._pos", F.explode(F.array_distinct(F.array(F.floor("s._pos"), F.ceil("s._pos")))).alias("_i")
+    )
+    # Two rows per requested point.
+    found = indexed.join(F.broadcast(spots), "_i")
+    share = F.col("_pos") - F.floor("_pos")
+    low = F.min_by("_v", "_i")
+    high = F.max_by("_v", "_i")
+    return found.groupBy("point").agg((low + F.max(share) * (high - low)).alias(name))

@@ -16,6 +16,10 @@ PARTS: dict[str, str] = {
     "incidents": "select "
     + fx.INCIDENT_SQL.format(event_class=fx.SMALL_CLASS_SQL, lga_code=fx.SMALL_CODE_SQL)
     + " from orders join customer on o_custkey = c_custkey",
+    "registry_l": f"select {fx.LARGE_REGISTRY_SQL} from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
+    "incidents_l": "select "
+    + fx.INCIDENT_SQL.format(event_class=fx.LARGE_CLASS_SQL, lga_code=fx.LARGE_CODE_SQL)
+    + " from orders join customer on o_custkey = c_custkey",
     "docs": """select concat('D', cast(doc_id as string)) as doc_id, source,
         date '1995-01-02' + cast(doc_id % 2400 as integer) as published_at,
         list_distinct([concat('U', lpad(cast(doc_id % 25 as string), 3, '0')), concat('U', lpad(cast((doc_id * 7) % 25 as string), 3, '0'))]) as lga_codes,
@@ -79,4 +83,6 @@ def compose(body: str, parts: dict[str, str] | None = None) -> str:
     visit(body)
     if not ordered:
         return body
-    return "with " + ",\n".join(f"{n} as ({known[n]})" for n in ordered) + "\n" + body
+    head = "with " + ",\n".join(f"{n} as ({known[n]})" for n in ordered)
+    own_with = body.lstrip().lower().startswith("with ")
+    return head + (",\n" + body.lstrip()[5:] if own_with else "\n" + body)
