@@ -57,6 +57,10 @@ class WeekRange:
         return (day >= F.lit(self.first).cast("date")) & (day < F.date_add(F.lit(self.last).cast("date"), 7))
 
 
+def shuffle_width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def is_class(name: str) -> Column:
     return F.col("event_class") == name
 
@@ -84,6 +88,31 @@ def weekly_actors(incidents: DataFrame) -> DataFrame:
     )
 
 
+def weekly_own(incidents: DataFrame, weeks: WeekRange, decay: float | None = None) -> DataFrame:
+    """Every own measure of a unit and week in one pass over the events.
+
+    With ``decay`` also the kernel mass the week's target events leave at the
+    start of the next week.
+    """
+    target = is_class(TARGET_CLASS)
+    measures = [
+        F.count_if(target).alias("events"),
+        F.sum(F.when(target, F.coalesce("fatalities", F.lit(0))).otherwise(0)).alias("fatalities"),
+        F.count_if(is_class(OPERATION_CLASS)).alias("operations"),
+        F.countDistinct(F.when(target, F.coalesce("actor_secondary", "actor_primary", F.lit("unknown")))).alias("actors"),
+    ]
+    if decay is not None:
+        age = 7 - F.datediff("event_date", week_start("event_date"))
+        measures.append(F.sum(F.when(target, F.exp(-decay * age)).otherwise(0.0)).alias("mass"))
+    seen = F.col("lga_code").isNotNull() & F.col("event_class").isin(TARGET_CLASS, OPERATION_CLASS) & weeks.contains(F.col("event_date"))
+    return incidents.where(seen).groupBy("lga_code", week_start("event_date").alias("week_start")).agg(*measures)
+
+
+def broadcast_within(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast only when the counted number of rows is below the limit."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def weekly_mentions(documents: DataFrame) -> DataFrame:
     """Reports naming each unit per week, and those that carry a ransom figure."""
     return (
@@ -159,8 +188,9 @@ def densify(facts: DataFrame, registry: DataFrame, measures: Sequence[str], week
     w = Window.partitionBy("lga_code").orderBy("week_index")
     whole = Window.partitionBy("lga_code")
     # Placed by unit once: the aggregate, the windows and every later lag window
-    # over the unit run inside this one exchange.
-    merged = padded.repartition("lga_code").groupBy("lga_code", "week_index").agg(
+    # over the unit run inside this one exchange. The count is explicit because the
+    # sparse rows grow many-fold after it, which a size-based merge cannot foresee.
+    merged = padded.repartition(shuffle_width(registry), "lga_code").groupBy("lga_code", "week_index").agg(
         *[F.sum(m).alias(m) for m in measures], *[F.max(c).alias(c) for c in carry], F.max("_known").alias("_known")
     )
     spans = merged.select(

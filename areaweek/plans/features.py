@@ -9,6 +9,7 @@ from ..operators import calendar as cal
 from ..operators import panel as p
 from ..operators import pointprocess as pp
 from ..schemas import FEATURE_LABELS
+from ..session import durable
 
 OWN = ("events", "fatalities", "operations", "actors")
 NEIGHBOUR = {"events": "nb_events", "fatalities": "nb_fatalities", "operations": "nb_operations", "actors": "nb_actors"}
@@ -20,18 +21,13 @@ def sparse_facts(
     documents: DataFrame | None = None, chatter: DataFrame | None = None, decay: float | None = None,
 ) -> DataFrame:
     """One sparse row per unit and week with any activity there or next door."""
-    own_parts = [p.weekly_events(incidents), p.weekly_actors(incidents)]
-    measures = list(OWN)
-    spread = dict(NEIGHBOUR)
+    measures, spread = list(OWN), dict(NEIGHBOUR)
     if decay is not None:
-        own_parts.append(pp.weekly_mass(incidents, weeks, decay))
         measures.append("mass")
         spread["mass"] = "nb_mass"
-    own = p.merge_facts(own_parts, measures, weeks)
-    known = own.join(registry.select("lga_code"), "lga_code", "left_semi")
-    around = p.neighbour_sums(known, adjacency, spread, keys=("week_index",))
-    parts = [own.withColumn("week_start", weeks.start_of(F.col("week_index"))),
-             around.withColumn("week_start", weeks.start_of(F.col("week_index")))]
+    own = p.weekly_own(incidents, weeks, decay)
+    inside = adjacency.join(registry.select(F.col("lga_code").alias("neighbour_code")), "neighbour_code", "left_semi")
+    parts = [own, p.neighbour_sums(own, inside, spread)]
     if documents is not None:
         parts.append(p.weekly_mentions(documents))
     if chatter is not None:
@@ -44,9 +40,13 @@ def build_panel(
     documents: DataFrame | None = None, chatter: DataFrame | None = None,
     hawkes: pp.HawkesParameters | None = None, baseline: str = "fit_window", fit_end: str | None = None,
 ) -> DataFrame:
-    """Every panel feature and the label, one row per unit and week."""
+    """Every panel feature and the label, one row per unit and week.
+
+    The sparse facts are written once: the state totals and the dense rows both
+    start from them, so the events themselves are scanned a single time.
+    """
     decay = hawkes.decay if hawkes else None
-    facts = sparse_facts(incidents, registry, adjacency, weeks, documents, chatter, decay)
+    facts = durable(sparse_facts(incidents, registry, adjacency, weeks, documents, chatter, decay))
     measures = [m for m in facts.columns if m not in ("lga_code", "week_index")]
 
     units = registry.select("lga_code", "lga_name", "state_name", "zone", "area_sqkm").join(p.degree(adjacency), "lga_code", "left")
@@ -87,7 +87,8 @@ def build_panel(
         wide = wide.select("*", *pp.intensity_columns(hawkes, F.col("base_rate"), F.col("_own_decay"), F.col("_nb_decay"))).drop(
             "base_rate", "_own_decay", "_nb_decay"
         )
-    states = p.state_features(facts, registry, weeks)
+    n_states = registry.select("state_name").distinct().count()
+    states = p.broadcast_within(p.state_features(facts, registry, weeks), n_states * weeks.count)
     # The calendar holds one row per week of the range, so its size is fixed by the range.
     calendar = cal.calendar_dimension(weeks.frame(incidents.sparkSession)).drop("cal_festival_name")
     return wide.join(states, ["state_name", "week_index"], "left").join(F.broadcast(calendar), "week_start", "left")
