@@ -133,7 +133,7 @@ def write_panel(panel: DataFrame, path: str) -> None:
 
 
 def read_panel(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def write_csv(table: DataFrame, path: str) -> None:

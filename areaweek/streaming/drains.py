@@ -41,6 +41,7 @@ def weekly_chatter_stream(posts: DataFrame, late_by: str = "14 days") -> DataFra
     week = F.window("posted_at", "7 days", "7 days", "4 days")
     return (
         posts.where(F.col("lga_code").isNotNull())
+        .withColumn("posted_at", F.col("posted_at").cast("timestamp"))
         .withWatermark("posted_at", late_by)
         .groupBy("lga_code", week.alias("w"))
         .agg(F.count(F.lit(1)).alias("volume"), F.max(F.greatest(F.coalesce("threat_score", F.lit(0.0)), F.lit(0.0))).alias("threat"))

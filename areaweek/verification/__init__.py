@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("panel_checks", "process_checks", "metric_checks", "product_checks", "text_checks", "spatial_checks")
+_AREAS = (
+    "panel_checks", "process_checks", "metric_checks", "product_checks", "text_checks", "spatial_checks", "ingest_checks", "model_checks",
+)
 
 
 def registered() -> dict:
