@@ -92,7 +92,7 @@ def _occurs() -> Column:
     after = F.substring(F.col("_context"), F.length(body) + 1, F.lit(1))
     tail_is_word = F.substring(F.col("surface"), F.length("surface"), F.lit(1)).rlike("[a-z0-9]")
     after_is_word = after.rlike("[a-z0-9]")
-    head_free = F.when(lead == 0, F.lit(True)).otherwise(F.regexp_extract(before, r"[a-z0-9][^a-z0-9]*$", 0) != "")
+    head_free = F.when(lead == 0, F.lit(True)).otherwise(F.substring(before, F.length(before) - lead, F.lit(1)).rlike("[a-z0-9]"))
     return F.col("_context").startswith(body) & led & head_free & (tail_is_word != after_is_word)
 
 

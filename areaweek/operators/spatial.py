@@ -84,6 +84,8 @@ def _radius_degrees(km, latitude: Column) -> tuple[Column, Column]:
 def _around(df: DataFrame, lat: str, lon: str, half_height: Column, half_width: Column, size) -> DataFrame:
     """Fan a row out to every cell that its box touches; columns wrap at the date line.
 
+    ``size`` must divide 360.
+
     A small margin keeps distances right at the edge of the box inside it.
     """
     columns = F.ceil(F.lit(360.0) / size).cast("long")
@@ -94,7 +96,6 @@ def _around(df: DataFrame, lat: str, lon: str, half_height: Column, half_width:
         F.array_distinct(
             F.transform(
                 _cells(F.col(lon) + 180 - half_width - margin, F.col(lon) + 180 + half_width + margin, size),
-                # One extra column on the wrap covers a last column narrower than the rest.
                 lambda c: F.pmod(c, columns),
             )
         )
@@ -170,7 +171,8 @@ def border_edges(edges: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-_LEVEL_SIZES = [0.05 * 2**i for i in range(14)]
+# Every size divides the full circle, so wrapped columns line up.
+_LEVEL_SIZES = [360 / 2**i for i in range(13, -1, -1)]
 
 
 def nearest_k(queries: DataFrame, registry: DataFrame, k: int) -> DataFrame:

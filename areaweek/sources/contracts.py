@@ -25,13 +25,13 @@ def check(rows: DataFrame, schema: T.StructType, defaults: dict | None = None, a
     typed, problems = [], []
     for field in schema.fields:
         raw = F.col(field.name) if field.name in rows.columns else F.lit(None)
-        if field.name in defaults:
-            raw = F.coalesce(raw, F.lit(defaults[field.name])) if field.name in rows.columns else F.lit(defaults[field.name])
         value = _typed(raw, field.dataType)
-        typed.append(value.alias(field.name))
         problems.append(F.when(raw.isNotNull() & value.isNull(), F.lit(f"{field.name}: wrong type")))
-        if not field.nullable:
+        if field.name in defaults:
+            value = F.when(raw.isNull(), F.lit(defaults[field.name]).cast(field.dataType)).otherwise(value)
+        elif not field.nullable:
             problems.append(F.when(raw.isNull(), F.lit(f"{field.name}: missing")))
+        typed.append(value.alias(field.name))
         if field.name in allowed:
             problems.append(F.when(value.isNotNull() & ~value.isin(*allowed[field.name]), F.lit(f"{field.name}: not an allowed value")))
     return rows.select(*typed, F.filter(F.array(*problems), lambda r: r.isNotNull()).alias(REASONS))
