@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.panel import WeekRange
+from .session import spread
 
 WEEKS = WeekRange("1995-01-02", "2001-07-30")
 CHATTER_WEEKS = WeekRange("2024-01-01", "2024-01-29")
@@ -110,6 +111,10 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return _table(self.spark, self.sf_dir, name)
 
+    @property
+    def long_texts(self) -> DataFrame:
+        return spread(self.table("documents").select("doc_id", "text", "source", "n_chars"))
+
     @property
     def registry(self) -> DataFrame:
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -177,7 +182,7 @@ class Domain:
     def sentences(self) -> DataFrame:
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         return (
-            self.table("lineitem")
+            spread(self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -66,53 +66,58 @@ VICTIM_PATTERN = rf"(?i)\b{_NUMBER}\s+(?:{PEOPLE})\b"
 FATALITY_PATTERN = rf"(?i)\b{_NUMBER}\s+(?:{PEOPLE})?\s*(?:{AUXILIARIES})?(?:{DEATH_VERBS})\b"
 
 
+_MARKER = "\ue000"
+_KEPT = set("abcdefghijklmnopqrstuvwxyz0123456789/'-")
+
+
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str, dict[str, str]]:
     """From Unicode data: (characters, replacements, multi-character expansions).
 
+    The first two form one character table: letters to their lower-case ASCII
+    form, everything else that has an ASCII form or is ASCII to a space.
     Characters past the replacements are combining marks and get deleted.
     """
     single: dict[str, str] = {}
     multi: dict[str, str] = {}
     marks: list[str] = []
-    for point in range(0x80, 0x10000):
+    for point in range(0x10000):
         if 0xD800 <= point <= 0xDFFF:
             continue
         ch = chr(point)
         if unicodedata.combining(ch):
             marks.append(ch)
             continue
-        folded = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if folded == ch:
-            continue
+        folded = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)).lower()
         if len(folded) == 1 and folded.isascii():
-            single[ch] = folded
-        elif len(folded) > 1 and folded.isascii() and point < 0x2200 or point in range(0xFB00, 0xFB07):
+            target = folded if folded in _KEPT else " "
+            if target != ch:
+                single[ch] = target
+        elif any(c in _KEPT for c in folded) and (point < 0x2200 or 0xFB00 <= point <= 0xFB06):
             multi[ch] = folded
     return "".join(single) + "".join(marks), "".join(single.values()), multi
 
 
-def fold_accents(text: Column) -> Column:
-    """Compatibility-fold to ASCII where a character has an ASCII form; drop combining marks."""
+def fold(text: Column) -> Column:
+    """Lower-case ASCII of every character that has such a form, spaces for the rest of ASCII."""
     source, target, multi = _folding()
-    kept = {c: f for c, f in multi.items() if any(x.isalnum() for x in f)}
-    # The expansions run only on the rare texts that hold such a character, and the
-    # table lookup only on texts that are not plain ASCII already.
-    pairs = F.array(*[F.struct(F.lit(ch).alias("ch"), F.lit(folded).alias("to")) for ch, folded in kept.items()])
+    # The table turns every character that needs an expansion into one marker, so a
+    # plain search for the marker finds the rare texts that take the long way.
+    first = F.translate(text, "".join(multi) + source, _MARKER * len(multi) + target)
+    pairs = F.array(*[F.struct(F.lit(ch).alias("ch"), F.lit(folded).alias("to")) for ch, folded in multi.items()])
     expanded = F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["ch"], p["to"]))
-    rare = text.rlike("[" + "".join(kept) + "]")
-    return (
-        F.when(text.rlike(r"^\p{ASCII}*+$"), text)
-        .when(rare, F.translate(expanded, source, target))
-        .otherwise(F.translate(text, source, target))
-    )
+    return F.when(F.contains(first, F.lit(_MARKER)), F.translate(expanded, source, target)).otherwise(first)
 
 
 def normalise(text) -> Column:
-    """Lower-case ASCII words, slashes, apostrophes and hyphens, single spaces."""
+    """Lower-case ASCII words, slashes, apostrophes and hyphens, single spaces.
+
+    One pass over a character table does most of the work; patterns only touch
+    leftover foreign characters and runs of spaces.
+    """
     column = F.col(text) if isinstance(text, str) else text
-    plain = F.lower(fold_accents(F.coalesce(column, F.lit(""))))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s/'-]", " "), r"\s+", " "))
+    plain = F.regexp_replace(fold(F.coalesce(column, F.lit(""))), r"[^\x00-\x7F]+", " ")
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def normalise_exact(text) -> Column:
@@ -186,11 +191,11 @@ def _hits(words: Column, terms: dict[str, float], negatable: bool) -> Column:
     placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     listed = F.filter(placed, lambda p: p["w"].isin(*terms))
     if negatable:
-        negations = F.array(*[F.lit(n) for n in NEGATIONS])
 
         def free(p: Column) -> Column:
-            start = F.greatest(p["i"] - NEGATION_REACH, F.lit(0))
-            return ~F.arrays_overlap(F.slice(words, start + 1, p["i"] - start), negations)
+            # Reading outside the array gives null, which counts as no negation.
+            back = [F.coalesce(F.get(words, p["i"] - k).isin(*NEGATIONS), F.lit(False)) for k in range(1, NEGATION_REACH + 1)]
+            return ~(back[0] | back[1] | back[2])
 
         listed = F.filter(listed, free)
     return F.transform(listed, lambda p: F.struct(p["w"].alias("term"), F.element_at(weights, p["w"]).alias("weight")))

@@ -59,23 +59,20 @@ def _keyed(surfaces: DataFrame) -> DataFrame:
 def mentions(texts: DataFrame, surfaces: DataFrame, text_id: str = "text_id", normalised: str = "norm") -> DataFrame:
     """(text_id, surface): surfaces that occur with word boundaries on both sides."""
     keyed = _keyed(surfaces.select("surface").distinct())
-    # One row: the most words and the longest lead of any surface.
-    longest = keyed.agg(
-        F.coalesce(F.max(F.size(F.split("surface", _WORD_START)) + 1), F.lit(1)).alias("_words")
-    )
+    # A single number from the names: the most words of any surface.
+    most = keyed.agg(F.max(F.size(F.split("surface", _WORD_START)) + 1)).first()[0] or 1
     text = F.col(normalised)
-    pieces = texts.select(
-        text_id, F.split(text, _WORD_START).alias("_pieces"), F.split(text, _GAP).alias("_heads")
-    ).crossJoin(F.broadcast(longest))
+    pieces = texts.select(text_id, F.split(text, _WORD_START).alias("_pieces"), F.split(text, _GAP).alias("_heads"))
     # Pieces and heads line up: both start a new element at every word, and a text
     # that opens with a separator gives both an element without a word. The
-    # stretches are cut before the generator, so a word row holds only its own.
+    # stretches are cut before the generator, so a word row holds only its own, and
+    # each is read by position, so the cost grows with the words and not their square.
     stretches = F.transform(
         "_pieces",
         lambda piece, at: F.struct(
             F.get("_heads", at).alias("first_word"),
             F.get("_pieces", at - 1).alias("_before"),
-            F.array_join(F.slice("_pieces", at + 1, F.col("_words")), "").alias("_context"),
+            F.concat(*[F.coalesce(F.get("_pieces", at + k), F.lit("")) for k in range(most)]).alias("_context"),
         ),
     )
     words = pieces.select(text_id, F.explode(stretches).alias("s")).select(text_id, "s.*").where(F.col("first_word") != "")

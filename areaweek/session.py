@@ -49,3 +49,14 @@ def durable(df: DataFrame) -> DataFrame:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, for written tables and topics."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core on a scan that comes in fewer pieces than there are cores.
+
+    Meant for tables of long texts, where the work per row is large. A big table
+    already has more scan tasks than cores and is returned unchanged, so its
+    texts are never shuffled. ``scan`` must be a plain table read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

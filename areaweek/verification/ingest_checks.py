@@ -307,7 +307,7 @@ def n2(spark, sf):
 )
 def n3(spark, sf):
     d = Domain(spark, sf)
-    docs = d.table("documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("text_id"), "text")
+    docs = d.long_texts.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("text_id"), "text")
     posts = d.sentences.unionByName(docs).select(
         F.lit("forum").alias("platform"), F.lit("2024-01-05T10:00:00").alias("posted_at"), F.col("text").alias("body"),
         F.concat(F.lit("https://posts.example/"), "text_id").alias("url"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import Domain
 from ..functions import text as tx
 from ..operators import places as pl
+from ..session import spread
 from ..sources import pages as pg
 from .panel_checks import r6
 from .sql import compose
@@ -86,7 +87,7 @@ def query(name: str, sql: str | None = None):
 def texts(spark, sf):
     """Report-like sentences from the order lines, and every document in full."""
     d = Domain(spark, sf)
-    docs = d.table("documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("text_id"), "text")
+    docs = d.long_texts.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("text_id"), "text")
     return d.sentences.unionByName(docs)
 
 
@@ -190,11 +191,11 @@ KEYWORDS = ("th", "ent", "ción")
 
 @query("s6_page_text", f"select page_id, trim(regexp_replace({_ENT.format(c=_PLAIN)}, '\\s+', ' ', 'g')) as text from pages")
 def s6(spark, sf):
-    return pg.page_text(Domain(spark, sf).table("pages"))
+    return pg.page_text(spread(Domain(spark, sf).table("pages")))
 
 
 def s5(spark, sf):
-    links = pg.page_links(Domain(spark, sf).table("pages"))
+    links = pg.page_links(spread(Domain(spark, sf).table("pages")))
     return pg.select_links(links, keywords=KEYWORDS)
 
 
