@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import durable
 from .ranking import top_in_group
 
 # Confidences, shortest surface, direction words and extra state names.
@@ -96,11 +97,11 @@ def _occurs() -> Column:
 def all_mentions(texts: DataFrame, registry: DataFrame, text_id: str = "text_id", normalised: str = "norm") -> DataFrame:
     """Mentions of unit and state surfaces in one pass over the texts.
 
-    Units and states both read this frame; its last step is an exchange, which
-    Spark runs once and shares between them.
+    Units and states both read this frame several times. It is small next to the
+    texts, so it is written once and the texts are read a single time.
     """
     surfaces = gazetteer(registry).select("surface").unionByName(state_surfaces(registry).select("surface"))
-    return mentions(texts, surfaces, text_id, normalised)
+    return durable(mentions(texts, surfaces, text_id, normalised))
 
 
 def find_states(seen: DataFrame, registry: DataFrame, text_id: str = "text_id") -> DataFrame:

@@ -26,18 +26,18 @@ def build_session(master: str = "local[*]", name: str = "areaweek", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the configured checkpoint folder.
+    """Folder every executor can reach: the checkpoint folder the session names.
 
-    Only when the session names none (local runs and tests) is a fresh local
-    folder made and recorded in the session.
+    Only when neither the session nor its context has one (local runs and tests)
+    is a fresh local folder made and set on the context.
     """
-    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="areaweek-")
-        spark.conf.set(CHECKPOINT_KEY, configured)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
+    active = context._jsc.sc().getCheckpointDir()
+    if active.isEmpty():
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="areaweek-"))
+        active = context._jsc.sc().getCheckpointDir()
+    return configured or active.get()
 
 
 def durable(df: DataFrame) -> DataFrame:
