@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import INCIDENT_SQL, SMALL_CLASS_SQL, SMALL_CODE_SQL, WEEKS, Domain, _columns
+from ..fixtures import WEEKS, Domain, _columns
 from ..functions import identity as idn
 from ..operators import panel as p
 from ..operators import spatial as sp

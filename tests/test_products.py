@@ -210,7 +210,6 @@ def test_tree_attributions_are_shapley_values(spark):
         return total
 
     for unit, x in values.items():
-        # The booster's margin is twice the summed leaf values' half-margin scale used in its raw prediction.
         assert base + sum(got[unit].values()) == pytest.approx(margins[unit], abs=1e-9)
         for i, name in enumerate(names):
             brute = 0.0
