@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import warc
+from areaweek.llm import bpe, counts, mixing, secrets, warc
 from areaweek.llm.common import table
 from areaweek.session import work_path
 
@@ -18,5 +18,38 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_warc": op1_warc}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    return ids.select(
+        "doc_id", bpe.count(F.col("ids")).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), work_path(spark, "ledger"))
+    spans = secrets.written(F.col("spans"))
+    return found.select(
+        F.col("path").alias("doc_id"), *[secrets.counted(F.col("spans"), k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"),
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_path(spark, "counts")
+    changes = table(spark, sf_dir, "documents").select(F.lit("put").alias("op"), F.col("doc_id").alias("id"), "text", "source", "lang", F.lit(0).alias("seq"))
+    counts.commit(changes, root, "load")
+    counts.commit(changes, root, "load")  # a repeated commit changes nothing
+    return counts.totals(spark, root)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draws, rows = mixing.mix(table(spark, sf_dir, "documents"))
+    taken = draws.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    return rows.join(taken, "row_id", "left").select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    )
+
+
+QUERIES = {"op1_warc": op1_warc, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op8_mixing": op8_mixing}
 SQL: dict[str, str] = {}
