@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import bpe, counts, mixing, secrets, warc
+from areaweek.llm import bpe, counts, mixing, secrets, toxicity, warc
 from areaweek.llm.common import table
 from areaweek.session import work_path
 
@@ -51,5 +51,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_warc": op1_warc, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op8_mixing": op8_mixing}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return scorer.score(docs, F.col("text"), ["doc_id"]).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {"op1_warc": op1_warc, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op8_mixing": op8_mixing, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {}
