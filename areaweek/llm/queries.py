@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import bpe, counts, mixing, secrets, toxicity, warc
+from areaweek.llm import bpe, counts, mixing, neardup_vectors, neighbours, secrets, toxicity, warc
 from areaweek.llm.common import table
 from areaweek.session import work_path
 
@@ -18,6 +18,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "embeddings")
+    return neighbours.search(base, base.where("vec_id % 100 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
     return ids.select(
@@ -43,6 +48,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.totals(spark, root)
 
 
+def op7_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup_vectors.link(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws, rows = mixing.mix(table(spark, sf_dir, "documents"))
     taken = draws.groupBy("row_id").agg(F.sum("words").alias("taken"))
@@ -59,5 +71,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_warc": op1_warc, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op8_mixing": op8_mixing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_warc": op1_warc, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_vector_neardup": op7_vector_neardup, "op8_mixing": op8_mixing, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {}
