@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import bpe, counts, mixing, neardup_vectors, neighbours, secrets, toxicity, warc
+from areaweek.llm import bpe, counts, lines, mixing, neardup_vectors, neighbours, secrets, toxicity, warc
 from areaweek.llm.common import table
 from areaweek.session import work_path
 
@@ -63,6 +63,38 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+with places as (
+  select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as place, unnest(string_split(text, chr(10))) as line from documents where text is not null
+), firsts as (
+  select line, length(line) as n, min((doc_id, place)) as first from places where length(line) >= 30 group by line
+), halves as (
+  select line, first, n, shift from firsts, (values (0), (1)) s(shift)
+), longer as (
+  select line, first, n - shift as n, left(line, (n - shift) // 2) as head, right(line, n - shift - (n - shift) // 2) as tail from halves
+), met as (
+  select a.line as x, a.first as fx, b.line as y, b.first as fy from firsts a join longer b on a.n = b.n and left(a.line, a.n // 2) = b.head where a.line != b.line
+  union
+  select a.line, a.first, b.line, b.first from firsts a join longer b on a.n = b.n and right(a.line, a.n - a.n // 2) = b.tail where a.line != b.line
+), near as (
+  select distinct case when fx < fy then y else x end as line from met where levenshtein(x, y) <= 1
+), marked as (
+  select p.doc_id, p.place, p.line, length(p.line) >= 30 and (f.first != (p.doc_id, p.place) or n.line is not null) as gone
+  from places p left join firsts f on p.line = f.line left join near n on p.line = n.line
+)
+select d.doc_id, coalesce(m.n_lines, 0) as n_lines, coalesce(m.n_removed, 0) as n_removed,
+  case when d.text is not null then sha256(coalesce(m.kept, '')) end as kept_sha256
+from documents d left join (
+  select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_removed, string_agg(line, chr(10) order by place) filter (not gone) as kept
+  from marked group by doc_id
+) m using (doc_id)
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scorer = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -71,5 +103,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_vector_neardup": op7_vector_neardup, "op8_mixing": op8_mixing, "op10_toxicity": op10_toxicity}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_warc": op1_warc, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_vector_neardup": op7_vector_neardup, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity}
+SQL: dict[str, str] = {"op9_lines": OP9_SQL}
