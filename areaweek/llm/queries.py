@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import bpe, counts, lines, mixing, neardup_vectors, neighbours, secrets, toxicity, warc
+from areaweek.llm import bpe, counts, jaccard, lines, mixing, neardup_vectors, neighbours, secrets, toxicity, warc
 from areaweek.llm.common import table
 from areaweek.session import work_path
 
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "embeddings")
     return neighbours.search(base, base.where("vec_id % 100 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -103,5 +107,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_vector_neardup": op7_vector_neardup, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_warc": op1_warc, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_vector_neardup": op7_vector_neardup, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {"op9_lines": OP9_SQL}
