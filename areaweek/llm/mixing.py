@@ -13,7 +13,7 @@ Only per-source totals reach the driver, at most ``max_sources`` of them.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -81,6 +81,15 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def row_key(source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart; equal rows share it."""
+    return F.xxhash64(F.col(id_col), F.xxhash64(_text(text_col)), F.col(source_col).cast("string"))
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
 def mix(
     docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_words: int | None = BLOCK_WORDS,
     weights: tuple[float, ...] = WEIGHTS, most: int = MAX_REPEATS, shards: int = 64, seed: int = 7, max_sources: int = 100_000,
@@ -100,10 +109,11 @@ def mix(
     """
     source = F.col(source_col).cast("string")
     sized = docs.select(
-        F.col(id_col).alias("id"), source.alias("source"), F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("mark"),
+        F.col(id_col).alias("id"), source.alias("source"), F.regexp_count(_text(text_col), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(_text(text_col)).alias("mark"),
     )
     twin = Window.partitionBy("id", "mark", "source").orderBy(F.lit(0))
+    sized = sized.withColumn("key", F.xxhash64("id", "mark", "source"))
     rows = stored(sized.withColumn("twin", F.row_number().over(twin)).withColumn("row_id", F.xxhash64("id", "mark", "source", "twin")), "sizes")
     length = F.col("size") if block_words is None else F.lit(block_words).cast("long")
     blocks = rows.where("size > 0").select(
@@ -148,4 +158,4 @@ def mix(
         "row_id", "block", "first_word", "words", "pass", F.size(F.filter("ends", lambda end: end <= at)).alias("shard"),
         F.xxhash64(F.lit(seed + 1), "key", "pass").alias("place"),
     )
-    return draws, rows.alias("b").join(F.broadcast(plan.alias("g")), same("b", "g")).select("row_id", "id", F.col("b.source").alias("source"), "size", "source_size", "target")
+    return draws, rows.alias("b").join(F.broadcast(plan.alias("g")), same("b", "g")).select("row_id", "b.key", "id", F.col("b.source").alias("source"), "size", "source_size", "target")
