@@ -12,9 +12,9 @@ see often, the sums order the frequent ones last. The table of these is bounded
 share of all n-grams that each must hold; it sets an order and decides no result.
 
 Equal sets are one class from the start. What is wanted is connectedness, so lists are
-first searched against one member each, in a few rounds; lists that are in one
-component by then are done, and only pairs from different components of a list are
-searched in full. No list is collected in a task: lists stream in sorted order.
+first searched against one member each, in rounds; lists that are in one component by
+then are done, and all pairs from different components of a list are searched in full
+at the end. No list is collected in a task: lists stream in sorted order.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ WORDS, PERCENT = 5, 75
 _REPORT, _PARTS = 4, 1_000_000
 #: The short lists of a set of n n-grams meet each partner 1 + n / 20 times at least.
 _EXTRA = 20
-_ROUNDS = 2
+#: Sets checked against one copy of their common partner.
+_GROUP = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,17 +77,16 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def short_part(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int]:
-    """The tokens whose lists are built, and how often they meet each partner at least."""
+def short_part(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The tokens whose lists are built: they meet a partner of ``m`` tokens in 1 + min(n, m) / 20 places at least."""
     n = len(tokens)
-    meet = 1 + n // _EXTRA
-    keep = n - required(n, percent) + meet
+    keep = n - required(n, percent) + 1 + n // _EXTRA
     names, order = frequent
     if len(names):
         at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
         long = names[at] == tokens
         tokens = np.concatenate([tokens[~long], tokens[long][np.argsort(order[at[long]], kind="stable")]])
-    return tokens[:keep], meet
+    return tokens[:keep]
 
 
 def merge(lists: list[list[int]], need: dict[int, int]) -> list[tuple[int, int]]:
@@ -123,9 +123,20 @@ def _identity(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, in order: enough to tell the members of two sets apart."""
+    return (tokens.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(">i8").ravel().astype(np.int64)
+
+
 def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token and then by set, those whose token has more than one set, each once."""
-    names = ["token", "n", "id", "meet"]
+    names = ["token", "n", "id"]
     held, mated = None, False
     for batch in batches:
         rows = np.stack([_column(batch, c).astype(np.int64) for c in names])
@@ -209,61 +220,80 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
                 if not len(tokens) or (name := _identity(tokens)) in done:
                     continue
                 done.add(name)
-                short, meet = short_part(tokens, frequent.value, percent)
-                parts.append((short, len(tokens), name, meet))
+                parts.append((short_part(tokens, frequent.value, percent), len(tokens), name))
             if parts:
                 lengths = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([p[0] for p in parts])), *[pa.array(np.repeat(np.array([p[k] for p in parts], np.int64), lengths)) for k in (1, 2, 3)]], names=["token", "n", "id", "meet"]
+                    [pa.array(np.concatenate([p[0] for p in parts])), *[pa.array(np.repeat(np.array([p[k] for p in parts], np.int64), lengths)) for k in (1, 2)]], names=["token", "n", "id"]
                 )
 
-    lists = "token long, n long, id long, meet long"
+    lists = "token long, n long, id long"
     posted = rows.select("text").mapInArrow(post, lists).repartition("token").sortWithinPartitions("token", "id").mapInArrow(_mates, lists)
     posted = stored(posted, "lists")
+    # A set that meets others too rarely in all cannot have a partner.
+    least_met = 1 + F.floor(F.ceil(percent * F.col("n") / 100) / _EXTRA)
+    able = posted.groupBy("id").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= least_met)
+    posted = stored(posted.join(able.select("id"), "id", "left_semi"), "lists")
 
-    carriers = sizes.join(posted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc").alias("doc"))
+    carrying = sizes.join(able.select("id"), "id", "left_semi").groupBy("id").agg(F.min("doc").alias("carrier")).select("carrier").distinct()
+    wanted = rows.join(carrying, F.col("doc").eqNullSafe(F.col("carrier")), "left_semi")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [grams(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_identity(s) if len(s) else None for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"])
+            sets = {_identity(s): s for s in (grams(t, words) for t in batch.column("text").to_pylist()) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([_pack(s) for s in sets.values()], pa.binary())], names=["id", "tokens"])
 
-    # A repeated id may carry other texts too; only sets that are in the lists count, once each.
-    carrying = carriers.select(F.col("doc").alias("carrier")).distinct()
-    wanted = rows.join(carrying, F.col("doc").eqNullSafe(F.col("carrier")), "left_semi")
-    sets = stored(wanted.select("text").mapInArrow(gather, "id long, tokens array<long>").where("id is not null").dropDuplicates(["id"]), "grams")
+    # Where an id repeats, its other texts come along; they are in no candidate pair, and a set that comes twice gives the same link twice.
+    sets = stored(wanted.select("text").mapInArrow(gather, "id long, tokens binary"), "grams")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, first = None, np.array([])
         for batch in batches:
-            left, right = batch.column("a"), batch.column("b")
-            good = [
-                overlap(x := left[i].values.to_numpy(), y := right[i].values.to_numpy(), -(-percent * (len(x) + len(y)) // (100 + percent))) for i in range(batch.num_rows)
-            ]
-            yield batch.select(["q", "r"]).filter(pa.array(good, pa.bool_()))
+            found = []
+            for r, salt, leads, q, tokens in zip(*(batch.column(c).to_pylist() for c in ("r", "salt", "lead", "id", "tokens"))):
+                other = _unpack(tokens)
+                if leads:
+                    lead, first = (r, salt), other
+                elif lead == (r, salt) and overlap(first, other, -(-percent * (len(first) + len(other)) // (100 + percent))):
+                    found.append((r, q))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
 
     def links(candidates: DataFrame) -> DataFrame:
-        found = candidates.repartition("q").sortWithinPartitions("q", "token", "r").mapInArrow(_search, "q long, r long")
-        both = found.join(sets.select(F.col("id").alias("q"), F.col("tokens").alias("a")), "q").join(sets.select(F.col("id").alias("r"), F.col("tokens").alias("b")), "r")
-        return stored(both.select("q", "r", "a", "b").mapInArrow(verify, "q long, r long").select(F.col("q").alias("u"), F.col("r").alias("v")), "links")
+        """Search, then check each retained set against the sets that it was retained for, in salted groups led by the common one."""
+        found = stored(candidates.repartition("q").sortWithinPartitions("q", "token", "r").mapInArrow(_search, "q long, r long"), "candidates")
+        groups = found.groupBy("r").agg(F.ceil(F.count("*") / _GROUP).alias("salts"))
+        members = found.join(groups, "r").select(F.col("q").alias("id"), "r", F.pmod(F.xxhash64("q"), "salts").alias("salt"), F.lit(False).alias("lead"))
+        leads = groups.select(F.col("r").alias("id"), "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("lead"))
+        checked = members.unionByName(leads).join(sets, "id").select("r", "salt", "lead", "id", "tokens")
+        return stored(checked.repartition("r", "salt").sortWithinPartitions("r", "salt", F.desc("lead")).mapInArrow(verify, "u long, v long"), "links")
 
     alike = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    edges, roots = None, None
-    for turn in range(_ROUNDS + 1):
+    need = lambda a, b: 1 + F.floor(F.least(a, b) / _EXTRA)
+    edges = roots = open_pairs = None
+    turn = 0
+    while True:
         placed = posted if roots is None else posted.join(roots, "id", "left")
-        placed = placed.withColumn("root", F.col("id") if roots is None else F.coalesce("component", "id")).select("token", "n", "id", "meet", "root")
-        if turn < _ROUNDS:
+        placed = placed.withColumn("root", F.col("id") if roots is None else F.coalesce("component", "id")).select("token", "n", "id", "root")
+        parts = placed.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        before, open_pairs = open_pairs, parts.agg(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()[0] or 0
+        # Rounds against one member per list go on while they take off a good part of the pairs left; the full search follows.
+        full = turn > 0 and (open_pairs <= total or open_pairs > 0.7 * before)
+        if full:
+            left = placed.join(parts.where("own < k * k").select("token"), "token", "left_semi")
+            right = left.select("token", F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("root").alias("root2"))
+            met = left.join(right, "token").where((F.col("root") < F.col("root2")) & alike(F.col("n"), F.col("n2")))
+            candidates = met.select(F.col("id").alias("q"), "token", F.col("id2").alias("r"), need(F.col("n"), F.col("n2")).alias("need"))
+        else:
             pivots = placed.groupBy("token").agg(F.min_by(F.struct("id", "n", "root"), F.struct(F.xxhash64(F.lit(turn), "id"), "id")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
             met = placed.join(pivots.select("token", "p"), "token").where((F.col("root") != F.col("p.root")) & alike(F.col("n"), F.col("p.n")))
-            candidates = met.select(F.col("id").alias("q"), "token", F.col("p.id").alias("r"), F.lit(1).alias("need"))
-        else:
-            mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-            left = placed.join(mixed, "token", "left_semi")
-            right = left.select("token", F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("meet").alias("meet2"), F.col("root").alias("root2"))
-            met = left.join(right, "token").where((F.col("root") < F.col("root2")) & alike(F.col("n"), F.col("n2")))
-            candidates = met.select(F.col("id").alias("q"), "token", F.col("id2").alias("r"), F.least("meet", "meet2").alias("need"))
+            candidates = met.select(F.col("id").alias("q"), "token", F.col("p.id").alias("r"), need(F.col("n"), F.col("p.n")).alias("need"))
         new = links(candidates)
         edges = new if edges is None else edges.unionByName(new)
         roots = components(edges)
+        turn += 1
+        if full:
+            break
     whole = sizes.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id"))
     smallest = whole.where("root is not null").groupBy("root").agg(F.min("doc").alias("smallest"))
     return whole.select("doc", "n", "id", "root").join(smallest, "root", "left").select(
