@@ -33,7 +33,7 @@ from areaweek.llm.common import components, stored
 
 WORDS, PERCENT = 5, 75
 #: A frequent n-gram is reported by a task from this count on, and kept if it makes up one of so many parts of all n-grams.
-_REPORT, _PARTS = 4, 1_000_000
+_REPORT, _PARTS = 2, 4_000_000
 #: The short lists of a set of n n-grams meet each partner 1 + n / 20 times at least.
 _EXTRA = 20
 #: Sets checked against one copy of their common partner.
@@ -270,22 +270,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
     alike = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     need = lambda a, b: 1 + F.floor(F.least(a, b) / _EXTRA)
-    edges = roots = open_pairs = None
+    n_posted, edges, roots, open_pairs = posted.count(), None, None, None
     turn = 0
     while True:
         placed = posted if roots is None else posted.join(roots, "id", "left")
         placed = placed.withColumn("root", F.col("id") if roots is None else F.coalesce("component", "id")).select("token", "n", "id", "root")
         parts = placed.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
         before, open_pairs = open_pairs, parts.agg(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()[0] or 0
-        # Rounds against one member per list go on while they take off a good part of the pairs left; the full search follows.
-        full = turn > 0 and (open_pairs <= total or open_pairs > 0.7 * before)
+        # Rounds against one member per list, first the same for many lists and then of each list's own, go on while
+        # they take off a good part of the many pairs left; the full search follows.
+        full = turn > 0 and (open_pairs <= n_posted or open_pairs > 0.7 * before)
         if full:
             left = placed.join(parts.where("own < k * k").select("token"), "token", "left_semi")
             right = left.select("token", F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("root").alias("root2"))
             met = left.join(right, "token").where((F.col("root") < F.col("root2")) & alike(F.col("n"), F.col("n2")))
             candidates = met.select(F.col("id").alias("q"), "token", F.col("id2").alias("r"), need(F.col("n"), F.col("n2")).alias("need"))
         else:
-            pivots = placed.groupBy("token").agg(F.min_by(F.struct("id", "n", "root"), F.struct(F.xxhash64(F.lit(turn), "id"), "id")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+            pivots = placed.groupBy("token").agg(F.min_by(F.struct("id", "n", "root"), F.struct(F.xxhash64(*([F.lit(turn), "token"] if turn else []), "id"), "id")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
             met = placed.join(pivots.select("token", "p"), "token").where((F.col("root") != F.col("p.root")) & alike(F.col("n"), F.col("p.n")))
             candidates = met.select(F.col("id").alias("q"), "token", F.col("p.id").alias("r"), need(F.col("n"), F.col("p.n")).alias("need"))
         new = links(candidates)
