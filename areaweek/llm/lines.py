@@ -35,14 +35,14 @@ def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return [_key(line, *_segment(length, i, edits), length, i) for i in range(edits + 1)]
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of all lines at most ``edits`` shorter that may be within ``edits`` of this one.
+def probe_keys(line: Column, length: Column, edits: int, shortest: int | None = None) -> list[Column]:
+    """Keys of all lines at most ``edits`` (or ``shortest``) shorter that may be within ``edits`` of this one.
 
     If segment i is the first to match, the segments before it hold i edits at least,
     and those after it all the others but what is left; so only small shifts count.
     """
     keys = []
-    for shorter in range(edits + 1):
+    for shorter in range((edits if shortest is None else shortest) + 1):
         for i in range(edits + 1):
             start, width = _segment(length - shorter, i, edits)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
@@ -104,7 +104,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cha
     if min_chars <= 2 * edits + 1:
         raise ValueError("min_chars must leave a character for each segment")
     text = F.col(text_col).cast("string")
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"), F.struct("*").alias("doc"))
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"), F.struct("*").alias("doc")).withColumn("key", F.xxhash64("id", "mark"))
     broken = F.split("text", "\n", -1)
     places = docs.select("id", "mark", F.posexplode(broken).alias("place", "line")).withColumn("length", F.length("line")).where(F.col("length") >= min_chars)
     name = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
@@ -115,11 +115,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cha
         F.min("first").alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]
     )
     classes = stored(classes, "lines")
-    listed = lambda kind, n, side: classes.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.explode(F.array_distinct(F.array(*[F.col(f"{kind}{i}") for i in range(n)]))).alias("key"))
-    met = listed("p", len(probe), "a").join(listed("i", len(index), "b"), "key").where("a1 != b1 or a2 != b2")
-    ordered = met.select(
-        *[F.when(F.struct("a1", "a2") < F.struct("b1", "b2"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a1", "b1", "a1"), ("a2", "b2", "a2"), ("b1", "a1", "b1"), ("b2", "a2", "b2"))]
-    ).distinct()
+    def listed(kind: str, n: int, side: str, *more: Column) -> DataFrame:
+        each = F.array_distinct(F.array(*[F.struct(F.col(f"{kind}{i}").alias("key"), *[m(i) for m in more]) for i in range(n)]))
+        return classes.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.inline(each))
+
+    # The first probes look for equal lengths, where each pair would be met from both sides.
+    equal = len(probe_keys(F.col("line"), F.col("length"), edits, shortest=0))
+    probes = listed("p", len(probe), "a", lambda i: F.lit(i < equal).alias("equal"))
+    met = probes.join(listed("i", len(index), "b"), "key").where(F.when(F.col("equal"), F.struct("a1", "a2") < F.struct("b1", "b2")).otherwise(True))
+    ordered = met.select("a1", "a2", "b1", "b2").distinct()
     firsts = lambda side: classes.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.col("first").alias(f"{side}_first"))
     pairs = ordered.join(firsts("a"), ["a1", "a2"]).join(firsts("b"), ["b1", "b2"])
     later = F.when(F.col("a_first") < F.col("b_first"), F.lit(True)).otherwise(F.lit(False))
@@ -127,17 +131,17 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cha
         F.when(later, F.col("b1")).otherwise(F.col("a1")).alias("h1"), F.when(later, F.col("b2")).otherwise(F.col("a2")).alias("h2"),
         F.least("a_first", "b_first").alias("early"), F.greatest("a_first", "b_first").alias("late"),
     )
-    texts = docs.select("id", "mark", "text")
+    texts = docs.select("key", "text")
 
     def with_line(rows: DataFrame, side: str) -> DataFrame:
-        found = rows.alias("r").join(texts.dropDuplicates(["id", "mark"]).alias("t"), F.col(f"r.{side}.id").eqNullSafe(F.col("t.id")) & (F.col(f"r.{side}.mark") == F.col("t.mark")))
-        return found.select("r.*", F.get(broken, F.col(f"{side}.place")).alias(f"{side}_line"))
+        found = rows.withColumn("key", F.xxhash64(f"{side}.id", f"{side}.mark")).join(texts, "key")
+        return found.withColumn(f"{side}_line", F.get(broken, F.col(f"{side}.place"))).drop("key", "text")
 
     near = with_line(with_line(pairs, "early"), "late").where(within("early_line", "late_line", edits)).select("h1", "h2").distinct()
     repeated = classes.select("h1", "h2", "first", "n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("near or n > 1")
     here = places.select("id", "mark", "place", *name).join(repeated, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.struct("id", "mark", "place") != F.col("first")))
-    gone = stored(here.groupBy("id", "mark").agg(F.collect_set("place").alias("gone")), "removed")
-    whole = docs.alias("d").join(gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.mark") == F.col("g.mark")), "left").select("doc", "text", "gone")
+    gone = stored(here.groupBy(F.xxhash64("id", "mark").alias("key")).agg(F.collect_set("place").alias("gone")), "removed")
+    whole = docs.join(gone, "key", "left").select("doc", "text", "gone")
     lost = F.coalesce(F.size("gone"), F.lit(0))
     kept = F.when(lost == 0, F.col("text")).otherwise(F.array_join(F.filter(broken, lambda line, i: ~F.array_contains("gone", i)), "\n"))
     return whole.select("doc", F.coalesce(F.size(broken), F.lit(0)).cast("long").alias("n_lines"), lost.cast("long").alias("n_removed"), kept.alias("kept"))
