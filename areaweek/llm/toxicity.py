@@ -41,15 +41,15 @@ INSULTS = frozenset(
     "bastard bitch freak filth vermin idioten dummkopf arschloch abschaum imbécile crétin connard salaud idiota imbécil estúpido basura".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!*|_.\-]+[^\W\d_]+)+|[^\W\d_]*[0-9@$!|]+[^\W\d_]+")
+_SYMBOLS = re.compile(r"[0-9@$!*|]+")
 _LEET = str.maketrans("013457@$!|", "oieastasil", "*_.-")
-_RUNS = re.compile(r"([^\W\d_])\1{2,}")
+_EDGE = " \t\r\n,;:()\"'"
 _CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 _MARKS = re.compile(r"[!?]")
 _PUNCTUATION = re.compile(r"[^\w\s]")
 FEATURES = (
-    "insult_density", "word_density", "beginning_density", "log_hits", "densest_window", "masked_hit_density", "near_second", "second_density", "capitals", "shouted", "marks", "punctuation", "masked", "runs",
+    "insult_density", "word_density", "beginning_density", "log_hits", "densest_window", "masked_hit_density", "near_second", "second_density", "capitals", "shouted", "marks", "punctuation", "masked",
 )
 
 
@@ -59,19 +59,37 @@ def units(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in _BEGINNINGS if len(w) > n}
 
 
-def features(text: str, words: frozenset[str], beginnings: frozenset[str]) -> list[float]:
-    """The values of FEATURES for one whole text; all 0 for an empty one."""
+def masked_words(text: str) -> list[str]:
+    """Words with digits or symbols in the place of letters, in plain letters."""
+    out, last = [], 0
+    for m in _SYMBOLS.finditer(text):
+        a, b = m.span()
+        if a < last or b == len(text) or not text[b].isalpha() or (a and not text[a - 1].isalpha() and text[a - 1] not in _EDGE):
+            continue
+        while a and b - a < 40 and text[a - 1].isalpha():
+            a -= 1
+        while b < len(text) and b - a < 40 and (text[b].isalpha() or text[b] in "0123456789@$!*|"):
+            b += 1
+        out.append(text[a:b].lower().translate(_LEET))
+        last = b
+    return out
+
+
+def features(text: str, words: frozenset[str], beginnings: frozenset[str], marked: frozenset[str] | None = None, roots: frozenset[str] | None = None) -> list[float]:
+    """The values of FEATURES for one whole text; all 0 for an empty one. ``marked`` and ``roots``: unions that many texts share."""
     found = _WORD.findall(text.lower())
     n, letters = max(1, len(found)), max(1, len(text))
-    in_words = [i for i, w in enumerate(found) if w in words]
-    in_starts = [i for i, w in enumerate(found) if w[:4] in beginnings or w[:5] in beginnings or w[:6] in beginnings]
-    insults = [i for i, w in enumerate(found) if w in INSULTS]
+    marked = words | INSULTS | _SECOND if marked is None else marked
+    listed = [(i, w) for i, w in enumerate(found) if w in marked]
+    insults = [i for i, w in listed if w in INSULTS]
+    in_words = [i for i, w in listed if w in words]
+    second = [i for i, w in listed if w in _SECOND]
+    roots = frozenset(b[:4] for b in beginnings) if roots is None else roots
+    in_starts = [i for i, w in enumerate(found) if w[:4] in roots and (w[:4] in beginnings or w[:5] in beginnings or w[:6] in beginnings)]
     hits = sorted({*insults, *in_words, *in_starts})
-    second = [i for i, w in enumerate(found) if w in _SECOND]
-    masked = _MASKED.findall(text)
+    masked = masked_words(text)
     unmasked = 0
-    for token in masked:
-        plain = _RUNS.sub(r"\1", token.lower().translate(_LEET))
+    for plain in masked:
         unmasked += plain in INSULTS or plain in words or any(plain[:k] in beginnings for k in _BEGINNINGS)
     near = at = 0
     for i in hits:
@@ -86,7 +104,7 @@ def features(text: str, words: frozenset[str], beginnings: frozenset[str]) -> li
     rate = lambda pattern: len(pattern.findall(text)) / letters
     return [
         len(insults) / n, len(in_words) / n, len(in_starts) / n, math.log1p(len(hits)), densest / min(n, _WINDOW), unmasked / n, near / max(1, len(hits)), len(second) / n,
-        rate(_CAPITALS), len(_SHOUTED.findall(text)) / n, rate(_MARKS), rate(_PUNCTUATION), len(masked) / n, rate(_RUNS),
+        rate(_CAPITALS), len(_SHOUTED.findall(text)) / n, rate(_MARKS), rate(_PUNCTUATION), len(masked) / n,
     ]
 
 
@@ -110,8 +128,9 @@ def _featured(df: DataFrame, lexicons: list, keep: list[str]) -> DataFrame:
     schema = ", ".join([f"`{c}` {dict(df.dtypes)[c]}" for c in keep] + ["features array<double>"])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        full = [(words, starts, words | INSULTS | _SECOND, frozenset(b[:4] for b in starts)) for words, starts in shared.value]
         for part in parts:
-            values = [features(text, *shared.value[which]) for text, which in zip(part["text"], part["which"])]
+            values = [features(text, *full[which]) for text, which in zip(part["text"], part["which"])]
             yield part[keep].assign(features=values)
 
     return df.select(*keep, "text", "which").mapInPandas(run, schema)
