@@ -43,7 +43,7 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: float
                 out[i] = unit * share[i]
             break
         for i in full:
-            out[i] = most * sizes[i]
+            out[i] = float(most * sizes[i])
             left -= out[i]
         free -= full
     return out
