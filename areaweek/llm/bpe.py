@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MULTI_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces of at most this many characters are remembered, and so many of them per worker.
-_KEEP_CHARS, _KEEP_PIECES = 128, 1 << 20
+_KEEP_CHARS, _KEEP_PIECES = 128, 1 << 19
 #: A later character changes at most this many of the last pieces ("'v" + "e").
 _UNSETTLED = 2
 

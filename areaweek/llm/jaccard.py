@@ -45,7 +45,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         self[word] = code = xxhash.xxh3_64_intdigest(word)
         return code
