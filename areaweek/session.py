@@ -28,13 +28,16 @@ def build_session(master: str = "local[*]", name: str = "areaweek", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the checkpoint folder the session names.
 
-    Only when neither the session nor its context has one (local runs and tests)
-    is a fresh local folder made and set on the context.
+    Only when neither the session nor its context has one and Spark runs in this
+    process (local runs and tests) is a fresh local folder made and set on the
+    context; on a cluster that is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
     active = context._jsc.sc().getCheckpointDir()
     if active.isEmpty():
+        if not configured and not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="areaweek-"))
         active = context._jsc.sc().getCheckpointDir()
     return configured or active.get()
