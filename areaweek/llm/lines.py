@@ -6,9 +6,12 @@ segments are indexed under (length, segment number, substring) and longer or equ
 lines are looked up under the few substrings that could match. Candidates are checked
 by a bit-parallel edit distance that keeps only the band around the diagonal.
 
-Only hashes travel to find candidates. Texts are dealt out once, by document, for the
+Only hashes travel to find candidates. Texts are dealt out twice, by document: for the
 check and for the result. A frequent line is one class from the start; its places
-meet their class in a plain join, which adaptive execution splits.
+meet their class in a plain join, which adaptive execution splits. Where many lines
+share a segment, all its pairs would grow with their square. With one edit, such lines
+are therefore cut further, and meet only if they agree in all but one small part; in
+the end that part is one character. No pair is lost, as the edit is in some part.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from areaweek.llm.common import stored
 
 MIN_CHARS, EDITS = 30, 1
+#: With one edit, a key of so many lines makes no pairs: they meet again under this many parts of a line, and then under single characters.
+_CROWD, _PARTS = 8, 16
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -91,6 +96,56 @@ def within(a: str, b: str, edits: int) -> Column:
     return (gap <= edits) & F.when(gap <= edits, distance <= edits)
 
 
+def _tier_one(classes: DataFrame, n_index: int, n_probe: int, equal: int, edits: int) -> DataFrame:
+    """(h1, h2, key, role, start, stop) of the stored segment keys; the part outside the segment is [start, stop) of the shorter length.
+
+    Roles: "index", "equal" (looks for lines of its own length) and "longer" (looks for
+    shorter ones). ``start`` and ``stop`` are only meant for one edit and two segments.
+    """
+    half = lambda n, i: (F.when(F.lit(i == 0), F.floor(n / 2)).otherwise(F.lit(0)), F.when(F.lit(i == 0), n).otherwise(F.floor(n / 2)))
+
+    def row(name: str, role: str, n: Column, i: int) -> Column:
+        start, stop = half(n, i)
+        return F.struct(F.col(name).alias("key"), F.lit(role).alias("role"), start.cast("int").alias("start"), stop.cast("int").alias("stop"))
+
+    n, rows = F.col("length"), []
+    for i in range(n_index):
+        rows.append(row(f"i{i}", "index", n, i))
+    for i in range(n_probe):
+        rows.append(row(f"p{i}", "equal", n, i) if i < equal else row(f"p{i}", "longer", n - 1, (i - equal) % (edits + 1)))
+    return classes.select("h1", "h2", F.inline(F.array(*rows)))
+
+
+def _meet(keys: DataFrame, split: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a1, a2, b1, b2) that share a key, and the rows of crowded keys, which make no pairs here if ``split``."""
+    crowded = None
+    if split:
+        hot = stored(keys.where("role = 'index'").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= _CROWD).select("key"), "crowded")
+        crowded = stored(keys.join(hot, "key", "left_semi"), "crowded")
+        keys = keys.join(hot, "key", "left_anti")
+    side = lambda s, *more: [F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), "key", *more]
+    a, b = keys.where("role != 'index'").select(*side("a", "role")), keys.where("role = 'index'").select(*side("b"))
+    met = a.join(b, (a["key"] == b["key"]) & ((F.col("role") == "longer") | (F.struct("a1", "a2") < F.struct("b1", "b2"))))
+    return stored(met.select("a1", "a2", "b1", "b2").distinct(), "met"), crowded
+
+
+def _finer(crowded: DataFrame, lines: DataFrame, parts: Column | None) -> DataFrame:
+    """Rows like ``crowded`` for each smaller part of the line that may hold the one edit; all else must be equal.
+
+    The line is cut in ``parts`` (None: single characters). A part of a longer line has
+    one character more.
+    """
+    n = F.length("line") - (F.col("role") == "longer").cast("int")
+    of = n if parts is None else F.least(n, parts)
+    cut = lambda p: F.floor(p * n / of).cast("int")
+    rows = crowded.select("h1", "h2", "role", "start", "stop").distinct().join(lines.select("h1", "h2", "line"), ["h1", "h2"])
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), of - 1)).alias("part"))
+    each = each.withColumns({"from": cut(F.col("part")), "to": cut(F.col("part") + 1)}).where("from >= start and to <= stop")
+    after = F.col("to") + 1 + (F.col("role") == "longer").cast("int")
+    before, rest = F.col("line").substr(F.lit(1), F.col("from")), F.col("line").substr(after, F.length("line"))
+    return each.select("h1", "h2", F.xxhash64(n, "from", before, rest).alias("key"), "role", F.col("from").alias("start"), F.col("to").alias("stop"))
+
+
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """(doc, n_lines, n_removed, kept) per row: ``doc`` is the whole input row as a struct, ``kept`` its text without repeated lines.
 
@@ -104,44 +159,44 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cha
     if min_chars <= 2 * edits + 1:
         raise ValueError("min_chars must leave a character for each segment")
     text = F.col(text_col).cast("string")
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"), F.struct("*").alias("doc")).withColumn("key", F.xxhash64("id", "mark"))
+    every = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.struct("*").alias("doc")).withColumn("key", F.xxhash64("id", "mark"))
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     broken = F.split("text", "\n", -1)
     places = docs.select("id", "mark", F.posexplode(broken).alias("place", "line")).withColumn("length", F.length("line")).where(F.col("length") >= min_chars)
     name = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
     index, probe = index_keys(F.col("line"), F.col("length"), edits), probe_keys(F.col("line"), F.col("length"), edits)
     named = [k.alias(f"{kind}{i}") for kind, keys in (("i", index), ("p", probe)) for i, k in enumerate(keys)]
-    keys = [f"i{i}" for i in range(len(index))] + [f"p{i}" for i in range(len(probe))]
-    classes = places.select(*name, F.struct("id", "mark", "place").alias("first"), *named).groupBy("h1", "h2").agg(
-        F.min("first").alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]
+    classes = places.select(*name, F.struct("id", "mark", "place").alias("first"), "length", *named).groupBy("h1", "h2").agg(
+        F.min("first").alias("first"), F.count("*").alias("n"), F.min("length").alias("length"), *[F.min(k).alias(k) for k in [f"i{i}" for i in range(len(index))] + [f"p{i}" for i in range(len(probe))]]
     )
     classes = stored(classes, "lines")
-    def listed(kind: str, n: int, side: str, *more: Column) -> DataFrame:
-        each = F.array_distinct(F.array(*[F.struct(F.col(f"{kind}{i}").alias("key"), *[m(i) for m in more]) for i in range(n)]))
-        return classes.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.inline(each))
-
-    # The first probes look for equal lengths, where each pair would be met from both sides.
-    equal = len(probe_keys(F.col("line"), F.col("length"), edits, shortest=0))
-    probes = listed("p", len(probe), "a", lambda i: F.lit(i < equal).alias("equal"))
-    met = probes.join(listed("i", len(index), "b"), "key").where(F.when(F.col("equal"), F.struct("a1", "a2") < F.struct("b1", "b2")).otherwise(True))
-    ordered = met.select("a1", "a2", "b1", "b2").distinct()
-    firsts = lambda side: classes.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.col("first").alias(f"{side}_first"))
-    pairs = ordered.join(firsts("a"), ["a1", "a2"]).join(firsts("b"), ["b1", "b2"])
-    later = F.when(F.col("a_first") < F.col("b_first"), F.lit(True)).otherwise(F.lit(False))
-    pairs = pairs.select(
-        F.when(later, F.col("b1")).otherwise(F.col("a1")).alias("h1"), F.when(later, F.col("b2")).otherwise(F.col("a2")).alias("h2"),
-        F.least("a_first", "b_first").alias("early"), F.greatest("a_first", "b_first").alias("late"),
-    )
-    texts = docs.select("key", "text")
-
-    def with_line(rows: DataFrame, side: str) -> DataFrame:
-        found = rows.withColumn("key", F.xxhash64(f"{side}.id", f"{side}.mark")).join(texts, "key")
-        return found.withColumn(f"{side}_line", F.get(broken, F.col(f"{side}.place"))).drop("key", "text")
-
-    near = with_line(with_line(pairs, "early"), "late").where(within("early_line", "late_line", edits)).select("h1", "h2").distinct()
+    keys = _tier_one(classes, len(index), len(probe), equal=len(probe_keys(F.col("line"), F.col("length"), edits, shortest=0)), edits=edits)
+    pairs, crowded = _meet(keys, split=edits == 1)
+
+    # One fetch of texts serves the lines of all pairs and of all crowded keys.
+    sides = [pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")), pairs.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))]
+    asked = sides[0].unionByName(sides[1])
+    if crowded is not None:
+        asked = asked.unionByName(crowded.select("h1", "h2"))
+    asked = classes.select("h1", "h2", "first").join(asked.distinct(), ["h1", "h2"]).withColumn("key", F.xxhash64("first.id", "first.mark"))
+    texts = docs.select(F.xxhash64("id", "mark").alias("key"), "text")
+    lines = asked.join(texts, "key").select("h1", "h2", "first", F.get(broken, F.col("first.place")).alias("line")).dropDuplicates(["h1", "h2"])
+    lines = stored(lines, "asked")
+    for parts in (F.lit(_PARTS), None):
+        if crowded is None or crowded.isEmpty():
+            break
+        more, crowded = _meet(_finer(crowded, lines, parts), split=parts is not None)
+        pairs = pairs.unionByName(more)
+
+    side = lambda s: lines.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("first").alias(f"{s}_first"), F.col("line").alias(f"{s}_line"))
+    close = pairs.distinct().join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).where(within("a_line", "b_line", edits))
+    earlier = F.col("a_first") < F.col("b_first")
+    near = close.select(*[F.when(earlier, F.col(f"b{i}")).otherwise(F.col(f"a{i}")).alias(f"h{i}") for i in (1, 2)]).distinct()
     repeated = classes.select("h1", "h2", "first", "n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("near or n > 1")
     here = places.select("id", "mark", "place", *name).join(repeated, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.struct("id", "mark", "place") != F.col("first")))
     gone = stored(here.groupBy(F.xxhash64("id", "mark").alias("key")).agg(F.collect_set("place").alias("gone")), "removed")
-    whole = docs.join(gone, "key", "left").select("doc", "text", "gone")
+    # The text travels once, inside its row.
+    whole = every.select("key", "doc").join(gone, "key", "left").select("doc", F.col("doc").getField(text_col).cast("string").alias("text"), "gone")
     lost = F.coalesce(F.size("gone"), F.lit(0))
     kept = F.when(lost == 0, F.col("text")).otherwise(F.array_join(F.filter(broken, lambda line, i: ~F.array_contains("gone", i)), "\n"))
     return whole.select("doc", F.coalesce(F.size(broken), F.lit(0)).cast("long").alias("n_lines"), lost.cast("long").alias("n_removed"), kept.alias("kept"))

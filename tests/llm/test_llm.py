@@ -287,6 +287,21 @@ def test_line_dedup(spark, edits):
     assert lines.dedup(documents(spark, EMPTY)).count() == 0
 
 
+def test_crowded_lines(spark):
+    """Many variants of one line share its halves, its parts and all but one character."""
+    rng, line = random.Random(4), "the long line that all of these variants are made of, somewhere."
+    texts = {line, line[1:], line + "."}
+    while len(texts) < 150:
+        own = list(line)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.choice([3, 3, 31, 32, 33, 60, rng.randrange(len(own))])
+            own[at : at + rng.randrange(2)] = rng.choice(["", "q", "w", "x", "long", "e", "r", "t", "y", "u", "i"])
+        texts.add("".join(own))
+    order = rng.sample(sorted(texts), len(texts))
+    got = {r.doc_id: r.n_removed for r in lines.dedup(documents(spark, [(i, t, "en", "s") for i, t in enumerate(order)])).select("doc.doc_id", "n_removed").collect()}
+    assert got == {i: int(any(distance(o, t) <= 1 for o in order[:i])) for i, t in enumerate(order)}
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(8)
     rows, labels = [], []
