@@ -32,8 +32,11 @@ def zero_as_null(value) -> Column:
 
 
 def in_window(day: Column, since, until, keep_undated: bool = False) -> Column:
-    """Inclusive date window; undated rows pass only when asked for."""
-    inside = day.between(F.lit(since).cast("date"), F.lit(until).cast("date"))
+    """Inclusive date window, open where a bound is None; undated rows pass only when asked for."""
+    inside = day.isNotNull() if since is None else day >= F.lit(since).cast("date")
+    if until is not None:
+        inside = inside & (day <= F.lit(until).cast("date"))
+    inside = F.when(day.isNotNull(), inside)
     return F.coalesce(inside, F.lit(keep_undated))
 
 

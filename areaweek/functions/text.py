@@ -8,6 +8,7 @@ compatibility folding for texts outside the built-in table.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -55,15 +56,13 @@ PEOPLE = (
     r"miners?|vigilantes?|soldiers?|troops|officers?|police\w*|civilians?|"
     r"women|children|schoolgirls?|schoolboys?|others?|victims?"
 )
-DEATH_VERBS = r"killed|dead|died|slain|murdered|shot\s+dead|gunned\s+down"
-AUXILIARIES = r"were\s+|was\s+|have\s+been\s+|has\s+been\s+"
 NEGATION_REACH = 3
 TERMS_KEPT = 8
 TOKENS_PER_SCALE = 40.0
 
 _NUMBER = r"(\d{1,4}|" + "|".join(NUMBER_WORDS) + ")"
 VICTIM_PATTERN = rf"(?i)\b{_NUMBER}\s+(?:{PEOPLE})\b"
-FATALITY_PATTERN = rf"(?i)\b{_NUMBER}\s+(?:{PEOPLE})?\s*(?:{AUXILIARIES})?(?:{DEATH_VERBS})\b"
+FATALITY_PATTERN = rf"(?i)\b{_NUMBER}\s+(?:{PEOPLE})?\s*(?:were\s+|was\s+|have\s+been\s+|has\s+been\s+)?(?:killed|dead|died|slain|murdered|shot\s+dead|gunned\s+down)\b"
 
 
 _MARKER = "\ue000"
@@ -81,7 +80,7 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     single: dict[str, str] = {}
     multi: dict[str, str] = {}
     marks: list[str] = []
-    for point in range(0x10000):
+    for point in range(sys.maxunicode + 1):
         if 0xD800 <= point <= 0xDFFF:
             continue
         ch = chr(point)
@@ -93,7 +92,7 @@ def _folding() -> tuple[str, str, dict[str, str]]:
             target = folded if folded in _KEPT else " "
             if target != ch:
                 single[ch] = target
-        elif any(c in _KEPT for c in folded) and (point < 0x2200 or 0xFB00 <= point <= 0xFB06):
+        elif any(c in _KEPT for c in folded):
             multi[ch] = folded
     return "".join(single) + "".join(marks), "".join(single.values()), multi
 
@@ -104,8 +103,9 @@ def fold(text: Column) -> Column:
     # The table turns every character that needs an expansion into one marker, so a
     # plain search for the marker finds the rare texts that take the long way.
     first = F.translate(text, "".join(multi) + source, _MARKER * len(multi) + target)
-    pairs = F.array(*[F.struct(F.lit(ch).alias("ch"), F.lit(folded).alias("to")) for ch, folded in multi.items()])
-    expanded = F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["ch"], p["to"]))
+    # One literal, so that the plan stays small.
+    pairs = F.split(F.lit("\n".join(f"{ch}\t{folded}" for ch, folded in multi.items())), "\n")
+    expanded = F.aggregate(pairs, text, lambda acc, p: F.replace(acc, F.substring_index(p, "\t", 1), F.substring_index(p, "\t", -1)))
     return F.when(F.contains(first, F.lit(_MARKER)), F.translate(expanded, source, target)).otherwise(first)
 
 

@@ -131,9 +131,10 @@ def evaluate(scored: DataFrame, ks: Sequence[int] = HEADLINE_K) -> DataFrame:
 
 
 def baseline_scores(panel: DataFrame, models: dict[str, str]) -> DataFrame:
-    """Long form of score columns already in the panel, ``{model name: column}``."""
-    present = {m: c for m, c in models.items() if c in panel.columns}
-    entries = [F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("score")) for m, c in present.items()]
+    """Long form of score columns already in the panel, ``{model name: column}``; each must be there."""
+    if absent := sorted(set(models.values()) - set(panel.columns)):
+        raise ValueError(f"score columns are not in the panel: {', '.join(absent)}")
+    entries = [F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("score")) for m, c in models.items()]
     return panel.select("lga_code", "week_start", "label", F.explode(F.array(*entries)).alias("s")).select(
         "s.model", "week_start", "lga_code", "s.score", "label"
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import in_window, stable_id, tolerant_double, tolerant_int, wkt_point, zero_as_null
 from ..operators.places import extract_facts
-from ..operators.ranking import top_in_group
 from ..schemas import CHATTER, DOCUMENTS, INCIDENTS, OPERATION_CLASS, OTHER_CLASS, TARGET_CLASS
 
 # Class maps of the two event feeds.
@@ -21,9 +20,7 @@ OPERATION_SUB_EVENTS = (
     "disrupted weapons use",
 )
 MILITARY_MARK = "military forces of nigeria"
-SHORTEST_BODY, LONGEST_BODY, LONGEST_POST = 120, 20000, 2000
-DOCUMENTS_PER_SOURCE = 40
-DOCUMENTS_PER_SOURCE_PRESS = 60
+SHORTEST_BODY = 120
 
 
 def mapped(value: Column, table: dict[str, str], default: str) -> Column:
@@ -102,38 +99,36 @@ def union_feeds(*feeds: DataFrame) -> DataFrame:
     return out
 
 
-def assemble_documents(candidates: DataFrame, cap: int = DOCUMENTS_PER_SOURCE, press: tuple[str, ...] = (), press_cap: int = DOCUMENTS_PER_SOURCE_PRESS) -> DataFrame:
-    """Bodies of the first discovered candidates of each source.
+def assemble_documents(candidates: DataFrame) -> DataFrame:
+    """Whole bodies of all candidates, with the ``reason`` why one is no report (null: it is one).
 
     ``candidates``: source, seq (discovery order), url, title, published, summary, page_text.
-    The per-source quota is part of the job; it counts candidates before short bodies drop out.
     """
-    quota = F.when(F.col("source").isin(*press), press_cap).otherwise(cap) if press else F.lit(cap)
-    first = top_in_group(candidates, ["source"], [F.asc("seq"), F.asc("url")], max(cap, press_cap) if press else cap, "_place").where(F.col("_place") <= quota)
     body = F.regexp_replace(F.concat_ws(" ", F.nullif("summary", F.lit("")), F.nullif("page_text", F.lit(""))), r"^\s+|\s+$", "")
-    return first.withColumn("body", body).where(F.length("body") >= SHORTEST_BODY).drop("summary", "page_text", "seq", "_place")
+    reason = F.when(F.length("body") < SHORTEST_BODY, "short body")
+    return candidates.withColumn("body", body).withColumn("reason", reason).drop("summary", "page_text", "seq")
 
 
 def as_documents(assembled: DataFrame, registry: DataFrame, ingested_at: str) -> DataFrame:
-    """Stored documents. Facts are read from the whole text; only the stored body is cut. No date is invented."""
-    keyed = assembled.withColumn("doc_id", stable_id("source", "url"))
+    """Stored documents with their whole bodies, of the rows without a reason against them. No date is invented."""
+    keyed = assembled.where("reason is null").withColumn("doc_id", stable_id("source", "url"))
     facts = extract_facts(keyed.withColumn("_all", F.concat_ws(". ", "title", "body")), registry, "doc_id", "_all")
     rows = facts.select(
         "doc_id", "source", F.col("doc_type") if "doc_type" in assembled.columns else F.lit("report").alias("doc_type"), "title",
-        F.col("published").alias("published_at"), "url", F.substring("body", 1, LONGEST_BODY).alias("body"), "lga_codes", "ransom_ngn",
+        F.col("published").alias("published_at"), "url", "body", "lga_codes", "ransom_ngn",
         F.lit(ingested_at).cast("timestamp").alias("ingested_at"), "victims", "fatalities",
     )
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields], "victims", "fatalities")
 
 
 def as_chatter(posts: DataFrame, registry: DataFrame, source: str, ingested_at: str) -> DataFrame:
-    """Stored posts: first matched unit, threat and sentiment of the whole post, body cut for storage."""
+    """Stored posts: first matched unit, threat and sentiment of the whole post, which is stored whole."""
     keyed = posts.withColumn("chatter_id", stable_id(F.lit(source), "url", "posted_at"))
     facts = extract_facts(keyed, registry, "chatter_id", "body")
     given = F.col("lga_code") if "lga_code" in posts.columns else F.lit(None).cast("string")
     rows = facts.select(
         "chatter_id", "platform", F.col("posted_at").cast("timestamp").alias("posted_at"), F.coalesce(given, F.get("lga_codes", F.lit(0))).alias("lga_code"),
-        F.substring("body", 1, LONGEST_POST).alias("body"), "sentiment", "threat_score", "url", F.lit(ingested_at).cast("timestamp").alias("ingested_at"),
+        "body", "sentiment", "threat_score", "url", F.lit(ingested_at).cast("timestamp").alias("ingested_at"),
     )
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHATTER.fields])
 

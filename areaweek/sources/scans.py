@@ -67,18 +67,49 @@ def scan_catalogue(spark: SparkSession, path: str, multiline: bool = False) -> D
 
 # Spellings of state names and the zone of each state.
 STATE_ALIASES = {"Abuja Federal Capital Territory": "Federal Capital Territory", "FCT": "Federal Capital Territory"}
-ZONE_STATES = {
-    "North Central": ("Benue", "Federal Capital Territory", "Kogi", "Kwara", "Nasarawa", "Niger", "Plateau"),
-    "North East": ("Adamawa", "Bauchi", "Borno", "Gombe", "Taraba", "Yobe"),
-    "North West": ("Jigawa", "Kaduna", "Kano", "Katsina", "Kebbi", "Sokoto", "Zamfara"),
-    "South East": ("Abia", "Anambra", "Ebonyi", "Enugu", "Imo"),
-    "South South": ("Akwa Ibom", "Bayelsa", "Cross River", "Delta", "Edo", "Rivers"),
-    "South West": ("Ekiti", "Lagos", "Ogun", "Ondo", "Osun", "Oyo"),
+STATE_ZONES = {
+    "Abia": "South East",
+    "Adamawa": "North East",
+    "Akwa Ibom": "South South",
+    "Anambra": "South East",
+    "Bauchi": "North East",
+    "Bayelsa": "South South",
+    "Benue": "North Central",
+    "Borno": "North East",
+    "Cross River": "South South",
+    "Delta": "South South",
+    "Ebonyi": "South East",
+    "Edo": "South South",
+    "Ekiti": "South West",
+    "Enugu": "South East",
+    "Federal Capital Territory": "North Central",
+    "Gombe": "North East",
+    "Imo": "South East",
+    "Jigawa": "North West",
+    "Kaduna": "North West",
+    "Kano": "North West",
+    "Katsina": "North West",
+    "Kebbi": "North West",
+    "Kogi": "North Central",
+    "Kwara": "North Central",
+    "Lagos": "South West",
+    "Nasarawa": "North Central",
+    "Niger": "North Central",
+    "Ogun": "South West",
+    "Ondo": "South West",
+    "Osun": "South West",
+    "Oyo": "South West",
+    "Plateau": "North Central",
+    "Rivers": "South South",
+    "Sokoto": "North West",
+    "Taraba": "North East",
+    "Yobe": "North East",
+    "Zamfara": "North West",
 }
 
 
 def default_zones(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, z) for z, states in ZONE_STATES.items() for s in states], "state_name string, zone string")
+    return spark.createDataFrame(list(STATE_ZONES.items()), "state_name string, zone string")
 
 
 def scan_boundaries(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

@@ -75,10 +75,10 @@ PARTS = {
     "bulk_a": "select * from raw_a where country = 'Nigeria'",
     "in_a": f"""select *, try_cast(date_start as date) as event_date, case type_of_violence when '1' then 'state_operation' when '2' then 'banditry_kidnapping' when '3' then 'banditry_kidnapping' else 'other' end as event_class,
         case type_of_violence when '1' then 'state_based_conflict' when '2' then 'non_state_conflict' when '3' then 'one_sided_violence' else 'unknown' end as event_type
-        from bulk_a where try_cast(date_start as date) between date '{SINCE}' and date '{UNTIL}'""",
+        from raw_a where try_cast(date_start as date) is not null""",
     "in_b": f"""select *, try_cast(nullif(event_date, '') as date) as day, case when lower(trim(sub_event_type)) in ({SUBS_O}) or contains(lower(actor1), 'military forces of nigeria') then 'state_operation'
         when lower(trim(sub_event_type)) in ({SUBS_T}) then 'banditry_kidnapping' else 'other' end as event_class
-        from raw_b where try_cast(nullif(event_date, '') as date) between date '{SINCE}' and date '{UNTIL}'""",
+        from raw_b where try_cast(nullif(event_date, '') as date) is not null""",
     "norm_a": """select substr(sha1('feed_a|' || id || '|' || event_date), 1, 24) as event_id, event_date, event_class, event_type, side_a as actor_primary, side_b as actor_secondary,
         nullif(cast(latitude as double), 0) as latitude, nullif(cast(longitude as double), 0) as longitude, cast(try_cast(where_prec as double) as integer) as geolocation_precision,
         coalesce(cast(cast(best as double) as integer), 0) as fatalities, cast(deaths_civilians as integer) as civilian_deaths from in_a""",
@@ -114,12 +114,11 @@ def raw_b(spark, sf):
 
 
 def feed_a(spark, sf):
-    bulk = raw_a(spark, sf).where("country = 'Nigeria'")
-    return nm.as_incidents(nm.feed_a_rows(bulk, SINCE, UNTIL), "feed_a", STAMP)
+    return nm.as_incidents(nm.feed_a_rows(raw_a(spark, sf), None, None), "feed_a", STAMP)
 
 
 def feed_b(spark, sf):
-    return nm.as_incidents(nm.feed_b_rows(raw_b(spark, sf), SINCE, UNTIL), "feed_b", STAMP)
+    return nm.as_incidents(nm.feed_b_rows(raw_b(spark, sf), None, None), "feed_b", STAMP)
 
 
 # ---------------------------------------------------------------- scans
@@ -226,13 +225,12 @@ def n4(spark, sf):
 
 @query("n5_event_class_a", "select id, event_class, event_type from in_a")
 def n5(spark, sf):
-    bulk = raw_a(spark, sf).where("country = 'Nigeria'")
-    return nm.feed_a_rows(bulk, SINCE, UNTIL).select(F.col("source_event_id").alias("id"), "event_class", "event_type")
+    return nm.feed_a_rows(raw_a(spark, sf), None, None).select(F.col("source_event_id").alias("id"), "event_class", "event_type")
 
 
 @query("n6_event_class_b", "select event_id_cnty, event_class from in_b")
 def n6(spark, sf):
-    return nm.feed_b_rows(raw_b(spark, sf), SINCE, UNTIL).select(F.col("source_event_id").alias("event_id_cnty"), "event_class")
+    return nm.feed_b_rows(raw_b(spark, sf), None, None).select(F.col("source_event_id").alias("event_id_cnty"), "event_class")
 
 
 @query("n7_date_window", f"select id from raw_a where try_cast(date_start as date) between date '{SINCE}' and date '{UNTIL}'")
@@ -270,8 +268,7 @@ def n9(spark, sf):
 
 DOC_PARTS = {
     "candidates": """select source, doc_id as seq, 'https://press.example/' || doc_id as url, 'Report ' || doc_id as title, case when doc_id % 2 = 0 then 'Lede ' || doc_id else '' end as summary, text as page_text from documents""",
-    "first_docs": """select * from (select *, row_number() over (partition by source order by seq, url) as place from candidates) where place <= case when source = 'src0' then 60 else 40 end""",
-    "bodies": "select source, url, title, trim(concat_ws(' ', nullif(summary, ''), nullif(page_text, ''))) as body from first_docs",
+    "bodies": "select source, url, title, trim(concat_ws(' ', nullif(summary, ''), nullif(page_text, ''))) as body from candidates",
 }
 
 
@@ -284,24 +281,24 @@ def candidates(spark, sf):
     )
 
 
-@query("n10_document_assembly", "select source, url, title, md5(body) as body_md5 from bodies where length(body) >= 120", DOC_PARTS)
+@query("n10_document_assembly", "select source, url, title, md5(body) as body_md5, case when length(body) < 120 then 'short body' end as reason from bodies", DOC_PARTS)
 def n10(spark, sf):
-    return nm.assemble_documents(candidates(spark, sf), press=("src0",)).select("source", "url", "title", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    return nm.assemble_documents(candidates(spark, sf)).select("source", "url", "title", F.md5(F.col("body").cast("binary")).alias("body_md5"), "reason")
 
 
 @query(
     "n2_document_normalise",
-    "select substr(sha1(source || '|' || url), 1, 24) as doc_id, source, 'report' as doc_type, title, cast(null as date) as published_at, md5(substr(body, 1, 20000)) as body_md5 from bodies where length(body) >= 120",
+    "select substr(sha1(source || '|' || url), 1, 24) as doc_id, source, 'report' as doc_type, title, cast(null as date) as published_at, md5(body) as body_md5 from bodies where length(body) >= 120",
     DOC_PARTS,
 )
 def n2(spark, sf):
-    stored = nm.as_documents(nm.assemble_documents(candidates(spark, sf), press=("src0",)), Domain(spark, sf).registry, STAMP)
+    stored = nm.as_documents(nm.assemble_documents(candidates(spark, sf)), Domain(spark, sf).registry, STAMP)
     return stored.select("doc_id", "source", "doc_type", "title", "published_at", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 @query(
     "n3_chatter_normalise",
-    """select substr(sha1('posts|https://posts.example/' || text_id || '|2024-01-05T10:00:00'), 1, 24) as chatter_id, first_unit as lga_code, length(substr(text, 1, 2000)) as n_body, round(score, 6) as threat_score, round(sentiment, 6) as sentiment
+    """select substr(sha1('posts|https://posts.example/' || text_id || '|2024-01-05T10:00:00'), 1, 24) as chatter_id, first_unit as lga_code, length(text) as n_body, round(score, 6) as threat_score, round(sentiment, 6) as sentiment
        from texts left join (select text_id, lga_code as first_unit from places where place_rank = 1) using (text_id) join threat using (text_id) join feelings using (text_id)""",
     TEXT_PARTS,
 )

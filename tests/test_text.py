@@ -50,7 +50,7 @@ def test_sentiment(spark):
 
 
 def test_normalise_equals_the_exact_form(spark):
-    samples = ["Wasagu/Danko, Kebbi!", "ÀÉîõü ñ ß ø", "été", "ﬁne ﬂow №5 ™", "x²  \t y", "ＡＢＣ １２", None, "İstanbul ſ", "don't-stop"]
+    samples = ["Wasagu/Danko, Kebbi!", "ÀÉîõü ñ ß ø", "été", "ﬁne ﬂow №5 ™", "x²  \t y", "ＡＢＣ １２", None, "İstanbul ſ", "don't-stop", "𝐁𝐚𝐧𝐝𝐢𝐭𝐬 attack 5㎏ ½ ㏂"]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, t string")
     rows = df.select("i", tx.normalise("t").alias("a"), tx.normalise_exact("t").alias("b")).orderBy("i").collect()
     assert [r.a for r in rows] == [r.b for r in rows]
