@@ -157,6 +157,23 @@ def test_vector_links(spark, vectors):
     assert neardup_vectors.link(table_of(spark, vectors).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 100])
+def test_vector_links_off_centre(spark, block):
+    """Partners at a cosine just above the cut, of vectors that share a mean direction: none is lost."""
+    rng = np.random.default_rng(3)
+    one = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base = one(rng.normal(size=(600, 64)) / 8 + np.eye(64)[0])
+    side = rng.normal(size=base.shape)
+    side = one(side - (side * base).sum(1, keepdims=True) * base)
+    cosine = np.repeat([0.9301, 0.94, 0.95], 200)[:, None]
+    units = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
+    close = units @ units.T >= 0.93
+    assert np.linalg.norm(units.mean(0)) > 0.6 and close[np.arange(600), np.arange(600, 1200)].all()
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(units)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.id: r.n_links for r in neardup_vectors.link(df, block=block).collect()}
+    assert got == {i: int(n) - 1 for i, n in enumerate(close.sum(1))}
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     v = bpe.vocabulary(bpe.MULTI_50K)
