@@ -16,7 +16,6 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 PAR = HawkesParameters(mu_scale=0.6, branching=0.5, self_share=0.8, decay=0.03)
-SMALL = {"trees": 8, "depth": 3}
 
 
 def query(name: str):
@@ -38,13 +37,13 @@ def folded(spark, sf):
 
 def trained(spark, sf):
     frame = panel(spark, sf)
-    return runs.train_run(frame, "run-check", TRAIN_END, VALID_END, **SMALL), frame
+    return runs.train_run(frame, "run-check", TRAIN_END, VALID_END), frame
 
 
 @query("m4_boosted_classifier")
 def m4(spark, sf):
     rows, names, _ = folded(spark, sf)
-    booster = md.fit_booster(rows, names, **SMALL)
+    booster = md.fit_booster(rows, names)
     scored = md.raw_scores(booster, rows, names)
     return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.avg("raw").alias("mean_score"), F.avg("label").alias("rate"))
 
@@ -52,7 +51,7 @@ def m4(spark, sf):
 @query("m5_calibration")
 def m5(spark, sf):
     rows, names, _ = folded(spark, sf)
-    fitted = md.train(rows, names, **SMALL)
+    fitted = md.train(rows, names)
     return md.score(fitted, rows.where("fold = 'test'")).select("lga_code", "week_start", "raw", "probability")
 
 
@@ -65,7 +64,7 @@ def m12(spark, sf):
 @query("m14_grid_sweep")
 def m14(spark, sf):
     rows, names, _ = folded(spark, sf)
-    return md.sweep(rows, names, {"depth": (2, 3), "rate": (0.1,), "positive_weight": ("auto", 1.0), "min_child": (5,)}, trees=4)
+    return md.sweep(rows, names)
 
 
 @query("m15_score_week")
@@ -97,7 +96,7 @@ def m19(spark, sf):
 @query("s10_model_roundtrip")
 def s10(spark, sf):
     rows, names, _ = folded(spark, sf)
-    fitted = md.train(rows, names, **SMALL)
+    fitted = md.train(rows, names)
     path = work_path(spark, "model")
     md.save(fitted, path, rows.agg(F.max("week_start").alias("last_week")))
     again = md.load(spark, path)

@@ -105,7 +105,7 @@ def h6(spark, sf):
 @query("h7_parameter_fit")
 def h7(spark, sf):
     d = Domain(spark, sf)
-    fitted = pp.fit(d.incidents, d.registry, d.adjacency, WEEKS, FIT_END, rounds=4, inner_rounds=4)
+    fitted = pp.fit(d.incidents, d.registry, d.adjacency, WEEKS, FIT_END)
     return pp.fit_summary(spark, fitted, pp.target_days(d.incidents, WEEKS, FIT_END), d.registry)
 
 

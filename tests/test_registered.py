@@ -35,3 +35,26 @@ def test_every_sql_has_a_query():
 
 def test_flagship(spark, con):
     assert entry_module.entry(spark).columns == ["lga_code", "week_start", "own_events_4w", "nb_events_12w", "hist_rate", "weeks_since_event", "label"]
+
+
+def test_model_queries_use_the_full_settings(monkeypatch):
+    """No model query narrows the defaults: settings, grid and rounds are the operators' own."""
+    from areaweek.operators import model, pointprocess
+    from areaweek.plans import runs
+    from areaweek.verification import model_checks, process_checks
+
+    class Reached(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        raise Reached(len(args), kwargs)
+
+    for owner, name in ((model, "fit_booster"), (model, "train"), (model, "sweep"), (runs, "train_run"), (pointprocess, "fit")):
+        monkeypatch.setattr(owner, name, stop)
+    for module, name, value in ((model_checks, "panel", None), (model_checks, "folded", (None, None, None)), (process_checks, "Domain", type("D", (), {"__init__": lambda *_: None, "incidents": 0, "registry": 0, "adjacency": 0}))):
+        monkeypatch.setattr(module, name, lambda *_, v=value: v() if isinstance(v, type) else v)
+    fits = {"m4_boosted_classifier": 2, "m5_calibration": 2, "m14_grid_sweep": 2, "s10_model_roundtrip": 2, "h7_parameter_fit": 5, "m12_model_comparison": 4, "m15_score_week": 4, "m16_tree_attributions": 4, "m19_stored_run": 4}
+    for name, n in fits.items():
+        with pytest.raises(Reached) as reached:
+            entry_module.queries()[name](None, "")
+        assert reached.value.args == (n, {}), name
