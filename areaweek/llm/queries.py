@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaweek.llm import bpe, counts, jaccard, lines, mixing, neardup_vectors, neighbours, secrets, toxicity, warc
@@ -35,8 +35,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _share(n: int) -> Column:
+    """Every third document by its id, the same in each batch."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(3)) == n
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), work_path(spark, "ledger"))
+    """A third of the documents come first; the second scan meets the ledger of the first."""
+    docs, ledger = table(spark, sf_dir, "documents"), work_path(spark, "ledger")
+    secrets.scan(docs.where(_share(0)), ledger)
+    found = secrets.scan(docs, ledger)
     spans = secrets.written(F.col("spans"))
     return found.select(
         F.col("path").alias("doc_id"), *[secrets.counted(F.col("spans"), k).alias(f"n_{k}") for k in secrets.KINDS],
@@ -45,10 +53,25 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = work_path(spark, "counts")
-    changes = table(spark, sf_dir, "documents").select(F.lit("put").alias("op"), F.col("doc_id").alias("id"), "text", "source", "lang", F.lit(0).alias("seq"))
-    counts.commit(changes, root, "load")
-    counts.commit(changes, root, "load")  # a repeated commit changes nothing
+    """The table as three batches: a third of the documents is revised, another deleted and put back.
+
+    Revised documents come first with half their text and another source; the last
+    batch also brings stale changes, which are passed over. A repeated commit changes
+    nothing. The totals are those of the table as it stands.
+    """
+    root, docs = work_path(spark, "counts"), table(spark, sf_dir, "documents")
+    rows = lambda df, op, seq: df.select(F.lit(op).alias("op"), F.col("doc_id").alias("id"), "text", "source", "lang", F.lit(seq).alias("seq"))
+    early = {"text": F.expr("left(text, length(text) div 2)"), "source": F.concat(F.lit("early-"), F.coalesce("source", F.lit("")))}
+    revised, dropped, plain = docs.where(_share(0)), docs.where(_share(1)), docs.where(_share(2))
+    no_text = dropped.withColumn("text", F.lit(None).cast("string"))
+    batches = {
+        "load": rows(revised.withColumns(early), "put", 1).unionByName(rows(dropped, "put", 1)).unionByName(rows(plain, "put", 1)),
+        "change": rows(revised, "put", 2).unionByName(rows(no_text, "delete", 2)),
+        "back": rows(dropped, "put", 3).unionByName(rows(revised.withColumn("text", F.lit("stale")), "put", 1)),
+    }
+    for name, changes in batches.items():
+        counts.commit(changes, root, name)
+    counts.commit(batches["back"], root, "back")
     return counts.totals(spark, root)
 
 

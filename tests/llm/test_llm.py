@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from areaweek.llm import bpe, counts, jaccard, lines, mixing, neardup_vectors, neighbours, secrets, toxicity, warc
+from areaweek.llm import bpe, counts, jaccard, lines, mixing, neardup_vectors, neighbours, queries, secrets, toxicity, warc
 from areaweek.session import work_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -242,6 +242,27 @@ def test_counts_follow_changes(spark, tokenizer):
     assert counts.commit(df.limit(0), root, "none")
 
 
+def test_count_and_secret_queries_meet_what_they_hold(spark, tmp_path, tokenizer, monkeypatch):
+    """The queries revise, delete and put back, and scan twice over one ledger; the end is a fresh count."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randrange(0, 40)) + " 0a0a0a0a0a0a0a0a0a0a0a0a0a0a", ("en", None)[i % 2], ("a", "b", None)[i % 3]) for i in range(60)]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    roots, seen = [], []
+    monkeypatch.setattr(counts, "commit", lambda df, root, *a, f=counts.commit: roots.append(root) or f(df, root, *a))
+    monkeypatch.setattr(secrets, "scan", lambda df, ledger, f=secrets.scan: (f(df, ledger), seen.append(secrets.read_ledger(spark, ledger).count()))[0])
+    want = {}
+    for _, text, lang, source in rows:
+        for name, size in (("words-1", len(WORD.findall(text))), ("byte_bpe_multi_50k", len(tokenizer[1].encode_ordinary(text)))):
+            a, b = want.get((source, lang, name), (0, 0))
+            want[source, lang, name] = (a + 1, b + size)
+    got = queries.op6_token_counts(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in got} == want
+    minus = spark.read.parquet(f"{roots[0]}/entries/*").where("old_alive").groupBy("alive").count().collect()
+    assert {r.alive for r in minus} == {True, False} and min(r["count"] for r in minus) > 10
+    spans = queries.op5_secrets(spark, str(tmp_path)).collect()
+    assert len(spans) == 60 and all(r.n_hex == 1 for r in spans) and 0 < seen[0] < seen[1] == 60
+
+
 def test_targets_and_quotas():
     assert mixing.targets([100, 100, 100, 100]) == pytest.approx([400 * w / 13 for w in (5, 2, 1, 5)])
     assert mixing.targets([10, 1000, 0]) == [30.0, 980.0, 0.0]
