@@ -30,15 +30,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays.
+    """The document with the smallest id of each group of near-duplicates stays; null ids come last.
 
-    Rows that repeat an id are one document. A row without an id has one made of its
-    text, above all others.
+    Rows with equal id and text are one document. Rows that share an id but not the
+    text are documents of their own, and both stay unless they are linked.
     """
-    spare = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    known = docs.select(F.coalesce("doc_id", spare).alias("key"), F.struct("*").alias("doc"))
-    found = jaccard.join(known.select("key", F.col("doc.text").alias("text")), "key")
-    first = found.where("id = component").select(F.col("id").alias("key")).distinct()
+    known = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), F.struct("*").alias("doc"))
+    found = jaccard.join(known.select("key", F.col("doc.text").alias("text")), "key").select(F.col("id").alias("key"), "component").distinct()
+    ids = known.select("key", F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), "key").alias("rank")).distinct()
+    first = found.join(ids, "key").groupBy("component").agg(F.min_by("key", "rank").alias("key")).select("key")
     return known.join(first, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
 
 

@@ -375,3 +375,12 @@ def test_pipeline_stages(spark, sample, tmp_path):
     assert {r.doc_id for r in unique} >= {0, 1, 2, 3, 4, 5, 40, 41, 42, 43} and not {r.doc_id for r in unique} & {20, 21, 22, 23, 30, 31, 32, 33}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(r.exact for r in out) and len({r.doc_id for r in out}) < len(sample)
+
+
+def test_documents_that_share_an_id_stay(spark):
+    """Only equal or linked texts go; of a group the smallest id stays, and a null id loses."""
+    rng = random.Random(6)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    rows = [(7, one, "en", "a"), (7, two, "en", "a"), (7, two, "en", "a"), (9, one, "en", "a"), (None, three, "en", "a"), (None, one, "en", "a"), (8, three, "en", "a")]
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect())
+    assert got == sorted([(7, one), (7, two), (8, three)])
