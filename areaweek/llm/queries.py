@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import bpe, counts, jaccard, lines, mixing, neardup_vectors, neighbours, secrets, toxicity, warc
+from areaweek.llm import bpe, collocations, counts, jaccard, lines, mixing, neardup_vectors, neighbours, secrets, toxicity, warc
 from areaweek.llm.common import table
 from areaweek.session import work_path
 
@@ -130,5 +130,49 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_vector_neardup": op7_vector_neardup, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity}
-SQL: dict[str, str] = {"op9_lines": OP9_SQL}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with pieces as (
+  select row_number() over () as piece_id, * from (
+    select coalesce(lang, 'und') as lang,
+      unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+  )
+), words as (
+  select lang, piece_id, generate_subscripts(w, 1) as place, unnest(w) as w1 from (select *, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces)
+), runs as (
+  select lang, w1, lead(w1) over p as w2, lead(w1, 2) over p as w3 from words window p as (partition by piece_id order by place)
+), grams as (
+  select lang, 1 as m, w1 as phrase from runs
+  union all select lang, 2, w1 || ' ' || w2 from runs where w2 is not null
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3 from runs where w3 is not null
+), counted as (
+  select lang, m, phrase, count(*) as f from grams group by lang, m, phrase
+), totals as (
+  select lang, count(*) as n from words group by lang
+), candidates as (
+  select lang, m, phrase, f as a, string_split(phrase, ' ') as w from counted where m > 1 and f >= 10
+), cuts as (
+  select c.lang, c.phrase, c.a, k, x.f as l, y.f as r, (1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f) as score
+  from (select *, unnest(range(1, m)) as k from candidates) c
+  join counted x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+  join counted y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:c.m], ' ')
+), best as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inside as (
+  select lang, array_to_string(w[i:i + 1], ' ') as phrase, max(a) as longer
+  from (select *, unnest([1, 2]) as i from candidates where m = 3) group by 1, 2
+), kept as (
+  select b.* from best b left join inside i using (lang, phrase) where i.longer is null or 100 * i.longer < 50 * b.a
+)
+select k.lang, row_number() over (partition by k.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from kept k join totals t using (lang)
+qualify rank <= 2000
+"""
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_vector_neardup": op7_vector_neardup, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity, "op11_collocations": op11_collocations}
+SQL: dict[str, str] = {"op9_lines": OP9_SQL, "op11_collocations": OP11_SQL}
