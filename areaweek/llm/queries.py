@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import bpe, collocations, counts, jaccard, lines, mixing, neardup_vectors, neighbours, secrets, toxicity, warc
+from areaweek.llm import alignment, bpe, collocations, counts, jaccard, lines, mixing, neardup_vectors, neighbours, secrets, toxicity, urlfilter, warc
 from areaweek.llm.common import table
 from areaweek.session import work_path
 
@@ -174,5 +174,62 @@ qualify rank <= 2000
 """
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_vector_neardup": op7_vector_neardup, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity, "op11_collocations": op11_collocations}
-SQL: dict[str, str] = {"op9_lines": OP9_SQL, "op11_collocations": OP11_SQL}
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urlfilter.RULES, "verdict string, host string, path string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP12_SQL = r"""
+with recursive rules(verdict, site, path) as (
+  values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), cut as (
+  select *, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path
+  from (select row_number() over () as row_id, * from pages)
+), fits as (
+  select c.row_id, r.verdict, r.site || r.path as rule from cut c join rules r
+  on (c.host = r.site or ends_with(c.host, '.' || r.site)) and starts_with(c.path, r.path)
+  qualify row_number() over (partition by c.row_id order by length(r.site || r.path) desc, length(r.site) desc, r.site || r.path) = 1
+), hosts as (
+  select host, count(*) as pages, count(*) filter (verdict = 'allow') as allowed, count(*) filter (verdict = 'block') as blocked
+  from cut left join fits using (row_id) where host != '' group by host
+), seeds as (
+  select case when 2 * allowed > pages then 'trust' else 'distrust' end as kind, host from hosts where 2 * allowed > pages or 2 * blocked > pages
+), linked as (
+  select host as src, translate(unnest(regexp_extract_all(html, 'href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''<>\s]+)', 1, 'i')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst
+  from cut where host != ''
+), tied as (
+  select h.host, u.host as above from hosts h join hosts u on ends_with(h.host, '.' || u.host)
+  qualify row_number() over (partition by h.host order by length(u.host) desc) = 1
+), links as (
+  select src, dst, sum(n) as n from (
+    select src, dst, count(*) as n from linked where src != dst group by all
+    union all select host, above, 1 from tied union all select above, host, 1 from tied
+  ) group by src, dst
+), edges as (
+  select kind, src, dst, 0.85::double * (n::double / (sum(n) over (partition by kind, src))::double) as share
+  from (select 'trust' as kind, src, dst, n from links union all select 'distrust', dst, src, n from links)
+), mass as (
+  select 0 as round, kind, host, 1000000000::bigint as mass from seeds
+  union all
+  select round, kind, host, sum(mass)::bigint from (
+    select m.round + 1 as round, e.kind, e.dst as host, floor(m.mass::double * e.share)::bigint as mass from mass m join edges e on e.kind = m.kind and e.src = m.host where m.round < 20
+    union all
+    select r.round, s.kind, s.host, floor((1.0::double - 0.85::double) * 1000000000)::bigint from seeds s, (select distinct round + 1 as round from mass where round < 20) r
+  ) group by round, kind, host
+), held as (
+  select host, coalesce(sum(mass) filter (kind = 'trust'), 0)::bigint as trust, coalesce(sum(mass) filter (kind = 'distrust'), 0)::bigint as distrust
+  from mass where round = 20 group by host
+)
+select c.page_id, c.host, c.path, f.rule, coalesce(h.trust, 0) as trust, coalesce(h.distrust, 0) as distrust,
+  coalesce(f.verdict, case when h.distrust > h.trust and h.distrust >= 0.01::double * (1.0::double - 0.85::double) * 1000000000 then 'block' end, 'allow') as verdict
+from cut c left join fits f using (row_id) left join held h on h.host = c.host
+"""
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_vector_neardup": op7_vector_neardup, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity, "op11_collocations": op11_collocations, "op12_url_filter": op12_url_filter, "op13_alignment": op13_alignment}
+SQL: dict[str, str] = {"op9_lines": OP9_SQL, "op11_collocations": OP11_SQL, "op12_url_filter": OP12_SQL}
