@@ -222,14 +222,14 @@ def frequent_phrases(docs: DataFrame, support: int = 10, longest: int = 3, shard
     all_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bucket_bits = min(20, max(0, math.ceil(math.log2(max(1, all_words * longest / GROUP_HASHES)))))
 
-    needs = sizes.join(totals, "lang").select("lang", "shard", F.expr(f"({support} * w + n - 1) div n").alias("need")).where("need > 0")
+    needs = sizes.join(totals, "lang").select("lang", "shard", F.expr(f"({support} * w + n - 1) div greatest(n, 1)").alias("need")).where("need > 0")
     raw = texts.select("lang", "shard", F.col("text").cast("binary").alias("text"))
     mined = raw.mapInArrow(_mine(longest, bucket_bits), "lang string, shard int, bucket int, hashes binary, counts binary")
     local = mined.join(needs, ["lang", "shard"]).groupBy("lang", "shard", "bucket").applyInArrow(_locally_frequent, "bucket int, hashes binary")
     local = stored(local, "locally-frequent")
 
     n_local = local.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()[0] // 8
-    bits = min(BITMAP_BITS, max(bucket_bits + 3, math.ceil(math.log2(max(1, 16 * n_local)))))
+    bits = max(bucket_bits + 3, min(BITMAP_BITS, math.ceil(math.log2(max(1, 16 * n_local)))))
     bitmap = bytearray(1 << bits - 3)
     for first, flags in local.groupBy("bucket").applyInArrow(_bits_set(bucket_bits, bits), "first long, flags binary").toLocalIterator():
         bitmap[first : first + len(flags)] = flags
