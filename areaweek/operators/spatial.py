@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, degrees_to_km, haversine_km
+from ..session import durable
 from .ranking import top_in_group
 
 # Snapping radius, buffer of the near-touch test, smallest degree, filler border.
@@ -29,31 +30,22 @@ def _cells(low, high, size) -> Column:
     return F.sequence(_cell(low, size), _cell(high, size))
 
 
-def polygon_cells(edges: DataFrame, size: float) -> DataFrame:
-    """(lga_code, cx, cy, segments): for each cell of a polygon's box, the edges crossing the cell's row.
+def polygons_around(spots: DataFrame, edges: DataFrame, size: float = 0.5) -> DataFrame:
+    """(longitude, latitude, lga_code) of every polygon around each of the distinct ``spots``.
 
     A ray to the right of a point only meets edges whose height range covers the
-    point, so a cell row needs no other edges.
+    point. Edges are entered in the rows of cells that they cross, in each column of
+    their polygon's box up to their own right end; crossings are counted edge by
+    edge. Holes count through their own edges.
     """
-    box = edges.groupBy("lga_code").agg(
-        F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x9"),
-        F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y9"),
-    )
-    rows = edges.withColumn("cy", F.explode(_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size)))
-    by_row = rows.groupBy("lga_code", "cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("segments"))
-    spread = box.select("lga_code", "y0", "y9", "x0", "x9", F.explode(_cells(F.col("x0"), F.col("x9"), size)).alias("cx"))
-    return by_row.join(spread.select("lga_code", "cx"), "lga_code")
-
-
-def _inside(segments: Column, x: Column, y: Column) -> Column:
-    """Crossing parity of a ray from the point; holes count through their own edges."""
-
-    def crosses(e: Column) -> Column:
-        straddles = (e["y1"] > y) != (e["y2"] > y)
-        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return straddles & (x < at)
-
-    return F.size(F.filter(segments, crosses)) % 2 == 1
+    box = edges.groupBy("lga_code").agg(F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x9"))
+    columns = box.select("lga_code", F.explode(_cells(F.col("x0"), F.col("x9"), size)).alias("cx"))
+    rows = edges.where("y1 <> y2").select("lga_code", "x1", "y1", "x2", "y2", F.explode(_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size)).alias("cy"))
+    entered = rows.join(columns, "lga_code").where(F.col("cx") * size <= F.greatest("x1", "x2"))
+    at = spots.select("longitude", "latitude").withColumns({"cx": _cell(F.col("longitude"), size), "cy": _cell(F.col("latitude"), size)})
+    crossed = F.expr("(y1 > latitude) <> (y2 > latitude) and longitude < (x2 - x1) * (latitude - y1) / nullif(y2 - y1, 0) + x1")
+    hits = at.join(entered, ["cx", "cy"]).where(crossed).groupBy("longitude", "latitude", "lga_code").agg(F.count(F.lit(1)).alias("crossings"))
+    return hits.where("crossings % 2 = 1").select("longitude", "latitude", "lga_code")
 
 
 def locate_points(points: DataFrame, edges: DataFrame, size: float = 0.5, key: str = "point_id") -> DataFrame:
@@ -63,13 +55,8 @@ def locate_points(points: DataFrame, edges: DataFrame, size: float = 0.5, key: s
     town's coordinates, and each coordinate is tested once.
     """
     usable = points.where(F.col("longitude").isNotNull() & F.col("latitude").isNotNull() & ~F.isnan("longitude") & ~F.isnan("latitude"))
-    spots = usable.select("longitude", "latitude").distinct().withColumns({"cx": _cell(F.col("longitude"), size), "cy": _cell(F.col("latitude"), size)})
-    held = (
-        spots.join(polygon_cells(edges, size), ["cx", "cy"])
-        .where(_inside(F.col("segments"), F.col("longitude"), F.col("latitude")))
-        .groupBy("longitude", "latitude")
-        .agg(F.min("lga_code").alias("lga_code"))
-    )
+    held = polygons_around(usable.select("longitude", "latitude").distinct(), edges, size)
+    held = held.groupBy("longitude", "latitude").agg(F.min("lga_code").alias("lga_code"))
     return usable.select(key, "longitude", "latitude").join(held, ["longitude", "latitude"]).select(key, "lga_code")
 
 
@@ -130,38 +117,102 @@ def assign_units(points: DataFrame, edges: DataFrame, registry: DataFrame, key:
     return points.select(key).join(inside.unionByName(snapped), key, "left")
 
 
-def shared_borders(edges: DataFrame, digits: int = 6) -> DataFrame:
-    """(lga_code, neighbour_code, border_degrees) of units with common edge segments.
+def _along(segments: DataFrame, size: float, margin: float) -> DataFrame:
+    """Enter each segment (x1 <= x2) in the cells within ``margin`` of it, column by column."""
+    columns = segments.withColumn("cx", F.explode(_cells(F.col("x1") - margin, F.col("x2") + margin, size)))
+    inside = lambda x: F.least("x2", F.greatest("x1", x))
+    slope = (F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0))
+    left, right = (F.col("y1") + (inside(x) - F.col("x1")) * slope for x in (F.col("cx") * size - margin, (F.col("cx") + 1) * size + margin))
+    ends = F.coalesce(left, "y1"), F.coalesce(right, "y2")
+    return columns.withColumn("cy", F.explode(_cells(F.least(*ends) - margin, F.greatest(*ends) + margin, size)))
+
 
-    Vertices are snapped to a fine grid, so a border that both units draw with
-    the same vertices matches segment by segment.
+def _segments(edges: DataFrame, digits: int) -> DataFrame:
+    """Distinct segments of each unit, snapped to a grid, left end first."""
+    a, b = (F.struct(F.round(x, digits).alias("x"), F.round(y, digits).alias("y")) for x, y in (("x1", "y1"), ("x2", "y2")))
+    ends = edges.select("lga_code", F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).where("p <> q").distinct()
+    return ends.select("lga_code", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+
+
+def _other(segments: DataFrame) -> DataFrame:
+    return segments.withColumnsRenamed({"lga_code": "neighbour_code", "x1": "u1", "y1": "v1", "x2": "u2", "y2": "v2"})
+
+
+def _typical_length(segments: DataFrame) -> float:
+    return segments.agg(F.avg(F.expr("sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))"))).first()[0] or 1.0
+
+
+def shared_borders(edges: DataFrame, digits: int = 6) -> DataFrame:
+    """(lga_code, neighbour_code, border_degrees): the length over which the borders of two units run together.
+
+    Vertices need not agree: each stretch where a segment of one unit lies on a segment
+    of the other counts, whether a side is split, longer than the other, or a
+    unit lies inside another and touches its side. Segments meet in grid cells of
+    about their own length and must keep within the snapping error over the stretch;
+    the stretches of a segment with one neighbour are swept in order, so each part
+    counts once.
+    """
+    segments, error = _segments(edges, digits), 1.5 * 10.0**-digits
+    size = max(2 * _typical_length(segments), 100 * error)
+    cells = _along(segments, size, error)
+    boxes = f"u1 <= x2 + {error} and u2 >= x1 - {error} and least(v1, v2) <= greatest(y1, y2) + {error} and greatest(v1, v2) >= least(y1, y2) - {error}"
+    met = cells.join(_other(cells), ["cx", "cy"]).where(f"lga_code <> neighbour_code and {boxes}")
+    # Places of the other's ends along this segment (t) and their distances from its line (d).
+    length = "sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))"
+    along = lambda u, v: F.expr(f"(({u} - x1) * (x2 - x1) + ({v} - y1) * (y2 - y1)) / {length}")
+    apart = lambda u, v: F.expr(f"(({v} - y1) * (x2 - x1) - ({u} - x1) * (y2 - y1)) / {length}")
+    placed = met.withColumns({"t1": along("u1", "v1"), "t2": along("u2", "v2"), "d1": apart("u1", "v1"), "d2": apart("u2", "v2")})
+    stretch = placed.withColumns({"low": F.expr("greatest(0.0, least(t1, t2))"), "high": F.expr(f"least({length}, greatest(t1, t2))")})
+    near = lambda t: F.abs(F.expr(f"d1 + (d2 - d1) * ({t} - t1) / (t2 - t1)")) <= error
+    together = stretch.where(f"high - low > {error}").where(near("low") & near("high"))
+    segment = ["lga_code", "neighbour_code", "x1", "y1", "x2", "y2"]
+    # A window holds the stretches of one segment with one neighbour.
+    before = F.max("high").over(Window.partitionBy(*segment).orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
+    new = together.select(*segment, "low", "high").distinct().withColumn("new", F.col("high") - F.greatest("low", before))
+    return new.where("new > 0").groupBy("lga_code", "neighbour_code").agg(F.sum("new").alias("border_degrees"))
+
+
+def _squared_distance(x: str, y: str, x1: str, y1: str, x2: str, y2: str) -> str:
+    """Square of a point's distance from a segment, as SQL."""
+    t = f"coalesce(least(1.0, greatest(0.0, (({x} - {x1}) * ({x2} - {x1}) + ({y} - {y1}) * ({y2} - {y1})) / nullif(pow({x2} - {x1}, 2) + pow({y2} - {y1}, 2), 0))), 0.0)"
+    return f"(pow({x} - {x1} - {t} * ({x2} - {x1}), 2) + pow({y} - {y1} - {t} * ({y2} - {y1}), 2))"
+
+
+def _side(x: str, y: str, x1: str, y1: str, x2: str, y2: str) -> str:
+    return f"sign(({x2} - {x1}) * ({y} - {y1}) - ({y2} - {y1}) * ({x} - {x1}))"
+
+
+def near_touches(edges: DataFrame, reach: float = 2 * BUFFER_DEGREES, known: DataFrame | None = None, digits: int = 6) -> DataFrame:
+    """Pairs of units whose segments come within ``reach``, or of which one lies inside the other.
+
+    Only segments of units that meet in a cell are compared, and pairs in ``known`` are
+    left out before that, so the many neighbours with a common border cost nothing.
     """
-    at = lambda c: F.round(c, digits)
-    a = F.struct(at("x1").alias("x"), at("y1").alias("y"))
-    b = F.struct(at("x2").alias("x"), at("y2").alias("y"))
-    segments = edges.select("lga_code", F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).where(F.col("p") != F.col("q")).distinct()
-    other = segments.withColumnRenamed("lga_code", "neighbour_code")
-    length = F.sqrt(F.pow(F.col("q.x") - F.col("p.x"), 2) + F.pow(F.col("q.y") - F.col("p.y"), 2))
-    return segments.join(other, ["p", "q"]).where("lga_code <> neighbour_code").groupBy("lga_code", "neighbour_code").agg(F.sum(length).alias("border_degrees"))
-
-
-def near_touches(edges: DataFrame, reach: float = 2 * BUFFER_DEGREES) -> DataFrame:
-    """Pairs of units with vertices closer than ``reach``; vertex distance stands in for border distance."""
-    vertices = edges.select("lga_code", F.col("x1").alias("x"), F.col("y1").alias("y")).distinct()
-    # Each vertex is also entered in the 8 cells around its own.
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    home = vertices.withColumns({"cx": _cell(F.col("x"), reach), "cy": _cell(F.col("y"), reach)})
-    spread = home.select(
-        F.col("lga_code").alias("neighbour_code"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy", F.explode(steps).alias("s")
-    ).select("neighbour_code", "ox", "oy", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
-    close = F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2) <= reach * reach
-    return home.join(spread, ["cx", "cy"]).where((F.col("lga_code") != F.col("neighbour_code")) & close).select("lga_code", "neighbour_code").distinct()
+    segments = _segments(edges, digits)
+    size = max(_typical_length(segments), reach)
+    cells = _along(segments, size, reach / 2 + 10.0**-digits)
+    homes = cells.select("lga_code", "cx", "cy").distinct()
+    pairs = homes.join(homes.withColumnRenamed("lga_code", "neighbour_code"), ["cx", "cy"]).where("lga_code < neighbour_code")
+    if known is not None:
+        pairs = pairs.join(known.select("lga_code", "neighbour_code"), ["lga_code", "neighbour_code"], "left_anti")
+    met = pairs.join(cells, ["lga_code", "cx", "cy"]).join(_other(cells), ["neighbour_code", "cx", "cy"])
+    one, two = ("x1", "y1", "x2", "y2"), ("u1", "v1", "u2", "v2")
+    ends = [_squared_distance(*p, *s) for p, s in ((two[:2], one), (two[2:], one), (one[:2], two), (one[2:], two))]
+    crossing = f"{_side(*two[:2], *one)} * {_side(*two[2:], *one)} < 0 and {_side(*one[:2], *two)} * {_side(*one[2:], *two)} < 0"
+    close = met.where(f"least({', '.join(ends)}) <= {reach * reach} or ({crossing})").select("lga_code", "neighbour_code").distinct()
+    # One corner of each ring tells whether the ring lies inside another unit.
+    ring = ["lga_code", *[c for c in ("ring",) if c in edges.columns]]
+    corners = edges.groupBy(*ring).agg(F.min(F.struct("x1", "y1")).alias("c")).select(F.col("lga_code").alias("inner"), F.col("c.x1").alias("longitude"), F.col("c.y1").alias("latitude"))
+    held = corners.join(polygons_around(corners.select("longitude", "latitude").distinct(), edges), ["longitude", "latitude"]).where("inner <> lga_code")
+    both = close.unionByName(held.select(F.least("inner", "lga_code").alias("lga_code"), F.greatest("inner", "lga_code").alias("neighbour_code"))).distinct()
+    either = both.unionByName(both.select(F.col("neighbour_code").alias("lga_code"), F.col("lga_code").alias("neighbour_code")))
+    return either if known is None else either.join(known.select("lga_code", "neighbour_code"), ["lga_code", "neighbour_code"], "left_anti")
 
 
 def border_edges(edges: DataFrame, registry: DataFrame) -> DataFrame:
     """(lga_code, neighbour_code, border_km, centroid_km) before filling and weighting."""
-    shared = shared_borders(edges)
-    touching = near_touches(edges).join(shared, ["lga_code", "neighbour_code"], "left_anti").withColumn("border_degrees", F.lit(BUFFER_DEGREES))
+    shared = durable(shared_borders(edges))
+    touching = near_touches(edges, known=shared).withColumn("border_degrees", F.lit(BUFFER_DEGREES))
     a = registry.select("lga_code", F.col("centre_lat").alias("a_lat"), F.col("centre_lon").alias("a_lon"))
     b = registry.select(F.col("lga_code").alias("neighbour_code"), F.col("centre_lat").alias("b_lat"), F.col("centre_lon").alias("b_lon"))
     return shared.unionByName(touching).join(a, "lga_code").join(b, "neighbour_code").select(

@@ -87,3 +87,52 @@ def test_near_touch_is_a_weak_border(spark):
     registry = spark.createDataFrame([("A", 0.5, 0.5), ("B", 0.5, 1.5)], "lga_code string, centre_lat double, centre_lon double")
     got = {(r.lga_code, r.neighbour_code): r.border_km for r in sp.border_edges(spark.createDataFrame(a + b, EDGE), registry).collect()}
     assert set(got) == {("A", "B"), ("B", "A")} and got["A", "B"] == pytest.approx(0.01 * 111.32, rel=1e-3)
+
+
+def borders(spark, *units):
+    return {(r.lga_code, r.neighbour_code): r.border_degrees for r in sp.shared_borders(spark.createDataFrame(sum(units, []), EDGE)).collect()}
+
+
+def test_a_slanted_border_with_own_vertices_on_each_side(spark):
+    # One side draws the slope in one piece, the other in three, with vertices rounded to the grid.
+    cuts = [(round(x, 6), round(x / 3, 6)) for x in (1.0, 1.7)]
+    upper = ring_edges("A", 0, [(0, 0), (3, 1), (3, 4), (0, 4)])
+    lower = ring_edges("B", 0, [(0, 0), (0, -2), (3, -2), (3, 1), cuts[1], cuts[0]])
+    got = borders(spark, upper, lower)
+    assert set(got) == {("A", "B"), ("B", "A")}
+    assert all(v == pytest.approx(math.sqrt(10), abs=1e-5) for v in got.values())
+
+
+def test_side_contact_containment_and_crossing(spark):
+    big = ring_edges("A", 0, [(0, 0), (4, 0), (4, 4), (0, 4)])
+    beside = ring_edges("B", 0, [(4, 1), (6, 1), (6, 2.5), (4, 2.5)])  # on a part of a side
+    inner = ring_edges("C", 0, [(0, 1), (1, 1), (1, 2), (0, 2)])  # inside, on a part of a side
+    far_in = ring_edges("D", 0, [(2, 2), (3, 2), (3, 3), (2, 3)])  # inside, no contact
+    across = ring_edges("E", 0, [(-1, 3.5), (0.5, 3.5), (0.5, 3.8), (-1, 3.8)])  # crosses a side
+    got = borders(spark, big, beside, inner, far_in, across)
+    assert {k: round(v, 9) for k, v in got.items()} == {("A", "B"): 1.5, ("B", "A"): 1.5, ("A", "C"): 1.0, ("C", "A"): 1.0}
+    edges = spark.createDataFrame(big + beside + inner + far_in + across, EDGE)
+    pairs = {tuple(r) for r in sp.near_touches(edges, known=sp.shared_borders(edges)).collect()}
+    assert pairs == {("A", "D"), ("D", "A"), ("A", "E"), ("E", "A")}
+
+
+def test_each_stretch_counts_once(spark):
+    # The neighbour draws the same side twice, whole and in parts that overlap.
+    a = ring_edges("A", 0, [(0, 0), (2, 0), (2, 2), (0, 2)])
+    b = [("B", 0, i, *map(float, s)) for i, s in enumerate([(2, 0, 2, 2), (2, 0, 2, 1.5), (2, 0.5, 2, 2), (2, 2, 2, 0), (2, 2, 5, 1), (5, 1, 2, 0)])]
+    assert borders(spark, a, b)["A", "B"] == pytest.approx(2.0)
+
+
+def test_near_by_segment_not_by_vertex(spark):
+    # The corner of B points at the middle of a long side of A.
+    a = ring_edges("A", 0, [(0, 0), (0, 50), (-1, 50), (-1, 0)])
+    rows = lambda gap: spark.createDataFrame(a + ring_edges("B", 0, [(gap, 25.3), (3, 26), (3, 25)]), EDGE)
+    assert {tuple(r) for r in sp.near_touches(rows(0.019)).collect()} == {("A", "B"), ("B", "A")}
+    assert sp.near_touches(rows(0.021)).count() == 0
+
+
+def test_location_keeps_no_lists(spark):
+    edges = spark.createDataFrame(ring_edges("A", 0, [(0, 0), (4, 0), (4, 4)]), EDGE)
+    points = spark.createDataFrame([("p", 3.0, 1.0)], "point_id string, longitude double, latitude double")
+    plan = sp.locate_points(points, edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Cartesian" not in plan
