@@ -5,57 +5,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.panel import degree
-from ..operators.ranking import top_in_group
 from ..schemas import INCIDENTS, LGA_ADJACENCY, LGA_REGISTRY, TABLE_KEYS
-
-BUCKET = "key_bucket"
-
+from . import versions
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def last_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The winning row of every key. The filter keeps one row per key in each task before the shuffle."""
-    return top_in_group(rows, list(key), order, 1, "_place").drop("_place")
-
-
-def upsert_rows(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ("ingested_at",)) -> DataFrame:
-    """Old and new rows merged on the key: new rows win, later ones among them first."""
-    stacked = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    present = [F.desc(c) for c in order if c in new.columns]
-    settled = F.desc(F.xxhash64(*[c for c in stacked.columns if c != "_new"]))
-    return last_per_key(stacked, key, [F.desc("_new"), *present, settled]).drop("_new")
-
-
-def upsert(spark: SparkSession, path: str, table: str, rows: DataFrame, order: Sequence[str] = ("ingested_at",), buckets: int = 64) -> None:
-    """Merge ``rows`` into the stored table, rewriting only the key buckets they touch.
+def upsert(spark: SparkSession, path: str, table: str, rows: DataFrame, order: Sequence[str] = ("ingested_at",), batch: tuple[str, int] | None = None) -> bool:
+    """Add ``rows`` to the stored table as a new version; rows that share a natural key are merged when read.
 
-    Replaying the same rows leaves the table as it is. At most ``buckets`` bucket
-    numbers come to the driver.
+    The row with the highest ``order`` columns wins, a later batch among equals.
+    Replaying rows leaves the table as it is, and so does an older batch over a newer
+    one. With ``batch``, (writer, number), a repeated batch is not even stored.
     """
-    key = TABLE_KEYS[table]
-    incoming = rows.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    if path_exists(spark, path):
-        touched = sorted(r[0] for r in incoming.select(BUCKET).distinct().collect())
-        if not touched:
-            return
-        fields = [f for f in rows.schema.fields]
-        stored = spark.read.schema(T.StructType([*fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path).where(F.col(BUCKET).isin(touched))
-        merged = upsert_rows(stored, incoming, key, order)
-    else:
-        merged = upsert_rows(incoming.limit(0), incoming, key, order)
-    merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return versions.append(spark, path, rows, TABLE_KEYS[table], order, batch=batch)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """A stored table, versioned or plain Parquet."""
+    return versions.read(spark, path, schema) if versions.is_versioned(spark, path) else spark.read.schema(schema).parquet(path)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:

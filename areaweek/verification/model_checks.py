@@ -8,7 +8,7 @@ from ..fixtures import FIT_END, TRAIN_END, VALID_END, WEEKS, Domain
 from ..operators import model as md
 from ..operators.pointprocess import HawkesParameters
 from ..plans import features, runs
-from ..schemas import PREDICTIONS
+from ..schemas import MODEL_RUNS, PREDICTIONS
 from ..session import work_path
 from ..sources import tables as tb
 
@@ -90,7 +90,7 @@ def m19(spark, sf):
     for _ in range(2):
         tb.upsert(spark, table, "predictions", scored)
         tb.upsert(spark, book, "model_runs", record, order=("created_at",))
-    return tb.read_table(spark, table, PREDICTIONS).join(spark.read.parquet(book).select("run_id", "metrics"), "run_id")
+    return tb.read_table(spark, table, PREDICTIONS).join(tb.read_table(spark, book, MODEL_RUNS).select("run_id", "metrics"), "run_id")
 
 
 @query("s10_model_roundtrip")

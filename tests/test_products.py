@@ -19,6 +19,8 @@ from areaweek.sources import contracts as ct
 from areaweek.sources import pages as pg
 from areaweek.sources import scans as sc
 from areaweek.sources import tables as tb
+from areaweek.sources import versions
+from areaweek.streaming import drains
 
 # ---------------------------------------------------------------- alerts
 PRED = "lga_code string, lga_name string, state_name string, risk_tier string, probability double"
@@ -146,16 +148,72 @@ def test_contract(spark):
         ct.require_valid(checked)
 
 
+CHATTER_ROWS = "chatter_id string, body string, ingested_at timestamp"
+
+
+def chatter_rows(spark, *rows):
+    return spark.createDataFrame([(k, v, dt.datetime(2024, 1, d)) for k, v, d in rows], CHATTER_ROWS)
+
+
+def chatter_now(spark, path):
+    return sorted((r.chatter_id, r.body) for r in versions.read(spark, path).collect())
+
+
 def test_upsert_last_write_wins_and_replay_is_harmless(spark):
     path = work_path(spark, "t")
-    frame = lambda rows: spark.createDataFrame([(k, v, dt.datetime(2024, 1, d)) for k, v, d in rows], "chatter_id string, body string, ingested_at timestamp")
-    tb.upsert(spark, path, "chatter", frame([("a", "1", 1), ("b", "1", 1), ("a", "2", 2)]), buckets=4)
-    tb.upsert(spark, path, "chatter", frame([("b", "9", 1), ("c", "1", 1)]), buckets=4)
-    tb.upsert(spark, path, "chatter", frame([("b", "9", 1), ("c", "1", 1)]), buckets=4)
-    assert sorted((r.chatter_id, r.body) for r in spark.read.parquet(path).collect()) == [("a", "2"), ("b", "9"), ("c", "1")]
+    tb.upsert(spark, path, "chatter", chatter_rows(spark, ("a", "1", 1), ("b", "1", 1), ("a", "2", 2)))
+    for _ in range(2):
+        tb.upsert(spark, path, "chatter", chatter_rows(spark, ("b", "9", 1), ("c", "1", 1)))
+    want = [("a", "2"), ("b", "9"), ("c", "1")]
+    assert chatter_now(spark, path) == want
+    # An older batch over newer rows changes nothing, before and after compaction.
+    tb.upsert(spark, path, "chatter", chatter_rows(spark, ("a", "old", 1)))
+    assert chatter_now(spark, path) == want
+    versions.compact(spark, path)
+    assert chatter_now(spark, path) == want
+    tb.upsert(spark, path, "chatter", chatter_rows(spark, ("a", "old", 1), ("c", "3", 3), (None, "x", 1)))
+    assert {(r.chatter_id, r.body) for r in versions.read(spark, path).collect()} == {("a", "2"), ("b", "9"), ("c", "3"), (None, "x")}
     assert len(TABLE_KEYS) == 12
 
 
+def test_a_stop_before_the_swap_loses_nothing(spark, monkeypatch):
+    path = work_path(spark, "t")
+    tb.upsert(spark, path, "chatter", chatter_rows(spark, ("a", "1", 1)), batch=("w", 0))
+    stop = lambda *_: (_ for _ in ()).throw(OSError("stopped"))
+    with monkeypatch.context() as m:
+        m.setattr(versions._Folder, "swap", stop)
+        for act in (lambda: tb.upsert(spark, path, "chatter", chatter_rows(spark, ("a", "2", 2)), batch=("w", 1)), lambda: versions.compact(spark, path)):
+            with pytest.raises(OSError, match="stopped"):
+                act()
+    assert chatter_now(spark, path) == [("a", "1")]
+    assert tb.upsert(spark, path, "chatter", chatter_rows(spark, ("a", "2", 2)), batch=("w", 1))
+    assert not tb.upsert(spark, path, "chatter", chatter_rows(spark, ("a", "9", 9)), batch=("w", 1))
+    assert chatter_now(spark, path) == [("a", "2")]
+    reader = versions.read(spark, path)  # a reader of the old parts is not disturbed by new versions
+    versions.append(spark, path, chatter_rows(spark, ("b", "1", 1)), ("chatter_id",), compact_after=1)
+    assert [r.body for r in reader.collect()] == ["2"] and chatter_now(spark, path) == [("a", "2"), ("b", "1")]
+    versions.expire(spark, path)
+    assert chatter_now(spark, path) == [("a", "2"), ("b", "1")]
+
+
+def test_weekly_deltas_take_late_withdrawn_and_replayed_posts(spark):
+    kinds = "lga_code string, posted_at timestamp, threat_score double, sign int"
+    at = lambda day: dt.datetime(2024, 1, day)
+    batches = [
+        [("u", at(22), 0.2, 1), ("u", at(23), None, 1), (None, at(23), 0.9, 1), ("u", None, 0.9, 1)],
+        [("u", at(1), 0.7, 1), ("u", at(22), 0.1, 1), ("v", at(8), -1.0, 1)],  # three weeks late
+        [("u", at(23), None, -1), ("v", at(8), -1.0, -1)],
+    ]
+    topic, table = work_path(spark, "posts"), work_path(spark, "weekly")
+    for part in batches:
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(topic)
+    for _ in range(2):
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(topic)
+        drains.keep_weekly(stream, table, work_path(spark, "state"), writer="posts", sign="sign").awaitTermination()
+    got = {(r.lga_code, r.week_start.day): (r.volume, r.threat) for r in drains.read_weekly(spark, table).collect()}
+    assert got == {("u", 1): (1, 0.7), ("u", 22): (2, 0.2)}
+
+
 def test_unmapped_state_is_an_error(spark):
     units = spark.createDataFrame([("A", "Nowhere")], "lga_code string, state_name string")
     with pytest.raises(sc.UnmappedState, match="Nowhere"):
