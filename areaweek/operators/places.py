@@ -1,13 +1,17 @@
 """Place names: gazetteer, mentioned states, resolved units and the fact bundle.
 
-Texts are cut into words by a generator and joined to the gazetteer on the first
-word of each surface form. Every word carries only the short stretch of text the
-longest surface can cover, so the check of the full form needs no second look at
-the text, and the text itself is never shuffled.
+Surface forms are found through an index of whole word n-grams. Inside each text row,
+words that begin some surface, by a bit table of fixed size, are extended to the
+lengths that surfaces have, and those n-grams that pass a second bit table leave the
+row to be joined with the surfaces as a whole. However many surfaces share their
+first word, an n-gram meets only its own; n-grams that overlap are all tried, so a
+name inside a longer name counts as well. The text itself is never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +28,9 @@ DIRECTIONS = r"\b(east|west|north|south|central)\b"
 STATE_ALIASES = {"fct": "Federal Capital Territory", "abuja": "Federal Capital Territory"}
 UNITS_KEPT = 5
 
-_GAP = r"[^a-z0-9]+"
-_WORD_START = r"(?<![a-z0-9])(?=[a-z0-9])"
+#: Bits of a table of hashes; a crowded table lets more n-grams through to the join and changes no result.
+TABLE_BITS = 1 << 16
+_WORD, _PIECE = r"[a-z0-9]++", r"[a-z0-9]++[^a-z0-9]*+"
 
 
 def gazetteer(registry: DataFrame) -> DataFrame:
@@ -39,59 +44,85 @@ def gazetteer(registry: DataFrame) -> DataFrame:
         F.when(F.contains(base, F.lit("-")), F.array(F.replace(base, F.lit("-"), F.lit(" ")))).otherwise(F.array().cast("array<string>")),
         F.array(F.trim(F.regexp_replace(base, DIRECTIONS, ""))),
     )
+    # Written once: the forms use the normalised name many times over, and so do the readers of this table.
+    named = durable(registry.select("lga_code", "state_name", tx.normalise("lga_name").alias("base")))
     return (
-        registry.select("lga_code", "state_name", tx.normalise("lga_name").alias("base"))
-        .select("lga_code", "state_name", F.explode(F.array_distinct(F.filter(forms, lambda s: F.length(s) >= SHORTEST_SURFACE))).alias("surface"))
+        named.select("lga_code", "state_name", F.explode(F.array_distinct(F.filter(forms, lambda s: F.length(s) >= SHORTEST_SURFACE))).alias("surface"))
     )
 
 
 def state_surfaces(registry: DataFrame) -> DataFrame:
     """(surface, state_name) for every state and the fixed aliases."""
-    names = registry.select("state_name").distinct().select(tx.normalise("state_name").alias("surface"), "state_name", F.lit(0).alias("p"))
+    names = durable(registry.select("state_name").distinct().select(tx.normalise("state_name").alias("surface"), "state_name", F.lit(0).alias("p")))
     aliases = F.array(*[F.struct(F.lit(s).alias("surface"), F.lit(n).alias("state_name"), F.lit(1).alias("p")) for s, n in STATE_ALIASES.items()])
     extra = registry.limit(1).select(F.explode(aliases).alias("a")).select("a.*")
     return names.unionByName(extra).groupBy("surface").agg(F.min_by("state_name", "p").alias("state_name"))
 
 
-def _keyed(surfaces: DataFrame) -> DataFrame:
-    return surfaces.withColumn("first_word", F.regexp_extract("surface", r"[a-z0-9]+", 0)).where(F.col("first_word") != "")
+def _slot(value) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(TABLE_BITS))
+
+
+class NameIndex:
+    """Surfaces by their core, the stretch from the first to the last word, with bit tables for a look inside text rows."""
+
+    def __init__(self, surfaces: DataFrame):
+        core = r"[a-z0-9](?:.*[a-z0-9])?"
+        found = surfaces.select("surface").distinct().withColumn("core", F.regexp_extract("surface", core, 0)).where("core <> ''")
+        # What stands outside the core, at most a separator at either end, must match too.
+        self.surfaces = found.withColumns({"lead": F.regexp_extract("surface", r"^[^a-z0-9]*", 0), "tail": F.regexp_extract("surface", r"[^a-z0-9]*$", 0)})
+        first, words = F.regexp_extract("core", _WORD, 0), F.size(F.regexp_extract_all("core", F.lit(_WORD), 0))
+        slots = found.select(words.alias("words"), F.explode(F.array(F.struct(F.lit(0).alias("table"), _slot(first).alias("at")), F.struct(F.lit(1).alias("table"), _slot("core").alias("at")))).alias("s"))
+        long = slots.groupBy("s.table", F.expr("s.at div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s.at % 64 as int))")).alias("bits"), F.collect_set("words").alias("words"))
+        self.lengths, tables = set(), ([0] * (TABLE_BITS // 64), [0] * (TABLE_BITS // 64))
+        for row in long.collect():  # at most one row per table and 64 bits
+            tables[row["table"]][row["at"]] = row["bits"]
+            self.lengths |= set(row["words"])
+        # One literal, so that the plan stays small; it folds to an array of longs.
+        self.first, self.whole = (F.split(F.lit(",".join(map(str, t))), ",").cast("array<bigint>") for t in tables)
+
+    @staticmethod
+    def _in(table: Column, value: Column) -> Column:
+        slot = _slot(value)
+        return F.getbit(F.get(table, F.floor(slot / 64).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
+
+    def grams(self, normalised: Column) -> Column:
+        """Array of (core, before, after): the n-grams of a text that may be surfaces, with the separators around them."""
+        cut = lambda t: F.struct(F.regexp_extract_all(t, F.lit(_WORD), 0).alias("words"), F.regexp_extract_all(t, F.lit(_PIECE), 0).alias("pieces"))
+        # Bound as lambda variables, the text is normalised and cut once and not once for each use.
+        return F.get(F.transform(F.transform(F.array(normalised), cut), lambda c: self._of_words(c["words"], c["pieces"])), F.lit(0))
+
+    def _of_words(self, words: Column, pieces: Column) -> Column:
+        gap = lambda i: F.substring(F.get(pieces, i), F.length(F.get(words, i)) + 1, F.length(F.get(pieces, i)))
+        starts = F.filter(F.transform(words, lambda w, i: F.when(self._in(self.first, w), i)), lambda i: i.isNotNull())
+
+        def extended(i: Column, n: int) -> Column:
+            last = i + (n - 1)
+            core = F.get(words, i) if n == 1 else F.concat(F.array_join(F.slice(pieces, i + 1, n - 1), ""), F.get(words, last))
+            before = F.when(i > 0, gap(i - 1))
+            after = F.when(last + 1 < F.size(words), gap(last))
+            return F.struct(core.alias("core"), before.alias("before"), after.alias("after"))
+
+        every = F.flatten(F.transform(starts, lambda i: F.array(*[extended(i, n) for n in sorted(self.lengths)])))
+        return F.array_distinct(F.filter(every, lambda g: self._in(self.whole, g["core"])))
+
+    def found(self, grams: DataFrame, text_id: str) -> DataFrame:
+        """(text_id, surface) of the n-grams in column ``grams`` that are surfaces, bounded on both sides."""
+        each = grams.select(text_id, F.explode("grams").alias("g")).select(text_id, "g.*")
+        whole = "(lead = '' or lead <=> before) and (tail = '' or tail <=> after)"
+        return each.join(self.surfaces, "core").where(whole).select(text_id, "surface").distinct()
 
 
 def mentions(texts: DataFrame, surfaces: DataFrame, text_id: str = "text_id", normalised: str = "norm") -> DataFrame:
     """(text_id, surface): surfaces that occur with word boundaries on both sides."""
-    keyed = _keyed(surfaces.select("surface").distinct())
-    # A single number from the names: the most words of any surface.
-    most = keyed.agg(F.max(F.size(F.split("surface", _WORD_START)) + 1)).first()[0] or 1
-    text = F.col(normalised)
-    pieces = texts.select(text_id, F.split(text, _WORD_START).alias("_pieces"), F.split(text, _GAP).alias("_heads"))
-    # Pieces and heads line up: both start a new element at every word, and a text
-    # that opens with a separator gives both an element without a word. The
-    # stretches are cut before the generator, so a word row holds only its own, and
-    # each is read by position, so the cost grows with the words and not their square.
-    stretches = F.transform(
-        "_pieces",
-        lambda piece, at: F.struct(
-            F.get("_heads", at).alias("first_word"),
-            F.get("_pieces", at - 1).alias("_before"),
-            F.concat(*[F.coalesce(F.get("_pieces", at + k), F.lit("")) for k in range(most)]).alias("_context"),
-        ),
-    )
-    words = pieces.select(text_id, F.explode(stretches).alias("s")).select(text_id, "s.*").where(F.col("first_word") != "")
-    return words.join(keyed, "first_word").where(_occurs()).select(text_id, "surface").distinct()
+    index = NameIndex(surfaces)
+    if not index.lengths:
+        return texts.select(text_id, F.lit("").alias("surface")).limit(0)
+    return index.found(texts.select(text_id, index.grams(F.col(normalised)).alias("grams")), text_id)
 
 
-def _occurs() -> Column:
-    """The surface stands in the context at its first word, bounded on both sides."""
-    lead = F.instr("surface", F.col("first_word")) - 1
-    # Separators before the first word of a surface must match the ones before the word.
-    before = F.coalesce("_before", F.lit(""))
-    led = (lead == 0) | before.endswith(F.substring(F.col("surface"), F.lit(1), lead))
-    body = F.substring(F.col("surface"), lead + 1, F.length("surface"))
-    after = F.substring(F.col("_context"), F.length(body) + 1, F.lit(1))
-    tail_is_word = F.substring(F.col("surface"), F.length("surface"), F.lit(1)).rlike("[a-z0-9]")
-    after_is_word = after.rlike("[a-z0-9]")
-    head_free = F.when(lead == 0, F.lit(True)).otherwise(F.substring(before, F.length(before) - lead, F.lit(1)).rlike("[a-z0-9]"))
-    return F.col("_context").startswith(body) & led & head_free & (tail_is_word != after_is_word)
+def all_surfaces(registry: DataFrame) -> DataFrame:
+    return gazetteer(registry).select("surface").unionByName(state_surfaces(registry).select("surface"))
 
 
 def all_mentions(texts: DataFrame, registry: DataFrame, text_id: str = "text_id", normalised: str = "norm") -> DataFrame:
@@ -100,8 +131,7 @@ def all_mentions(texts: DataFrame, registry: DataFrame, text_id: str = "text_id"
     Units and states both read this frame several times. It is small next to the
     texts, so it is written once and the texts are read a single time.
     """
-    surfaces = gazetteer(registry).select("surface").unionByName(state_surfaces(registry).select("surface"))
-    return durable(mentions(texts, surfaces, text_id, normalised))
+    return durable(mentions(texts, all_surfaces(registry), text_id, normalised))
 
 
 def find_states(seen: DataFrame, registry: DataFrame, text_id: str = "text_id") -> DataFrame:
@@ -141,15 +171,24 @@ def text_facts(texts: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def extract_facts(texts: DataFrame, registry: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
-    """The fact bundle per text, places included."""
-    seen = all_mentions(texts.select(text_id, tx.normalise(text).alias("norm")), registry, text_id)
+def extract_facts(texts: DataFrame, registry: DataFrame, text_id: str = "text_id", text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """The fact bundle per text, places included, with the ``keep`` columns of ``texts`` (default: all).
+
+    Texts are read and normalised once; what is kept of a row is written with its
+    facts and n-grams, and only that meets the places.
+    """
+    index = NameIndex(all_surfaces(registry))
+    facts = text_facts(texts, text)
+    added = [c for c in facts.columns if c not in texts.columns and c != "norm"]
+    kept = list(dict.fromkeys([text_id, *(texts.columns if keep is None else keep)]))
+    rows = durable(facts.select(*kept, *added, index.grams(F.col("norm")).alias("grams")))
+    seen = durable(index.found(rows, text_id))
     units = resolve_units(seen, registry, text_id).groupBy(text_id).agg(
         F.array_sort(F.collect_list(F.struct("place_rank", "lga_code", "confidence"))).alias("_u")
     )
     states = find_states(seen, registry, text_id).groupBy(text_id).agg(F.array_sort(F.collect_set("state_name")).alias("states"))
     places = units.join(states, text_id, "full").select(text_id, F.col("_u.lga_code").alias("lga_codes"), F.col("_u")[0]["confidence"].alias("confidence"), "states")
     none = F.array().cast("array<string>")
-    return text_facts(texts, text).drop("norm").join(places, text_id, "left").withColumns(
+    return rows.drop("grams").join(places, text_id, "left").withColumns(
         {"lga_codes": F.coalesce("lga_codes", none), "states": F.coalesce("states", none), "confidence": F.coalesce("confidence", F.lit(0.0))}
     )

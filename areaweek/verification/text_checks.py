@@ -134,6 +134,21 @@ def x4b(spark, sf):
     return pl.resolve_units(pl.all_mentions(normed(spark, sf), registry), registry).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(
+    "x4_shared_first_word",
+    f"""with named as (select lga_code, {NORM.format(c="'near ' || lga_name")} as surface from registry union all select 'L' || lga_code, {NORM.format(c="'near ' || lga_name || ' and'")} from registry),
+        marked as (select text_id, regexp_replace(norm, '([a-z0-9]+)', '<\\1>', 'g') as m from normed),
+        said as (select distinct text_id, lga_code from marked join (select lga_code, regexp_replace(surface, '([a-z0-9]+)', '<\\1>', 'g') as s from named) on contains(m, s))
+        select * from (select text_id, lga_code, 0.95::double as confidence, row_number() over (partition by text_id order by lga_code) as place_rank from said) where place_rank <= 5""",
+)
+def x4c(spark, sf):
+    """Every surface begins with the same frequent word, and each name lies inside a longer one."""
+    registry = Domain(spark, sf).registry
+    named = lambda code, end: registry.withColumns({"lga_code": F.concat(F.lit(code), "lga_code"), "lga_name": F.concat(F.lit("near "), "lga_name", F.lit(end))})
+    units = named("", "").unionByName(named("L", " and"))
+    return pl.resolve_units(pl.all_mentions(normed(spark, sf), units), units)
+
+
 @query("x5_money", "select text_id, ransom_ngn from texts left join monies using (text_id)")
 def x5(spark, sf):
     return texts(spark, sf).select("text_id", tx.money("text").alias("ransom_ngn"))
@@ -168,7 +183,7 @@ def x8(spark, sf):
        left join (select text_id, string_agg(state_name, ',' order by state_name) as states from said_states group by all) using (text_id)""",
 )
 def x9(spark, sf):
-    facts = pl.extract_facts(texts(spark, sf), Domain(spark, sf).registry)
+    facts = pl.extract_facts(texts(spark, sf), Domain(spark, sf).registry, keep=["text_id"])
     return facts.select(
         "text_id", "ransom_ngn", "victims", "fatalities", r6("threat_score", "threat_score"), r6("sentiment", "sentiment"),
         F.array_join("lga_codes", ",").alias("lga_codes"), "confidence", F.array_join("states", ",").alias("states"),

@@ -109,3 +109,22 @@ def test_full_bundle(spark, registry):
     assert (r.lga_codes, r.states, r.ransom_ngn, r.victims, r.fatalities) == (["K2"], ["Kaduna"], 15e6, 14, 3)
     assert r.threat_score > 0.3 and r.confidence == 0.95
     assert len(r.drivers) == 7
+
+
+def test_surfaces_that_share_a_word_and_overlap(spark):
+    """Every surface begins with the same word, names lie inside longer names, and a crowded table changes nothing."""
+    import re
+
+    surfaces = ["birnin", "birnin gwari", "birnin gwari road", "birnin kebbi", "gwari road", "birnin birnin"]
+    texts = ["birnin " * 50 + "gwari road", "birnin gwari roads", "birnin-gwari road", "a birnin kebbi birnin gwari", "", "x" * 3000, "birnin birnin birnin"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "text_id string, norm string")
+    want = {(str(i), s) for i, t in enumerate(texts) for s in surfaces if re.search(rf"\b{re.escape(s)}\b", t)}
+    frame = spark.createDataFrame([(s,) for s in surfaces], "surface string")
+    whole = pl.TABLE_BITS
+    try:
+        for bits in (whole, 64):
+            pl.TABLE_BITS = bits
+            assert {(r.text_id, r.surface) for r in pl.mentions(df, frame).collect()} == want
+    finally:
+        pl.TABLE_BITS = whole
+    assert pl.mentions(df, frame.limit(0)).count() == 0
