@@ -26,10 +26,10 @@ MU_SCALE_BOUNDS = (math.exp(-6.0), math.exp(6.0))
 LOGIT_BOUND = 8.0
 DECAY_BOUNDS = (1e-3, 2.0)
 
-# exp() overflows near 709; beyond this span the bounded forms are used.
-_SAFE_EXPONENT = 600.0
-# exp(-37) is below the rounding step of a double sum.
-_NEGLIGIBLE_EXPONENT = 37.0
+# Decay over one block of days, well inside what a double can hold.
+BLOCK_EXPONENT = 300.0
+# exp() of anything below is exactly 0 in a double.
+_ZERO_EXPONENT = 746.0
 
 
 @dataclass(frozen=True)
@@ -90,23 +90,37 @@ def expanding_baseline(panel: DataFrame) -> DataFrame:
     return panel.withColumn("base_rate", (seen + 0.5) / F.greatest(F.col("week_index") * 7, F.lit(1)))
 
 
+def _scan(at: str, measure: str, rate: float, length: int, key: Sequence[str], offset: int) -> Column:
+    """Decayed sum of ``measure`` over the earlier steps s < t of each key: sum of m * exp(-rate * (t - offset - s)).
+
+    A blocked scan. Steps are cut into blocks over which the decay stays within
+    ``BLOCK_EXPONENT``. Inside a block one running sum serves all rows; a block
+    hands on its sum, decayed to its end, which each later block decays by the distance.
+    Sums from so far back that their factor is exactly 0 in a double are not
+    fetched, so every span has the same form and no term is lost.
+    """
+    size = max(1, math.floor(BLOCK_EXPONENT / rate))
+    behind = min(math.ceil(length / size), math.ceil(_ZERO_EXPONENT / (rate * size)) + 1) if length >= size else 0
+    t, m = F.col(at), F.col(measure)
+    block = F.floor(t / size)
+    # Without a second block the key alone orders the rows, as other windows of the caller do.
+    inside = Window.partitionBy(*key, *([block] if behind else [])).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    grown = F.sum(m * F.exp(rate * (t - block * size))).over(inside)
+    total = F.coalesce(grown * F.exp(-rate * (t - block * size - offset)), F.lit(0.0))
+    blocks = Window.partitionBy(*key).orderBy(block)
+    for back in range(1, behind + 1):
+        handed = F.sum(m * F.exp(-rate * ((block + 1) * size - t))).over(blocks.rangeBetween(-back, -back))
+        total = total + F.coalesce(handed * F.exp(-rate * (t - (block - back + 1) * size - offset)), F.lit(0.0))
+    return total
+
+
 def decay_sums(points: DataFrame, decay: float, span_days: int, key: Sequence[str] = ("lga_code",)) -> DataFrame:
     """Add ``decay_sum`` = sum over earlier days s < day of n * exp(-decay * (day - s)).
 
-    ``points`` holds one row per key and day; evaluation days carry n = 0.
+    ``points`` holds one row per key and day from 0 to ``span_days``; evaluation days
+    carry n = 0.
     """
-    t = F.col("day")
-    if decay * span_days <= _SAFE_EXPONENT:
-        w = Window.partitionBy(*key).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-        grown = F.sum(F.col("n") * F.exp(decay * t)).over(w)
-        return points.withColumn("decay_sum", F.coalesce(grown * F.exp(-decay * t), F.lit(0.0)))
-    # Fast decay: only the last few days matter, so bring the exponent down to
-    # the start of a short block and look back over whole blocks.
-    reach = math.ceil(_NEGLIGIBLE_EXPONENT / decay)
-    w = Window.partitionBy(*key).orderBy("day").rangeBetween(-reach, -1)
-    recent = F.collect_list(F.struct(F.col("day").alias("s"), F.col("n").alias("n"))).over(w)
-    total = F.aggregate(recent, F.lit(0.0), lambda acc, e: acc + e["n"] * F.exp(-decay * (t - e["s"])))
-    return points.withColumn("decay_sum", total)
+    return points.withColumn("decay_sum", _scan("day", "n", decay, span_days, key, 0))
 
 
 def with_evaluation_days(events: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -142,15 +156,7 @@ def weekly_mass(incidents: DataFrame, weeks: p.WeekRange, decay: float) -> DataF
 
 def weekly_decay_sum(measure: str, decay: float, n_weeks: int) -> Column:
     """Decay sum at each Monday from the weekly masses of one unit, as a window expression."""
-    step = 7 * decay
-    if step * n_weeks <= _SAFE_EXPONENT:
-        before = p.unit_window().rowsBetween(Window.unboundedPreceding, -1)
-        grown = F.sum(F.col(measure) * F.exp(step * F.col("week_index"))).over(before)
-        return F.coalesce(grown * F.exp(-step * (F.col("week_index") - 1)), F.lit(0.0))
-    reach = math.ceil(_NEGLIGIBLE_EXPONENT / step) + 1
-    w = p.unit_window()
-    terms = [F.coalesce(F.lag(measure, k).over(w), F.lit(0.0)) * math.exp(-step * (k - 1)) for k in range(1, reach + 1)]
-    return sum(terms[1:], terms[0])
+    return _scan("week_index", measure, 7 * decay, n_weeks - 1, ("lga_code",), 1)
 
 
 def intensity_columns(par: HawkesParameters, base_rate: Column, own: Column, around: Column, horizon: int = 7) -> list[Column]:

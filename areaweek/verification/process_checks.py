@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import FIT_END, WEEKS, Domain
@@ -68,6 +69,26 @@ def h3(spark, sf):
     return summed.where("wanted = 1").select("lga_code", WEEKS.start_of(F.col("day") / 7).alias("week_start"), r6("decay_sum", "decay_sum"))
 
 
+@query(
+    "h3_fast_decay",
+    f"""select u.lga_code, decay, round(sum(d.n * exp(-decay * (w.week_index * 7 - d.day))), 9) as decay_sum, count(*) as terms
+        from registry u cross join weeks w cross join (values (0.4::double), (2.0::double)) t(decay) join all_days d on d.lga_code = u.lga_code and d.day < w.week_index * 7
+        where w.week_index % 8 = 0 group by all""",
+)
+def h3b(spark, sf):
+    """Decay times span far above what one exponential can hold; every earlier day is a term."""
+    d = Domain(spark, sf)
+    evaluation = p.unit_week_grid(d.registry, WEEKS).where("week_index % 8 = 0").select("lga_code", (F.col("week_index") * 7).alias("day"))
+    points = pp.with_evaluation_days(pp.target_days(d.incidents, WEEKS), evaluation)
+    earlier = F.count_if(F.col("n") > 0).over(Window.partitionBy("lga_code").orderBy("day").rangeBetween(Window.unboundedPreceding, -1))
+    out = None
+    for decay in (0.4, 2.0):
+        rows = pp.decay_sums(points, decay, pp.horizon_days(WEEKS)).withColumn("terms", earlier).where("wanted = 1 and terms > 0")
+        rows = rows.groupBy("lga_code").agg(F.round(F.sum("decay_sum"), 9).alias("decay_sum"), F.sum("terms").alias("terms")).withColumn("decay", F.lit(decay))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("h4_neighbour_decay_sums", "select lga_code, week_start, round(rn, 6) as nb_decay_sum from week_rn")
 def h4(spark, sf):
     d = Domain(spark, sf)
