@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import metrics, scoring
+from . import isotonic, metrics, scoring
 
 # Training defaults and the sweep grid.
 DEFAULTS = {
@@ -66,9 +66,12 @@ def raw_scores(booster: GBTClassificationModel, frame: DataFrame, features: Sequ
 
 
 def fit_calibrator(scored: DataFrame, raw: str = "raw") -> IsotonicRegressionModel:
-    """Isotonic fit on validation rows only, from one weighted row per distinct score."""
+    """Isotonic fit on validation rows only, from one weighted row per distinct score.
+
+    Scores are pooled in ranges; only the ends of the steps that remain make the model.
+    """
     points = scored.groupBy(F.col(raw).alias("feature")).agg(F.avg(F.col("label").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="feature", labelCol="label", weightCol="weight").fit(points)
+    return IsotonicRegression(featuresCol="feature", labelCol="label", weightCol="weight").fit(isotonic.step_ends(isotonic.pooled(points)))
 
 
 def calibrate(calibrator: IsotonicRegressionModel, scored: DataFrame, raw: str = "raw", name: str = "probability") -> DataFrame:

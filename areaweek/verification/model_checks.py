@@ -1,10 +1,11 @@
-"""Fitted-model queries. Without SQL twins; the tests hold their invariants."""
+"""Fitted-model queries. Those of boosted trees have no SQL twins; the tests hold their invariants."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..fixtures import FIT_END, TRAIN_END, VALID_END, WEEKS, Domain
+from ..operators import isotonic
 from ..operators import model as md
 from ..operators.pointprocess import HawkesParameters
 from ..plans import features, runs
@@ -18,9 +19,11 @@ SQL: dict[str, str] = {}
 PAR = HawkesParameters(mu_scale=0.6, branching=0.5, self_share=0.8, decay=0.03)
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
         return fn
 
     return add
@@ -55,6 +58,25 @@ def m5(spark, sf):
     return md.score(fitted, rows.where("fold = 'test'")).select("lga_code", "week_start", "raw", "probability")
 
 
+@query(
+    "m5_isotonic_fit",
+    """with points as (select cast(floor(l_extendedprice / 600) as double) as feature, avg(case when l_returnflag = 'R' then 1.0 else 0.0 end) as label, count(*) as weight from lineitem group by 1),
+    sums as (select *, row_number() over o as i, sum(label * weight) over o as s, sum(weight) over o as w from points window o as (order by feature)),
+    runs as (select a.i as j, b.i as k, (b.s - a.s + a.label * a.weight) / (b.w - a.w + a.weight) as mean from sums a join sums b on a.i <= b.i),
+    lowest as (select r.j, p.i, min(r.mean) as mean from runs r join sums p on r.j <= p.i and r.k >= p.i group by all)
+    select feature, round(max(mean), 9) as fitted from lowest join sums using (i) group by all""",
+)
+def m5b(spark, sf):
+    """Share of returned lines by price, fitted in ranges of 16 steps, as the greatest of the least means."""
+    lines = Domain(spark, sf).table("lineitem")
+    points = lines.groupBy(F.floor(F.col("l_extendedprice") / 600).cast("double").alias("feature")).agg(
+        F.avg((F.col("l_returnflag") == "R").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
+    )
+    steps = isotonic.pooled(points, range_blocks=16)
+    at = points.join(steps, (F.col("feature") >= F.col("low")) & (F.col("feature") <= F.col("high")))
+    return at.select("feature", F.round("mean", 9).alias("fitted"))
+
+
 @query("m12_model_comparison")
 def m12(spark, sf):
     run, _ = trained(spark, sf)
