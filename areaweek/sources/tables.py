@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date, timedelta
 
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.panel import degree
 from ..schemas import INCIDENTS, LGA_ADJACENCY, LGA_REGISTRY, TABLE_KEYS
-from . import versions
+from . import contracts, versions
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,11 +88,44 @@ def active_producers(summary: DataFrame) -> DataFrame:
     )
 
 
-def publish(rows: DataFrame, topic: str, producer: str, ingest_date: str) -> None:
-    """Append validated rows to a topic folder."""
-    rows.withColumn("producer", F.lit(producer)).withColumn("ingest_date", F.lit(ingest_date)).write.mode("append").partitionBy(
-        "producer", "ingest_date"
-    ).parquet(topic)
+def publish(
+    rows: DataFrame, topic: str, schema: T.StructType, producer: str, ingest_date: str, defaults: dict | None = None, allowed: dict[str, Sequence[str]] | None = None,
+    batch: str | None = None, strict: bool = False,
+) -> None:
+    """Append the rows that fit ``schema`` to a topic folder; the others go to its quarantine with their reasons.
+
+    Rows are checked while they are written to a staging folder that no reader looks
+    at, and move into the topic only once all of them are there. A publish that breaks before
+    that leaves no row; one that stops while files move is finished by publishing
+    again under the same ``batch`` name, which moves the missing files only. ``strict``
+    refuses a batch with any bad row.
+    """
+    spark, batch = rows.sparkSession, batch or uuid.uuid4().hex
+    stage, place = f"{topic}/_staging/{batch}", f"producer={producer}/ingest_date={ingest_date}"
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = new_path(topic).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = f"{stage}/_SUCCESS"
+    if not path_exists(spark, written):
+        checked = contracts.check(rows, schema, defaults, allowed)
+        checked.withColumn("fits", F.size(contracts.REASONS) == 0).write.mode("overwrite").partitionBy("fits").parquet(stage)
+    if strict and path_exists(spark, f"{stage}/fits=false"):
+        reasons = [r[0] for r in spark.read.parquet(f"{stage}/fits=false").select(contracts.REASONS).limit(5).collect()]
+        files.delete(new_path(stage), True)
+        raise contracts.ContractBroken("; ".join(", ".join(r) for r in reasons))
+    for part, target in (("fits=false", f"{topic}/_quarantine/{place}"), ("fits=true", f"{topic}/{place}")):
+        if not path_exists(spark, f"{stage}/{part}"):
+            continue
+        files.mkdirs(new_path(target))
+        for found in files.listStatus(new_path(f"{stage}/{part}")):
+            if found.getPath().getName().endswith(".parquet") and not files.rename(found.getPath(), new_path(f"{target}/{batch}-{found.getPath().getName()}")):
+                raise OSError(f"{found.getPath()} could not be moved")
+
+
+def quarantine(spark: SparkSession, topic: str, schema: T.StructType) -> DataFrame:
+    """Rows of a topic that did not fit, with their reasons."""
+    kinds = T.StructType([*schema.fields, T.StructField(contracts.REASONS, T.ArrayType(T.StringType())), *topic_schema(T.StructType([])).fields])
+    at = f"{topic}/_quarantine"
+    return spark.read.schema(kinds).parquet(at) if path_exists(spark, at) else spark.createDataFrame([], kinds)
 
 
 def replay(spark: SparkSession, topic: str, schema: T.StructType) -> DataFrame:

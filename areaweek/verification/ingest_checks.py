@@ -383,9 +383,9 @@ def s9(spark, sf):
 def published(spark, sf):
     """Both feeds in one topic, the second one published twice."""
     topic = work_path(spark, "topic")
-    tb.publish(feed_a(spark, sf), topic, "feed_a", "2024-02-01")
-    tb.publish(feed_b(spark, sf), topic, "feed_b", "2024-02-01")
-    tb.publish(feed_b(spark, sf), topic, "feed_b", "2024-02-08")
+    tb.publish(feed_a(spark, sf), topic, INCIDENTS, "feed_a", "2024-02-01")
+    tb.publish(feed_b(spark, sf), topic, INCIDENTS, "feed_b", "2024-02-01")
+    tb.publish(feed_b(spark, sf), topic, INCIDENTS, "feed_b", "2024-02-08")
     return topic
 
 
@@ -413,6 +413,31 @@ def s13(spark, sf):
     return tb.read_table(spark, path, INCIDENTS).select("event_id", "event_date", "fatalities")
 
 
+@query(
+    "s11_publish_checked",
+    """select case when fatalities = 4 then 'event_class: not an allowed value' when fatalities = 3 then 'event_date: wrong type' else 'in the topic' end as outcome,
+        count(*) as n, count(distinct event_id) as keys from norm_a group by all""",
+)
+def s11b(spark, sf):
+    """Rows of an unknown class or with a broken date go to quarantine; a refused batch and a repeated one change nothing."""
+    topic = work_path(spark, "topic")
+    rows = feed_a(spark, sf)
+    broken = rows.withColumns({
+        "event_class": F.when(F.col("fatalities") == 4, "unknown").otherwise(F.col("event_class")),
+        "event_date": F.when(F.col("fatalities") == 3, "13th of Never").otherwise(F.col("event_date").cast("string")),
+    })
+    rule = {"event_class": EVENT_CLASSES}
+    for _ in range(2):
+        tb.publish(broken, topic, INCIDENTS, "feed_a", "2024-02-01", allowed=rule, batch="first")
+    try:
+        tb.publish(broken, topic, INCIDENTS, "feed_a", "2024-02-08", allowed=rule, strict=True)
+    except ct.ContractBroken:
+        pass
+    good = tb.replay(spark, topic, INCIDENTS).select(F.lit("in the topic").alias("outcome"), "event_id")
+    bad = tb.quarantine(spark, topic, INCIDENTS).select(F.array_join(ct.REASONS, "; ").alias("outcome"), "event_id")
+    return good.unionByName(bad).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("keys"))
+
+
 @query("s14_typed_readers", "select event_id, event_date, event_class, lga_code, fatalities from incidents where event_class = 'banditry_kidnapping' and lga_code is not null")
 def s14(spark, sf):
     path = work_path(spark, "incidents")
@@ -495,7 +520,7 @@ def r2(spark, sf):
 @query("r3_bounded_batches", "select event_id, event_class from norm_a")
 def r3(spark, sf):
     topic, table = work_path(spark, "topic"), work_path(spark, "drained")
-    tb.publish(feed_a(spark, sf).repartition(6), topic, "feed_a", "2024-02-01")
+    tb.publish(feed_a(spark, sf).repartition(6), topic, INCIDENTS, "feed_a", "2024-02-01")
     dr.drain(spark, topic, INCIDENTS, "incidents", table, work_path(spark, "state"), files_per_batch=3).awaitTermination()
     return tb.read_table(spark, table, INCIDENTS).select("event_id", "event_class")
 

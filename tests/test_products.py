@@ -5,6 +5,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from areaweek.functions import calendar as cf
 from areaweek.functions.identity import parse_date, stable_id, tolerant_int
@@ -276,3 +277,26 @@ def test_tree_attributions_are_shapley_values(spark):
                 for s in itertools.combinations(others, k):
                     brute += math.factorial(k) * math.factorial(2 - k) / 6 * (game(x, {*s, i}) - game(x, set(s)))
             assert got[unit][name] == pytest.approx(brute, abs=1e-9)
+
+
+# ---------------------------------------------------------------- topics
+def test_publish_checks_stages_and_finishes(spark, monkeypatch):
+    topic = work_path(spark, "topic")
+    schema = T.StructType([T.StructField("k", T.StringType(), False), T.StructField("n", T.IntegerType(), True)])
+    rows = spark.createDataFrame([("a", "1"), ("b", "x"), (None, "2"), ("c", None)], "k string, n string").repartition(2)
+    held = lambda: sorted(r.k for r in tb.replay(spark, topic, schema).collect())
+    with pytest.raises(ct.ContractBroken, match="wrong type|missing"):
+        tb.publish(rows, topic, schema, "p", "2024-01-01", strict=True)
+    assert not tb.path_exists(spark, f"{topic}/producer=p")
+    for _ in range(2):
+        tb.publish(rows, topic, schema, "p", "2024-01-01", batch="one")
+    assert held() == ["a", "c"]
+    bad = {(r.k, tuple(r[ct.REASONS])) for r in tb.quarantine(spark, topic, schema).collect()}
+    assert bad == {("b", ("n: wrong type",)), (None, ("k: missing",))}
+    # A job that fails while it writes leaves nothing; the same batch can be published afterwards.
+    fails = rows.where("k is not null").withColumn("n", F.when(F.col("k") == "b", F.raise_error(F.lit("stopped"))).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="stopped"):
+        tb.publish(fails, topic, schema, "p", "2024-01-02", batch="two")
+    assert held() == ["a", "c"]
+    tb.publish(rows.where("k = 'a'"), topic, schema, "p", "2024-01-02", batch="two")
+    assert held() == ["a", "a", "c"]
