@@ -221,14 +221,19 @@ def a16(spark, sf):
 
 
 # ---------------------------------------------------------------- actor graph
-@query("g3_recency_weight", "select event_id, round(recency, 6) as recency from named")
+@query("g3_recency_weight", f"select event_id, round(pow(0.5, greatest(date '{LAST}' - event_date, 0) / 365), 6) as recency from incidents_l")
 def g3(spark, sf):
-    return events(large(spark, sf)).select("event_id", r6("recency", "recency"))
+    incidents = large(spark, sf).incidents
+    return incidents.select("event_id", F.round(act.recency_weight(F.col("event_date"), F.lit(LAST).cast("date")), 6).alias("recency"))
 
 
-@query("g4_clean_actor", "select event_id, sec, prim from named")
+@query(
+    "g4_clean_actor",
+    """select event_id, case when lower(trim(actor_secondary)) not in ('civilians', 'unknown', '', 'none', 'civilians (nigeria)') then trim(actor_secondary) end as sec,
+       case when lower(trim(actor_primary)) not in ('civilians', 'unknown', '', 'none', 'civilians (nigeria)') then trim(actor_primary) end as prim from incidents_l""",
+)
 def g4(spark, sf):
-    return events(large(spark, sf)).select("event_id", act.clean_actor("actor_secondary").alias("sec"), act.clean_actor("actor_primary").alias("prim"))
+    return large(spark, sf).incidents.select("event_id", act.clean_actor("actor_secondary").alias("sec"), act.clean_actor("actor_primary").alias("prim"))
 
 
 @query("b6_actor_lookback", "select event_id, actor from named")

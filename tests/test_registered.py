@@ -1,10 +1,12 @@
 """Registered queries against their SQL. AREAWEEK_FULL=1 runs all of them."""
 
 import os
+import sys
 
 import pytest
 
 import __spark_entry__ as entry_module
+from areaweek import verification
 from areaweek.verification.harness import compare, connect
 
 SF = os.environ.get("AREAWEEK_SF", "/root/testdata/sf0.001")
@@ -58,3 +60,11 @@ def test_model_queries_use_the_full_settings(monkeypatch):
         with pytest.raises(Reached) as reached:
             entry_module.queries()[name](None, "")
         assert reached.value.args == (n, {}), name
+
+
+def test_a_missing_dependency_leaves_the_other_queries(monkeypatch, capsys):
+    for name in ("areaweek.llm.queries", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)
+    assert set(entry_module.queries()) == set(verification.registered())
+    assert set(entry_module.oracle_sql()) == set(verification.checking_sql())
+    assert "areaweek.llm.queries is left out" in capsys.readouterr().err
