@@ -26,8 +26,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MULTI_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Pieces of at most this many characters are remembered, and so many of them per worker.
-_KEEP_CHARS, _KEEP_PIECES = 128, 1 << 19
+#: Pieces of at most this many characters are remembered, so many bytes of them per worker in each of two generations, and so many pairs.
+_KEEP_CHARS, _KEEP_BYTES, _KEEP_PAIRS = 128, 24 << 20, 1 << 17
+#: What an entry takes besides its characters and ids: two objects and their place in the table.
+_ENTRY_BYTES = 200
 #: A later character changes at most this many of the last pieces ("'v" + "e").
 _UNSETTLED = 2
 
@@ -134,9 +136,7 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > _KEEP_PIECES:
-            self.pieces.clear()
-        if len(self._pairs) > _KEEP_PIECES:
+        if len(self._pairs) > _KEEP_PAIRS:
             self._pairs.clear()
         return b"".join(map(self.pieces.__getitem__, split(text)))
 
@@ -152,15 +152,21 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Pieces(dict):
-    """Packed ids of pieces, filled on demand."""
+    """Packed ids of pieces, filled on demand, in two generations of bounded size: pieces still in use move to the younger one."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older, self.held = vocabulary, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = _packed(self.vocabulary.encode_piece(piece.encode()))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = _packed(self.vocabulary.encode_piece(piece.encode()))
         if len(piece) <= _KEEP_CHARS:
+            if self.held > _KEEP_BYTES:
+                self.older, self.held = dict(self), 0
+                self.clear()
             self[piece] = ids
+            self.held += _ENTRY_BYTES + 2 * len(piece) + len(ids)
         return ids
 
 
