@@ -55,11 +55,11 @@ def test_cooldown_and_escalation(spark, predictions):
 
 
 def test_blast_radius(spark):
-    rows = [(f"u{i}", "n", "s", "Severe" if i < 10 else "Low", 0.5) for i in range(774)]
+    rows = [(f"u{i}", "n", "s", "Severe" if i < 7 else "Low", 0.5) for i in range(260)]
     few = spark.createDataFrame(rows, PRED)
     every = few.withColumn("risk_tier", F.lit("Severe"))
     none = history(spark, ("x", "Low", "sent", "2024-01-01 00:00:00"))
-    for frame, action, n in ((few, "send", 10), (every, "held_blast_radius", 774)):
+    for frame, action, n in ((few, "send", 7), (every, "held_blast_radius", 260)):
         out = al.hold_blast_radius(al.decide(frame, none, NOW), frame)
         assert [(r.action, r["count"]) for r in out.groupBy("action").count().collect()] == [(action, n)]
 
