@@ -12,9 +12,12 @@ see often, the sums order the frequent ones last. The table of these is bounded
 share of all n-grams that each must hold; it sets an order and decides no result.
 
 Equal sets are one class from the start. What is wanted is connectedness, so lists are
-first searched against one member each, in rounds; lists that are in one component by
-then are done, and all pairs from different components of a list are searched in full
-at the end. No list is collected in a task: lists stream in sorted order.
+searched in rounds against few of their members: first the smallest, then eight drawn
+anew, sixteen and so on. Lists that lie in one component by then are done and are
+carried no further. Once all pairs of different components in the open lists are no more
+than the next round would make, these are searched in full. All members of a group draw
+alike, so a round makes few candidates per set however large the group. No list is
+collected in a task: lists stream in sorted order.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from areaweek.llm.common import components, stored
 
@@ -36,6 +40,8 @@ WORDS, PERCENT = 5, 75
 _REPORT, _PARTS = 2, 4_000_000
 #: The short lists of a set of n n-grams meet each partner 1 + n / 20 times at least.
 _EXTRA = 20
+#: Members that an open list is searched against in the second round; twice as many in each further one, up to the second number.
+_PIVOTS, _MOST_PIVOTS = 8, 64
 #: Sets checked against one copy of their common partner.
 _GROUP = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -135,9 +141,10 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and then by set, those whose token has more than one set, each once."""
+    """Of rows sorted by token and then by set, those whose token has more than one set, each once, with the first set (p) of the token."""
     names = ["token", "n", "id"]
-    held, mated = None, False
+    held, mated, lead = None, False, (None, None, None)
+    done = lambda rows, p: pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows, *p)], names=[*names, "p_n", "p"])
     for batch in batches:
         rows = np.stack([_column(batch, c).astype(np.int64) for c in names])
         if held is not None:
@@ -150,10 +157,50 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = rows[0, 1:] == rows[0, :-1]
         before = np.concatenate([[mated], same])
         keep = before[:-1] | same
-        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in rows], names=names)
-        held, mated = rows[:, -1:], bool(before[-1])
+        starts = np.maximum.accumulate(np.where(before, 0, np.arange(rows.shape[1])))
+        firsts = rows[1:, starts]
+        if lead[0] == rows[0, 0]:
+            firsts[:, starts == 0] = np.array(lead[1:], np.int64)[:, None]
+        yield done(rows[:, :-1][:, keep], firsts[:, :-1][:, keep])
+        held, mated, lead = rows[:, -1:], bool(before[-1]), (rows[0, -1], *firsts[:, -1])
     if held is not None and mated:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
+        yield done(held, np.array(lead[1:], np.int64)[:, None])
+
+
+def _first_round(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, n, id, p_n, p) sorted by id: the lists of sets that meet others often enough to have a partner, and (q, r) of those to check against p.
+
+    A list row has null q and r, a candidate null token, n and id.
+    """
+    names = ["token", "n", "id", "p_n", "p"]
+
+    def settle(rows: np.ndarray) -> pa.RecordBatch:
+        _, start, met = np.unique(rows[2], return_index=True, return_counts=True)
+        n = rows[1, start]
+        able = met >= 1 + -(-percent * n // 100) // _EXTRA
+        rows = rows[:, np.repeat(able, met)]
+        token, n, name, p_n, p = rows
+        alike = (p != name) & (100 * np.minimum(n, p_n) >= percent * np.maximum(n, p_n))
+        order = np.flatnonzero(alike)[np.lexsort((p[alike], name[alike]))]
+        q, r = name[order], p[order]
+        at = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (r[1:] != r[:-1])])[: len(q)])
+        enough = np.diff(at, append=len(q)) >= 1 + np.minimum(n[order][at], p_n[order][at]) // _EXTRA
+        empty = lambda k: pa.nulls(k, pa.int64())
+        found = np.stack([q[at], r[at]])[:, enough]
+        columns = [pa.chunked_array([pa.array(c), empty(found.shape[1])]) for c in (token, n, name)] + [pa.chunked_array([empty(len(token)), pa.array(c)]) for c in found]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], names=["token", "n", "id", "q", "r"])
+
+    held = np.zeros((5, 0), np.int64)
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([_column(batch, c).astype(np.int64) for c in names])], axis=1)
+        if not rows.shape[1]:
+            continue
+        last = int(np.searchsorted(rows[2], rows[2, -1]))
+        held = rows[:, last:]
+        if last:
+            yield settle(rows[:, :last])
+    if held.shape[1]:
+        yield settle(held)
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,14 +275,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
                 )
 
     lists = "token long, n long, id long"
-    posted = rows.select("text").mapInArrow(post, lists).repartition("token").sortWithinPartitions("token", "id").mapInArrow(_mates, lists)
+    posted = rows.select("text").mapInArrow(post, lists).repartition("token").sortWithinPartitions("token", "id").mapInArrow(_mates, f"{lists}, p_n long, p long")
+    # Sets that meet others too rarely in all cannot have a partner; the first round is searched in the same pass.
+    posted = posted.repartition("id").sortWithinPartitions("id").mapInArrow(lambda batches: _first_round(batches, percent), f"{lists}, q long, r long")
     posted = stored(posted, "lists")
-    # A set that meets others too rarely in all cannot have a partner.
-    least_met = 1 + F.floor(F.ceil(percent * F.col("n") / 100) / _EXTRA)
-    able = posted.groupBy("id").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= least_met)
-    posted = stored(posted.join(able.select("id"), "id", "left_semi"), "lists")
+    found, posted = posted.where("q is not null").select("q", "r"), posted.where("q is null").select("token", "n", "id")
 
-    carrying = sizes.join(able.select("id"), "id", "left_semi").groupBy("id").agg(F.min("doc").alias("carrier")).select("carrier").distinct()
+    carrying = sizes.join(posted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc").alias("carrier")).select("carrier").distinct()
     wanted = rows.join(carrying, F.col("doc").eqNullSafe(F.col("carrier")), "left_semi")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,9 +305,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
 
-    def links(candidates: DataFrame) -> DataFrame:
-        """Search, then check each retained set against the sets that it was retained for, in salted groups led by the common one."""
-        found = stored(candidates.repartition("q").sortWithinPartitions("q", "token", "r").mapInArrow(_search, "q long, r long"), "candidates")
+    def links(found: DataFrame) -> DataFrame:
+        """Check each retained set against the sets that it was retained for, in salted groups led by the common one."""
         groups = found.groupBy("r").agg(F.ceil(F.count("*") / _GROUP).alias("salts"))
         members = found.join(groups, "r").select(F.col("q").alias("id"), "r", F.pmod(F.xxhash64("q"), "salts").alias("salt"), F.lit(False).alias("lead"))
         leads = groups.select(F.col("r").alias("id"), "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("lead"))
@@ -270,31 +315,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
     alike = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     need = lambda a, b: 1 + F.floor(F.least(a, b) / _EXTRA)
-    n_posted, edges, roots, open_pairs = posted.count(), None, None, None
-    turn = 0
+    edges, pivots = links(found), _PIVOTS
+    roots = components(edges)
     while True:
-        placed = posted if roots is None else posted.join(roots, "id", "left")
-        placed = placed.withColumn("root", F.col("id") if roots is None else F.coalesce("component", "id")).select("token", "n", "id", "root")
+        placed = posted.join(roots, "id", "left").select("token", "n", "id", F.coalesce("component", "id").alias("root"))
+        still = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
+        placed = stored(placed.join(still, "token", "left_semi"), "open")
         parts = placed.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        before, open_pairs = open_pairs, parts.agg(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()[0] or 0
-        # Rounds against one member per list, first the same for many lists and then of each list's own, go on while
-        # they take off a good part of the many pairs left; the full search follows.
-        full = turn > 0 and (open_pairs <= n_posted or open_pairs > 0.7 * before)
-        if full:
-            left = placed.join(parts.where("own < k * k").select("token"), "token", "left_semi")
-            right = left.select("token", F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("root").alias("root2"))
-            met = left.join(right, "token").where((F.col("root") < F.col("root2")) & alike(F.col("n"), F.col("n2")))
-            candidates = met.select(F.col("id").alias("q"), "token", F.col("id2").alias("r"), need(F.col("n"), F.col("n2")).alias("need"))
-        else:
-            pivots = placed.groupBy("token").agg(F.min_by(F.struct("id", "n", "root"), F.struct(F.xxhash64(*([F.lit(turn), "token"] if turn else []), "id"), "id")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-            met = placed.join(pivots.select("token", "p"), "token").where((F.col("root") != F.col("p.root")) & alike(F.col("n"), F.col("p.n")))
-            candidates = met.select(F.col("id").alias("q"), "token", F.col("p.id").alias("r"), need(F.col("n"), F.col("p.n")).alias("need"))
-        new = links(candidates)
-        edges = new if edges is None else edges.unionByName(new)
+        n_open, open_pairs = parts.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()
+        if not n_open:
+            break
+        full = open_pairs <= pivots * n_open or pivots > _MOST_PIVOTS
+        partner = placed.select("token", F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("root").alias("root2"))
+        if not full:
+            # All lists of a group draw the same members, which are thus met in enough of the lists.
+            drawn = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(pivots), "id2"), "id2")
+            partner = partner.withColumn("drawn", F.row_number().over(drawn)).where(F.col("drawn") <= pivots).drop("drawn")
+        met = placed.join(partner, "token").where((F.col("root") < F.col("root2") if full else F.col("root") != F.col("root2")) & alike(F.col("n"), F.col("n2")))
+        candidates = met.select(F.col("id").alias("q"), "token", F.col("id2").alias("r"), need(F.col("n"), F.col("n2")).alias("need"))
+        found = stored(candidates.repartition("q").sortWithinPartitions("q", "token", "r").mapInArrow(_search, "q long, r long"), "candidates")
+        edges = edges.unionByName(links(found))
         roots = components(edges)
-        turn += 1
         if full:
             break
+        posted, pivots = placed.select("token", "n", "id"), 2 * pivots
     whole = sizes.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id"))
     smallest = whole.where("root is not null").groupBy("root").agg(F.min("doc").alias("smallest"))
     return whole.select("doc", "n", "id", "root").join(smallest, "root", "left").select(
