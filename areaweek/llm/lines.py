@@ -9,9 +9,12 @@ by a bit-parallel edit distance that keeps only the band around the diagonal.
 Only hashes travel to find candidates. Texts are dealt out twice, by document: for the
 check and for the result. A frequent line is one class from the start; its places
 meet their class in a plain join, which adaptive execution splits. Where many lines
-share a segment, all its pairs would grow with their square. With one edit, such lines
-are therefore cut further, and meet only if they agree in all but one small part; in
-the end that part is one character. No pair is lost, as the edit is in some part.
+share a segment, all its pairs would grow with their square. With one edit, the part
+that may differ is therefore halved, round by round, and lines meet only if they agree
+in all else; a line leaves as soon as few others do. The last part is one character:
+lines that agree but for it are all within one edit, so each is paired with the first of
+them only, and longer lines find their partner by leaving a character out. No pair that
+decides a line is lost, as the edit is in one of the halves.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from areaweek.llm.common import stored
 
 MIN_CHARS, EDITS = 30, 1
-#: With one edit, a key of so many lines makes no pairs: they meet again under this many parts of a line, and then under single characters.
-_CROWD, _PARTS = 8, 16
+#: With one edit, a key of so many lines makes no pairs: they meet again under each half of the part that may differ.
+_CROWD = 8
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -116,34 +119,49 @@ def _tier_one(classes: DataFrame, n_index: int, n_probe: int, equal: int, edits:
     return classes.select("h1", "h2", F.inline(F.array(*rows)))
 
 
-def _meet(keys: DataFrame, split: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a1, a2, b1, b2) that share a key, and the rows of crowded keys, which make no pairs here if ``split``."""
+def _meet(keys: DataFrame, split: bool, halved: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a1, a2, b1, b2) that share a key, and the rows of crowded keys, which make no pairs here if ``split``.
+
+    Crowded and ``halved`` rows have no role "equal": with one edit it would repeat "index".
+    """
     crowded = None
     if split:
         hot = stored(keys.where("role = 'index'").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= _CROWD).select("key"), "crowded")
-        crowded = stored(keys.join(hot, "key", "left_semi"), "crowded")
+        crowded = stored(keys.where("role != 'equal'").join(hot, "key", "left_semi"), "crowded")
         keys = keys.join(hot, "key", "left_anti")
     side = lambda s, *more: [F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), "key", *more]
-    a, b = keys.where("role != 'index'").select(*side("a", "role")), keys.where("role = 'index'").select(*side("b"))
+    a, b = keys.where(F.lit(halved) | (F.col("role") != "index")).select(*side("a", "role")), keys.where("role = 'index'").select(*side("b"))
     met = a.join(b, (a["key"] == b["key"]) & ((F.col("role") == "longer") | (F.struct("a1", "a2") < F.struct("b1", "b2"))))
     return stored(met.select("a1", "a2", "b1", "b2").distinct(), "met"), crowded
 
 
-def _finer(crowded: DataFrame, lines: DataFrame, parts: Column | None) -> DataFrame:
-    """Rows like ``crowded`` for each smaller part of the line that may hold the one edit; all else must be equal.
+def _finer(crowded: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows like ``crowded`` for each half of the part that may hold the one edit; all else must be equal.
 
-    The line is cut in ``parts`` (None: single characters). A part of a longer line has
-    one character more.
+    A part of a longer line has one character more.
     """
     n = F.length("line") - (F.col("role") == "longer").cast("int")
-    of = n if parts is None else F.least(n, parts)
-    cut = lambda p: F.floor(p * n / of).cast("int")
-    rows = crowded.select("h1", "h2", "role", "start", "stop").distinct().join(lines.select("h1", "h2", "line"), ["h1", "h2"])
-    each = rows.select("*", F.explode(F.sequence(F.lit(0), of - 1)).alias("part"))
-    each = each.withColumns({"from": cut(F.col("part")), "to": cut(F.col("part") + 1)}).where("from >= start and to <= stop")
+    middle = F.floor((F.col("start") + F.col("stop")) / 2).cast("int")
+    part = lambda start, stop: F.struct(start.alias("from"), stop.alias("to"))
+    each = crowded.join(lines.select("h1", "h2", "line"), ["h1", "h2"]).select("h1", "h2", "role", "line", F.inline(F.array(part(F.col("start"), middle), part(middle, F.col("stop")))))
     after = F.col("to") + 1 + (F.col("role") == "longer").cast("int")
     before, rest = F.col("line").substr(F.lit(1), F.col("from")), F.col("line").substr(after, F.length("line"))
-    return each.select("h1", "h2", F.xxhash64(n, "from", before, rest).alias("key"), "role", F.col("from").alias("start"), F.col("to").alias("stop"))
+    return each.select("h1", "h2", F.xxhash64(n, "from", "to", before, rest).alias("key"), "role", F.col("from").alias("start"), F.col("to").alias("stop"))
+
+
+def _settle(single: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (a1, a2, b1, b2) of crowded lines that differ in one known character at most.
+
+    Lines of a key and a length are all within one edit: each is paired with the first.
+    A longer line has two characters there, and equals its partner without one of them.
+    """
+    index = single.where("role = 'index'").select("key", "h1", "h2").join(lines.select("h1", "h2", "first"), ["h1", "h2"])
+    least = index.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("least"))
+    star = index.join(least, "key").where("h1 != least.h1 or h2 != least.h2").select(F.col("least.h1").alias("a1"), F.col("least.h2").alias("a2"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    longer = single.where("role = 'longer'").join(lines.select("h1", "h2", "line"), ["h1", "h2"]).withColumn("at", F.explode(F.array("start", F.col("start") + 1)))
+    shorter = longer.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.concat(F.col("line").substr(F.lit(1), F.col("at")), F.col("line").substr(F.col("at") + 2, F.length("line"))).alias("line"))
+    shorter = shorter.select("a1", "a2", F.xxhash64("line").alias("b1"), F.xxhash64(F.lit(1), "line").alias("b2"))
+    return star.unionByName(shorter.join(lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2")), ["b1", "b2"], "left_semi"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
@@ -182,10 +200,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cha
     texts = docs.select(F.xxhash64("id", "mark").alias("key"), "text")
     lines = asked.join(texts, "key").select("h1", "h2", "first", F.get(broken, F.col("first.place")).alias("line")).dropDuplicates(["h1", "h2"])
     lines = stored(lines, "asked")
-    for parts in (F.lit(_PARTS), None):
-        if crowded is None or crowded.isEmpty():
-            break
-        more, crowded = _meet(_finer(crowded, lines, parts), split=parts is not None)
+    while crowded is not None and not crowded.isEmpty():
+        pairs = pairs.unionByName(_settle(crowded.where("stop - start = 1"), lines))
+        more, crowded = _meet(_finer(crowded.where("stop - start > 1"), lines), split=True, halved=True)
         pairs = pairs.unionByName(more)
 
     side = lambda s: lines.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("first").alias(f"{s}_first"), F.col("line").alias(f"{s}_line"))

@@ -384,3 +384,13 @@ def test_documents_that_share_an_id_stay(spark):
     rows = [(7, one, "en", "a"), (7, two, "en", "a"), (7, two, "en", "a"), (9, one, "en", "a"), (None, three, "en", "a"), (None, one, "en", "a"), (8, three, "en", "a")]
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect())
     assert got == sorted([(7, one), (7, two), (8, three)])
+
+
+def test_crowded_lines_of_one_character_and_longer_ones(spark):
+    """Lines that differ in one character only, and longer ones beside them, by plain edit distance."""
+    base = "the quick brown fox jumps over a dog"
+    same = [base[:17] + chr(0x4E00 + k) + base[18:] for k in range(30)]
+    longer = [same[k][:17] + c + same[k][17:] for k in (0, 7, 29) for c in "xyz"] + [same[3][:18] + "q" + same[3][18:], base + "s", base[:5] + "--" + base[5:]]
+    rows = list(enumerate(longer[:4] + same + longer[4:], 1))
+    got = {r.doc_id: r.n_removed for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", "n_removed").collect()}
+    assert got == {i: int(any(distance(a, b) <= 1 for j, b in rows if j < i)) for i, a in rows}
