@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements whose text is dropped, and elements that never close.
@@ -59,6 +60,16 @@ def _read(html: str | None) -> _Reader:
     return reader
 
 
+def visible_text(html: Column) -> Column:
+    """Visible text of an HTML column with single spaces, in Arrow batches; null gives an empty text."""
+
+    @F.pandas_udf("string")
+    def read(values: pd.Series) -> pd.Series:
+        return values.map(lambda h: " ".join(" ".join(_read(h).text).split()))
+
+    return read(html)
+
+
 def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, text): visible text with single spaces."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.identity import parse_date
+from .pages import visible_text
 
 # Columns of the two event feeds, resource formats that hold documents.
 FEED_A_COLUMNS = (
@@ -51,6 +52,28 @@ def scan_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFram
     )
 
 
+def scan_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """RSS items and Atom entries of feeds (link, title, published, summary), summaries as visible text.
+
+    A link is an item's text or an entry's address: the first alternate one (no
+    relation means alternate), else the first of all. Rows without a link are left
+    out. The summary, description or content is read as a page; the first that is
+    not empty counts.
+    """
+    columns = text_schema(("title", "published", "pubDate", "updated", "summary", "description", "content"))
+    schema = T.StructType([T.StructField("link", T.ArrayType(text_schema(("_VALUE", "_href", "_rel")))), *columns.fields])
+    shapes = [spark.read.format("xml").option("rowTag", tag).schema(schema).load(path) for tag in ("item", "entry")]
+    rows = shapes[0].unionByName(shapes[1])
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    named = F.filter("link", lambda x: F.coalesce(filled(x["_VALUE"]), filled(x["_href"])).isNotNull())
+    first = F.coalesce(F.get(F.filter(named, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0)), F.get(named, F.lit(0)))
+    body = F.coalesce(filled("summary"), filled("description"), filled("content"), F.lit(""))
+    linked = rows.select(
+        first.alias("l"), F.coalesce("title", F.lit("")).alias("title"), parse_date(F.coalesce(filled("published"), filled("pubDate"), "updated")).alias("published"), body.alias("body")
+    ).where(F.col("l").isNotNull())
+    return linked.select(F.coalesce(filled("l._VALUE"), filled("l._href")).alias("link"), "title", "published", visible_text(F.col("body")).alias("summary"))
+
+
 def scan_catalogue(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Document resources of a data catalogue response."""
     resource = text_schema(("url", "name", "format"))

@@ -155,6 +155,29 @@ def s3(spark, sf):
     return sc.scan_feed(spark, path).select("link", "title", "published", F.md5(F.col("summary").cast("binary")).alias("summary_md5"))
 
 
+@query(
+    "s3_feed_entries",
+    f"""select case when doc_id % 2 = 0 then 'https://feed.example/' else 'https://atom.example/' end || doc_id as link, 'Item & ' || doc_id as title, {FEED_DAY} as published,
+    md5(trim(regexp_replace('Lead: ' || text, '[\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+', ' ', 'g'))) as summary_md5 from documents where doc_id % 10 <> 7""",
+)
+def s3b(spark, sf):
+    """Half of the documents as items, half as entries with several links; every tenth has no address. All summaries are HTML."""
+    path = work_path(spark, "feeds")
+    key, even = F.col("doc_id").cast("string"), F.col("doc_id") % 2 == 0
+    safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<script>left out</script><p class='a'><b>Lead:</b> "), safe, F.lit("</p><nav>menu</nav>"))
+    docs = Domain(spark, sf).table("documents").withColumns({"title": F.concat(F.lit("Item & "), key), "when": F.expr(FEED_STAMP), "html": html})
+    linked = F.col("doc_id") % 10 != 7
+    link = lambda rel, host: F.struct(F.lit(rel).alias("_rel"), F.concat(F.lit(host), key).alias("_href"))
+    items = docs.where(even).select("title", F.concat(F.lit("https://feed.example/"), key).alias("link"), F.col("when").alias("pubDate"), F.col("html").alias("description"))
+    entries = docs.where(~even).select(
+        "title", F.when(linked, F.array(link("self", "https://own.example/"), link("alternate", "https://atom.example/"))).alias("link"), F.col("when").alias("updated"), F.col("html").alias("content")
+    )
+    items.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(f"{path}/rss")
+    entries.write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(f"{path}/atom")
+    return sc.scan_feeds(spark, f"{path}/*").select("link", "title", "published", F.md5(F.col("summary").cast("binary")).alias("summary_md5"))
+
+
 CAT_FORMAT = "case doc_id % 4 when 0 then 'pdf' when 1 then 'CSV' when 2 then 'Xlsx' else 'HTML' end"
 
 
