@@ -222,45 +222,63 @@ def border_edges(edges: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-# Every size divides the full circle, so wrapped columns line up.
-_LEVEL_SIZES = [360 / 2**i for i in range(13, -1, -1)]
+# Halvings of the full circle: sizes divide it, so wrapped columns line up.
+_DEPTHS = (13, 17, 21, 25, 29)
+#: A cell of the finest grid may hold so many units before a finer one is used.
+_FULL_CELL = 64
+
+
+def _level_sizes(centres: DataFrame) -> list[float]:
+    """Cell sizes from the finest grid that the centres need to the whole circle."""
+    depth = F.posexplode(F.array(*[F.lit(360 / 2**d) for d in _DEPTHS])).alias("place", "size")
+    cells = centres.select("centre_lat", "centre_lon", depth).withColumns(_own_cell("centre_lat", "centre_lon", F.col("size")))
+    fullest = cells.groupBy("place", "cx", "cy").agg(F.count(F.lit(1)).alias("n")).groupBy("place").agg(F.max("n").alias("n"))
+    # One row per depth.
+    place = fullest.where(F.col("n") <= _FULL_CELL).agg(F.min("place")).first()[0]
+    finest = _DEPTHS[-1] if place is None else _DEPTHS[place]
+    return [360 / 2**i for i in range(finest, -1, -1)]
 
 
 def nearest_k(queries: DataFrame, registry: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest other units of each query unit, exactly, without all pairs.
 
-    A pyramid of grids is counted first. Each query picks the finest level whose
-    3 x 3 block holds enough units, which bounds the distance of its k-th
-    neighbour; the second look takes every unit within that bound.
+    Units that share a centre are one class: it is asked for once, and of its units
+    only the first ``k + 1`` by code can be anyone's nearest. A pyramid of grids, as
+    fine as the fullest cell needs, is counted first. Each centre picks the finest
+    level whose 3 x 3 block holds enough units, which bounds the distance of its
+    last neighbour; the second look takes every unit within that bound. Units
+    without a centre neither ask nor answer.
     """
-    sizes = F.array(*[F.lit(s) for s in _LEVEL_SIZES])
+    spot = ["centre_lat", "centre_lon"]
+    every = registry.select("lga_code", *spot).where(F.col("centre_lat").isNotNull() & F.col("centre_lon").isNotNull())
+    centres = top_in_group(every, spot, [F.asc("lga_code")], k + 1, "_m").drop("_m")
+    level_sizes = _level_sizes(centres)
+    sizes = F.array(*[F.lit(s) for s in level_sizes])
     level = F.posexplode(sizes).alias("level", "size")
-    centres = registry.select("lga_code", "centre_lat", "centre_lon")
     homes = centres.select("*", level).withColumns(_own_cell("centre_lat", "centre_lon", F.col("size")))
-    asking = queries.select("lga_code").distinct().join(centres, "lga_code")
+    members = queries.select("lga_code").distinct().join(every, "lga_code")
+    asking = members.groupBy(*spot).agg(F.min("lga_code").alias("q")).select("q", F.col("centre_lat").alias("q_lat"), F.col("centre_lon").alias("q_lon"))
     occupied = homes.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-    near_block = _around(
-        asking.select(F.col("lga_code").alias("q"), F.col("centre_lat").alias("q_lat"), F.col("centre_lon").alias("q_lon"), level),
-        "q_lat", "q_lon", F.col("size"), F.col("size"), F.col("size"),
-    )
+    near_block = _around(asking.select("*", level), "q_lat", "q_lon", F.col("size"), F.col("size"), F.col("size"))
     filled = near_block.join(occupied, ["level", "cx", "cy"]).groupBy("q", "level").agg(F.sum("n").alias("n")).where(F.col("n") > k)
     start = filled.groupBy("q").agg(F.min("level").alias("level"))
-    rough = near_block.join(start, ["q", "level"]).join(homes, ["level", "cx", "cy"]).where(F.col("lga_code") != F.col("q"))
+    rough = near_block.join(start, ["q", "level"]).join(homes, ["level", "cx", "cy"])
     km = haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("centre_lat"), F.col("centre_lon"))
-    bound = top_in_group(rough.select("q", "q_lat", "q_lon", km.alias("km"), "lga_code"), ["q"], [F.asc("km"), F.asc("lga_code")], k, "_r")
-    reach = bound.groupBy("q", "q_lat", "q_lon").agg(F.max("km").alias("reach"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
-    # A query with fewer than k units anywhere looks at the whole sphere.
-    all_queries = asking.select(F.col("lga_code").alias("q"), F.col("centre_lat").alias("q_lat"), F.col("centre_lon").alias("q_lon"))
-    bounded = all_queries.join(reach.select("q", "reach"), "q", "left").withColumn("reach", F.coalesce("reach", F.lit(math.pi * EARTH_RADIUS_KM)) * (1 + 1e-9) + 1e-6)
+    bound = top_in_group(rough.select("q", km.alias("km"), "lga_code"), ["q"], [F.asc("km"), F.asc("lga_code")], k + 1, "_r")
+    reach = bound.groupBy("q").agg(F.max("km").alias("reach"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k + 1)
+    # A query with fewer than k others anywhere looks at the whole sphere.
+    bounded = asking.join(reach.select("q", "reach"), "q", "left").withColumn("reach", F.coalesce("reach", F.lit(math.pi * EARTH_RADIUS_KM)) * (1 + 1e-9) + 1e-6)
     high, wide = _radius_degrees(F.col("reach"), F.least(F.abs("q_lat") + F.degrees(F.col("reach") / EARTH_RADIUS_KM), F.lit(90.0)))
     needed = F.greatest(high, F.least(wide, F.lit(360.0)))
     fitting = F.array_max(F.filter(F.transform(sizes, lambda s, i: F.when(s < needed, i + 1).otherwise(0)), lambda i: i.isNotNull()))
-    chosen = bounded.withColumn("level", F.least(fitting, F.lit(len(_LEVEL_SIZES) - 1))).withColumn("size", F.element_at(sizes, F.col("level") + 1))
+    chosen = bounded.withColumn("level", F.least(fitting, F.lit(len(level_sizes) - 1))).withColumn("size", F.element_at(sizes, F.col("level") + 1))
     second = _around(chosen, "q_lat", "q_lon", high, wide, F.col("size"))
-    found = second.join(homes.drop("size"), ["level", "cx", "cy"]).where(F.col("lga_code") != F.col("q")).select("q", "lga_code", km.alias("km"))
-    return top_in_group(found, ["q"], [F.asc("km"), F.asc("lga_code")], k, "place").select(
-        F.col("q").alias("lga_code"), F.col("lga_code").alias("neighbour_code"), F.col("km").alias("centroid_km"), "place"
+    found = second.join(homes.drop("size"), ["level", "cx", "cy"]).select("q", "q_lat", "q_lon", "lga_code", km.alias("km"))
+    listed = top_in_group(found, ["q"], [F.asc("km"), F.asc("lga_code")], k + 1, "_r").select(
+        F.col("q_lat").alias("centre_lat"), F.col("q_lon").alias("centre_lon"), F.col("lga_code").alias("neighbour_code"), F.col("km").alias("centroid_km")
     )
+    others = members.join(listed, spot).where(F.col("lga_code") != F.col("neighbour_code")).select("lga_code", "neighbour_code", "centroid_km")
+    return top_in_group(others, ["lga_code"], [F.asc("centroid_km"), F.asc("neighbour_code")], k, "place")
 
 
 def fill_isolated(adjacency: DataFrame, registry: DataFrame, k: int = MIN_NEIGHBOURS) -> DataFrame:

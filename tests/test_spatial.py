@@ -51,6 +51,21 @@ def test_nearest_k_with_too_few_units(spark):
     assert {(r.lga_code, r.neighbour_code) for r in sp.nearest_k(registry, registry, 3).collect()} == {("a", "b"), ("b", "a")}
 
 
+def test_nearest_k_on_a_crowded_centre(spark):
+    """10,000 units on one spot and 300 within metres of it: no join makes the pairs of the crowd, and ties go by code."""
+    rows = [(f"c{i:05d}", 9.0, 7.0) for i in range(10_000)] + [(f"m{i:03d}", 9.01 + i * 1e-6, 7.0) for i in range(300)] + [("far", 11.0, 8.0), ("none", None, None)]
+    registry = spark.createDataFrame(rows, "lga_code string, centre_lat double, centre_lon double")
+    assert sp._level_sizes(registry.where("lga_code like 'm%'"))[0] < 360 / 2**13
+    got = {}
+    for r in sp.nearest_k(registry, registry, 3).collect():
+        got.setdefault(r.lga_code, []).append((r.place, r.neighbour_code))
+    names = lambda unit: [code for _, code in sorted(got[unit])]
+    assert len(got) == 10_301 and "none" not in got
+    assert names("c00001") == ["c00000", "c00002", "c00003"] and names("c09999") == ["c00000", "c00001", "c00002"]
+    assert set(names("m150")[:2]) == {"m149", "m151"} and names("m000") == ["m001", "m002", "m003"]
+    assert names("far") == ["m299", "m298", "m297"]
+
+
 def test_snap_equals_all_pairs(spark, units):
     rows, registry = units
     rng = random.Random(3)
