@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURE_LABELS
+from ..session import work_path
 from .ranking import top_in_group
 
 KEYS = ("lga_code", "week_start")
@@ -59,60 +60,107 @@ def sentences(drivers: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ tree ensembles
+#: Pattern shares worked out at once, and rows looked up at once.
+_PATTERNS, _ROWS = 1 << 15, 1024
+
+
+def node_table(model) -> DataFrame:
+    """(tree, weight, node, left, right, feature, cut, value, cover) of a fitted boosted model, read from its saved form.
+
+    ``left`` and ``right`` are -1 at leaves; ``cover`` is the training weight at the node.
+    """
+    spark = SparkSession.active()
+    path = work_path(spark, "booster")
+    model.write().save(path)
+    weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "metadata", "weight").drop("metadata")
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*").select(
+        "tree", F.col("id").alias("node"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"), F.col("prediction").alias("value"), F.col("impurityStats")[0].alias("cover"),
+    )
+    return nodes.join(weights, "tree")
+
+
 def ensemble_leaves(model, features: Sequence[str]) -> tuple[list[tuple], float]:
-    """Leaf table of a fitted boosted model: (weight * value, path) per leaf.
+    """Leaf table of a fitted boosted model: (weight * value, path) per leaf, and the mean score.
 
     A path maps each feature to (low, high, cover share): the open-closed interval
     the feature has to be in, and the share of training weight that went this way.
     The tables are as large as the model, not the data.
     """
+    nodes = {(r.tree, r.node): r for r in node_table(model).toLocalIterator()}
     leaves: list[tuple] = []
-    base = 0.0
-
-    def walk(node, weight: float, path: dict[int, tuple[float, float, float]]) -> float:
-        if node.numDescendants() == 0:
-            leaves.append((weight * node.prediction(), dict(path)))
-            return 0.0
-        split = node.split()
-        f, cut = split.featureIndex(), split.threshold()
-        total = node.impurityStats().count()
-        for child, side in ((node.leftChild(), 0), (node.rightChild(), 1)):
-            lo, hi, z = path.get(f, (-math.inf, math.inf, 1.0))
-            part = child.impurityStats().count() / total
-            narrowed = (lo, min(hi, cut), z * part) if side == 0 else (max(lo, cut), hi, z * part)
-            walk(child, weight, {**path, f: narrowed})
-        return 0.0
-
-    for tree, weight in zip(model._java_obj.trees(), model.treeWeights):
-        walk(tree.rootNode(), float(weight), {})
-    for value, path in leaves:
-        base += value * math.prod(z for _, _, z in path.values())
-    return leaves, base
-
-
-def _leaf_attributions(matrix, leaves):
-    """Exact Shapley values of the leaf games, for a batch of rows (numpy)."""
+    for tree in sorted({t for t, _ in nodes}):
+        waiting = [(nodes[tree, 0], {})]
+        while waiting:
+            node, path = waiting.pop()
+            if node.left < 0:
+                leaves.append((node.weight * node.value, path))
+                continue
+            lo, hi, z = path.get(node.feature, (-math.inf, math.inf, 1.0))
+            left, right = nodes[tree, node.left], nodes[tree, node.right]
+            waiting.append((right, {**path, node.feature: (max(lo, node.cut), hi, z * right.cover / node.cover)}))
+            waiting.append((left, {**path, node.feature: (lo, min(hi, node.cut), z * left.cover / node.cover)}))
+    return leaves, sum(value * math.prod(z for _, _, z in path.values()) for value, path in leaves)
+
+
+def grouped_leaves(leaves: list[tuple]) -> list[tuple]:
+    """Arrays (value, feature, low, high, share) for each number of features on a path, with a row per leaf."""
+    import numpy as np
+
+    out = []
+    for d in sorted({len(path) for _, path in leaves} - {0}):
+        own = [(value, path) for value, path in leaves if len(path) == d]
+        ends = np.array([list(path.values()) for _, path in own], float)
+        out.append((np.array([value for value, _ in own], float), np.array([list(path) for _, path in own]), ends[:, :, 0], ends[:, :, 1], ends[:, :, 2]))
+    return out
+
+
+def _pattern_shares(value, share):
+    """Shapley values of each leaf's game for each pattern of fulfilled conditions: leaves x patterns x conditions."""
+    import numpy as np
+
+    d = share.shape[1]
+    met = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
+    weight = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+    out = np.empty((len(value), 1 << d, d))
+    for i in range(d):
+        # Coefficients of the product over the other conditions of (share + met * t).
+        poly = [np.ones((len(value), 1 << d))]
+        for j in range(d):
+            if j != i:
+                away = share[:, j, None]
+                poly = [(poly[k] * away if k < len(poly) else 0) + (poly[k - 1] * met[:, j] if k else 0) for k in range(len(poly) + 1)]
+        out[:, :, i] = value[:, None] * (met[:, i] - share[:, i, None]) * sum(w * c for w, c in zip(weight, poly))
+    return out
+
+
+def _leaf_attributions(matrix, groups):
+    """Exact Shapley values of the leaf games, for a batch of rows (numpy).
+
+    A row fulfils some of a leaf's conditions; what that is worth is looked up.
+    """
     import numpy as np
 
     phi = np.zeros_like(matrix)
-    for value, path in leaves:
-        d = len(path)
-        if d == 0:
-            continue
-        inside = np.stack([((matrix[:, f] > lo) & (matrix[:, f] <= hi)).astype(float) for f, (lo, hi, _) in path.items()])
-        away = np.array([z for _, _, z in path.values()])
-        weight = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
-        for i, f in enumerate(path):
-            # Coefficients of prod over the other features of (away + inside * t).
-            poly = [np.ones(matrix.shape[0])]
-            for j in range(d):
-                if j == i:
-                    continue
-                grown = [c * away[j] for c in poly] + [np.zeros(matrix.shape[0])]
-                for k, c in enumerate(poly):
-                    grown[k + 1] = grown[k + 1] + c * inside[j]
-                poly = grown
-            phi[:, f] += value * (inside[i] - away[i]) * sum(w * c for w, c in zip(weight, poly))
+    for value, feature, low, high, share in groups:
+        d = feature.shape[1]
+        step = max(1, _PATTERNS >> d)
+        for at in range(0, len(value), step):
+            part = slice(at, at + step)
+            shares = _pattern_shares(value[part], share[part])
+            names, lo, hi = feature[part], low[part], high[part]
+            leaf = np.arange(len(names))
+            orders = [np.argsort(names[:, j], kind="stable") for j in range(d)]
+            for row in range(0, len(matrix), _ROWS):
+                tile = matrix[row : row + _ROWS]
+                pattern = np.zeros((len(tile), len(names)), np.int64)
+                for j in range(d):
+                    x = tile[:, names[:, j]]
+                    pattern |= ((x > lo[:, j]) & (x <= hi[:, j])).astype(np.int64) << j
+                for j, order in enumerate(orders):
+                    worth = shares[leaf[order], pattern[:, order], j]
+                    found, first = np.unique(names[order, j], return_index=True)
+                    phi[row : row + _ROWS, found] += np.add.reduceat(worth, first, axis=1)
     return phi
 
 
@@ -121,8 +169,12 @@ def tree_attributions(model, frame: DataFrame, features: Sequence[str]) -> DataF
 
     Attributions of a row plus the base value equal its raw margin.
     """
-    leaves, _ = ensemble_leaves(model, features)
-    shared = frame.sparkSession.sparkContext.broadcast(leaves)
+    return leaf_attributions(ensemble_leaves(model, features)[0], frame, features)
+
+
+def leaf_attributions(leaves: list[tuple], frame: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``tree_attributions`` of a leaf table that is at hand."""
+    shared = frame.sparkSession.sparkContext.broadcast(grouped_leaves(leaves))  # as large as the model
     names = list(features)
 
     def attribute(batches: Iterator) -> Iterator:

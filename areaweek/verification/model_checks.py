@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..fixtures import FIT_END, TRAIN_END, VALID_END, WEEKS, Domain
-from ..operators import isotonic
+from ..operators import explain, isotonic
 from ..operators import model as md
 from ..operators.pointprocess import HawkesParameters
 from ..plans import features, runs
@@ -102,6 +103,19 @@ def m16(spark, sf):
     return drivers
 
 
+@query("m16_additivity", "select count(*) as rows, 0 as violations from nation")
+def m16b(spark, sf):
+    """Units of the last week whose attributions and the base value do not add up to the raw margin."""
+    rows, names, _ = folded(spark, sf)
+    booster = md.fit_booster(rows, names)
+    leaves, base = explain.ensemble_leaves(booster, names)
+    last = rows.where(F.col("week_start") == rows.agg(F.max("week_start")).first()[0]).fillna(0.0, names)
+    margins = booster.transform(md.as_vectors(last, names)).select("lga_code", vector_to_array("rawPrediction")[1].alias("margin"))
+    added = explain.leaf_attributions(leaves, last, names).groupBy("lga_code").agg((F.sum("shap_value") + base).alias("added"))
+    wrong = F.coalesce(F.abs(F.col("added") - F.col("margin")) > 1e-6, F.lit(True))
+    return margins.join(added, "lga_code", "left").agg(F.count(F.lit(1)).alias("rows"), F.count_if(wrong).cast("int").alias("violations"))
+
+
 @query("m19_stored_run")
 def m19(spark, sf):
     """Run record and predictions upserted twice; the second write changes nothing."""
