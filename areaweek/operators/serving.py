@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,36 @@ def serving_incidents(incidents: DataFrame) -> DataFrame:
     )
 
 
+# The served tables; the keys that their readers filter and sort by.
+SERVED = {
+    "lga_registry": ("lga_code",),
+    "model_runs": ("run_id",),
+    "predictions": ("run_id", "-probability"),
+    "prediction_drivers": ("run_id", "lga_code"),
+    "threat_actor_edges": ("run_id", "target_kind", "target"),
+    "security_briefs": ("brief_id",),
+    "incidents": ("lga_code", "-event_date"),
+}
+
+
+def serving_extract(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Write the served tables below ``folder``: six whole ones, and the located target events. Returns their paths.
+
+    Rows are dealt by ranges of the keys that readers ask by and sorted in each file,
+    so a read for one run or unit opens few files and row groups.
+    """
+    absent = set(SERVED) - set(tables)
+    if absent:
+        raise ValueError(f"no table {', '.join(sorted(absent))}")
+    paths = {}
+    for name, keys in SERVED.items():
+        frame = serving_incidents(tables[name]) if name == "incidents" else tables[name]
+        order = [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in keys]
+        paths[name] = os.path.join(folder, name)
+        frame.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(paths[name])
+    return paths
+
+
 def register_views(tables: dict[str, DataFrame]) -> None:
     """Name the stored tables so that the same reads can be written as SQL."""
     for name, frame in tables.items():

@@ -11,6 +11,7 @@ from ..operators import brief as br
 from ..operators import explain as ex
 from ..operators import scoring as sc
 from ..operators import serving as sv
+from ..session import work_path
 from .panel_checks import r6
 from .sql import compose
 
@@ -483,3 +484,37 @@ def j10(spark, sf):
 )
 def s16(spark, sf):
     return sv.serving_incidents(large(spark, sf).incidents)
+
+
+@query("s16_serving_tables")
+def s16b(spark, sf):
+    """All seven served tables, written and read again: rows, and a sum over one column of each."""
+    d = large(spark, sf)
+    rows, now = brief_entries(spark, sf)
+    ranked = predictions(d).select("run_id", "lga_code", "week_start", "probability", "risk_tier", "rank_national", "rank_state")
+    tables = {
+        "lga_registry": d.registry, "model_runs": model_runs(d), "predictions": ranked, "incidents": d.incidents,
+        "prediction_drivers": ex.top_drivers(attributions(d)).withColumn("run_id", F.lit(RUN)), "threat_actor_edges": edges(d).withColumn("run_id", F.lit(RUN)),
+        "security_briefs": br.brief_rows(rows, now, RUN, LAST, f"{LAST} 07:00:00"),
+    }
+    paths = sv.serving_extract(tables, work_path(spark, "serving"))
+    sums = {
+        "lga_registry": F.length("lga_name"), "model_runs": F.length("run_id"), "predictions": F.col("rank_national") + F.col("rank_state"), "incidents": F.col("fatalities"),
+        "prediction_drivers": F.col("driver_rank"), "threat_actor_edges": F.col("events"), "security_briefs": F.length("brief_id"),
+    }
+    out = None
+    for name, value in sums.items():
+        row = spark.read.parquet(paths[name]).agg(F.count(F.lit(1)).alias("rows"), F.sum(value).cast("long").alias("total")).select(F.lit(name).alias("output"), "rows", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+SQL["s16_serving_tables"] = with_entries(
+    f"""select 'lga_registry' as output, count(*) as rows, cast(sum(length(lga_name)) as bigint) as total from registry_l
+    union all select 'model_runs', 2, {len(RUN) + len(PREVIOUS_RUN)}
+    union all select 'predictions', count(*), cast(sum(rank_national + rank_state) as bigint) from predictions
+    union all select 'incidents', count(*), cast(sum(fatalities) as bigint) from incidents_l where event_class = 'banditry_kidnapping' and lga_code is not null
+    union all select 'prediction_drivers', count(*), cast(sum(driver_rank) as bigint) from drivers
+    union all select 'threat_actor_edges', count(*), cast(sum(events) as bigint) from edges
+    union all select 'security_briefs', count(*), cast(sum(length('{RUN}:' || scope)) as bigint) from (select distinct scope from entry)"""
+)

@@ -14,6 +14,7 @@ from areaweek.operators import alerts as al
 from areaweek.operators import calendar as cal
 from areaweek.operators import explain as ex
 from areaweek.operators import model as md
+from areaweek.operators import serving as sv
 from areaweek.schemas import EVENT_CLASSES, INCIDENTS, TABLE_KEYS
 from areaweek.session import work_path
 from areaweek.sources import contracts as ct
@@ -241,6 +242,40 @@ def test_pages(spark):
 
 
 # ---------------------------------------------------------------- explanation
+def test_feeds_of_both_shapes(spark, tmp_path):
+    (tmp_path / "atom.xml").write_text("""<feed xmlns="http://www.w3.org/2005/Atom">
+      <entry><title type="html">Raid &amp; rescue</title><link rel="self" href="http://n/self"/><link rel="alternate" href="http://n/1"/><updated>2024-01-02T10:00:00Z</updated>
+        <content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">two <b>men</b> held</div></content></entry>
+      <entry><link rel="enclosure" href="http://n/2"/><published>2024-01-03</published><updated>2024-01-09</updated><summary type="html">&lt;p&gt;a&amp;amp;b&lt;/p&gt;&lt;script&gt;x&lt;/script&gt;</summary><content>other</content></entry>
+      <entry><title>no address</title><link rel="alternate"/></entry></feed>""")
+    (tmp_path / "rss.xml").write_text("""<rss><channel><title>t</title><item><title>R</title><link>http://n/3</link><summary> </summary><description><![CDATA[<i>late</i> <nav>menu</nav>news]]></description></item>
+      <item><link></link><title>empty</title></item></channel></rss>""")
+    got = {r.link: (r.title, r.published, r.summary) for r in sc.scan_feeds(spark, f"{tmp_path}/*.xml").collect()}
+    assert got == {
+        "http://n/1": ("Raid & rescue", dt.date(2024, 1, 2), "two men held"), "http://n/2": ("", dt.date(2024, 1, 3), "a&b"), "http://n/3": ("R", None, "late news"),
+    }
+
+
+def test_serving_extract_writes_seven_tables(spark):
+    one = lambda **values: spark.createDataFrame([tuple(values.values())], list(values))
+    event = lambda n, kind, unit: (n, unit, "2024-01-02", kind, "t", "a", "b", 1, "h", "secret")
+    incidents = spark.createDataFrame(
+        [event("1", "banditry_kidnapping", "u"), event("2", "banditry_kidnapping", None), event("3", "other", "u")],
+        "event_id string, lga_code string, event_date string, event_class string, event_type string, actor_primary string, actor_secondary string, fatalities int, headline string, description string",
+    )
+    tables = {
+        "lga_registry": one(lga_code="u"), "model_runs": one(run_id="r"), "predictions": one(run_id="r", probability=0.5), "prediction_drivers": one(run_id="r", lga_code="u"),
+        "threat_actor_edges": one(run_id="r", target_kind="lga", target="u"), "security_briefs": one(brief_id="b"), "incidents": incidents, "alerts": one(alert_id="a"),
+    }
+    paths = sv.serving_extract(tables, work_path(spark, "serving"))
+    assert set(paths) == set(tables) - {"alerts"}
+    read = {name: spark.read.parquet(path) for name, path in paths.items()}
+    assert all(frame.count() == 1 for frame in read.values())
+    assert len(read["incidents"].columns) == 9 and read["incidents"].first().event_id == "1"
+    with pytest.raises(ValueError, match="predictions"):
+        sv.serving_extract({k: v for k, v in tables.items() if k != "predictions"}, work_path(spark, "serving"))
+
+
 def test_rendered_values(spark):
     df = spark.createDataFrame([(0.0,), (10.0,), (0.5,), (100.0,), (1234.56,), (0.126,), (-2.0,)], "v double")
     assert [r.s for r in df.select(ex.rendered(F.col("v")).alias("s")).collect()] == ["0", "10", "0.5", "100", "1,235", "0.13", "-2"]
