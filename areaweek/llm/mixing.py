@@ -25,6 +25,8 @@ BLOCK_WORDS = 128
 #: Expected blocks in one cell of a source's order; each cell is one window partition.
 _CELL_BLOCKS = 4096
 _CELLS = 1 << 20
+#: Equal rows numbered by one task at a time.
+_TWINS = 10_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: float = MAX_REPEATS) -> list[float]:
@@ -50,12 +52,25 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: float
 
 
 def _share(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric count; beyond the generator's range, its normal limit within the exact bounds."""
+    """A hypergeometric count of any size.
+
+    Beyond the generator's range the distribution function is inverted: probabilities
+    are products of their ratios around the mode, over so many standard deviations
+    that what lies outside is less than a step of the uniform number.
+    """
+    if not n or not good:
+        return 0
     if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n)) if n and good else 0
-    p = good / (good + bad)
-    spread = (n * p * (1 - p) * (good + bad - n) / max(1, good + bad - 1)) ** 0.5
-    return int(min(max(round(rng.normal(n * p, spread)), n - bad, 0), good, n))
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    mode, spread = (n + 1) * (good + 1) // (total + 2), (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5
+    reach = int(12 * spread) + 50
+    low, high = max(0, n - bad, mode - reach), min(good, n, mode + reach)
+    x = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1)
+    weight = np.concatenate([[0.0], np.cumsum(steps)])
+    ladder = np.cumsum(np.exp(weight - weight.max()))
+    return low + int(min(np.searchsorted(ladder, rng.random() * ladder[-1], side="right"), high - low))
 
 
 def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
@@ -112,9 +127,11 @@ def mix(
         F.col(id_col).alias("id"), source.alias("source"), F.regexp_count(_text(text_col), F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(_text(text_col)).alias("mark"),
     )
-    twin = Window.partitionBy("id", "mark", "source").orderBy(F.lit(0))
-    sized = sized.withColumn("key", F.xxhash64("id", "mark", "source"))
-    rows = stored(sized.withColumn("twin", F.row_number().over(twin)).withColumn("row_id", F.xxhash64("id", "mark", "source", "twin")), "sizes")
+    # Equal rows are counted before the shuffle and numbered in stretches, which different tasks unfold.
+    equal = sized.groupBy("id", "mark", "source", "size").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("id", "mark", "source"))
+    stretch = equal.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _TWINS)))).repartition("key", "at")
+    twin = F.explode(F.sequence(F.col("at") * _TWINS + 1, F.least("n", (F.col("at") + 1) * _TWINS))).alias("twin")
+    rows = stored(stretch.select("id", "source", "size", "mark", "key", twin).withColumn("row_id", F.xxhash64("id", "mark", "source", "twin")), "sizes")
     length = F.col("size") if block_words is None else F.lit(block_words).cast("long")
     blocks = rows.where("size > 0").select(
         "row_id", "source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / length))).alias("block"), length.alias("length")

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from areaweek.llm import alignment, collocations, urlfilter
+from areaweek.llm import alignment, collocations, mixing, urlfilter
 
 ALPHABET = ["a", "b", "c", "é", "x'y", "Ab"]
 
@@ -288,3 +288,36 @@ def test_products_equal_dense_ones():
 
 def test_alignment_of_an_empty_table(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# ---------------------------------------------------------------- mixing
+def test_shards_hold_what_the_tree_dealt_them(spark):
+    """Per shard and source the draws are the tree's quota; the query's columns change with the tree."""
+    docs = spark.createDataFrame([(i, f"s{i % 3}", " ".join(["w"] * (1 + i % 40))) for i in range(600)], "doc_id long, source string, text string")
+    draws, rows = mixing.mix(docs, block_words=4, shards=8, seed=7)
+    drawn = draws.join(rows.select("row_id", "source"), "row_id")
+    got = {(r["shard"], r["source"]): r["n"] for r in drawn.groupBy("shard", "source").agg(F.count("*").alias("n")).collect()}
+    sources = sorted({s for _, s in got})
+    totals = [sum(n for (_, s), n in got.items() if s == name) for name in sources]
+    tree = mixing.split_quotas(totals, 8, 7)
+    assert {(k, s): int(tree[k, j]) for k in range(8) for j, s in enumerate(sources) if tree[k, j]} == got
+
+
+def test_equal_rows_are_numbered_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_TWINS", 7)
+    docs = spark.createDataFrame([(1, "a", "x y z")] * 50 + [(2, "a", "q")] * 3 + [(None, None, None)] * 15, "doc_id long, source string, text string")
+    draws, rows = mixing.mix(docs, shards=4)
+    assert rows.count() == 68 and rows.select("row_id").distinct().count() == 68
+    assert draws.agg(F.sum("words")).first()[0] == 153
+
+
+def test_large_hypergeometric_counts():
+    """Exact bounds, mean and spread beyond the generator's range, and its own law where both forms reach."""
+    rng = np.random.default_rng(3)
+    good, bad, n = 3 * 10**9, 7 * 10**9, 4 * 10**9
+    drawn = np.array([mixing._share(rng, good, bad, n) for _ in range(200)], float)
+    spread = (n * 0.3 * 0.7 * (good + bad - n) / (good + bad - 1)) ** 0.5
+    assert abs(drawn.mean() - 0.3 * n) < 5 * spread / 200**0.5 and 0.8 < drawn.std() / spread < 1.2
+    assert mixing._share(rng, 10**10, 0, 5) == 5 and mixing._share(rng, 2 * 10**9, 3, 2 * 10**9 + 3) == 2 * 10**9
+    few = [mixing._share(rng, 2, 2 * 10**9, 10**9) for _ in range(400)]
+    assert set(few) == {0, 1, 2} and 140 < sum(x == 1 for x in few) < 260
