@@ -22,6 +22,30 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+OP2_SQL = r"""
+with recursive words as (
+  select row_number() over () as row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select row_id, array_to_string(w[i:i + 4], ' ') as s from (select row_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from words where len(w) > 0) group by all
+), sets as (
+  select row_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as set_id from shingles group by row_id
+), classes as (
+  select set_id, any_value(row_id) as row_id, min(doc_id) as doc_id, any_value(n) as n from sets join words using (row_id) group by set_id
+), tokens as (
+  select set_id, n, s from classes join shingles using (row_id)
+), links as (
+  select a.set_id as u, b.set_id as v from tokens a join tokens b on a.s = b.s and a.set_id != b.set_id group by a.set_id, b.set_id, a.n, b.n
+  having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach as (
+  select set_id as u, set_id as v from classes union select r.u, l.v from reach r join links l on l.u = r.v
+), components as (
+  select r.u as set_id, min(c.doc_id) as component_id from reach r join classes c on c.set_id = r.v group by r.u
+)
+select w.doc_id, coalesce(s.n, 0) as n_shingles, case when s.set_id is null then w.doc_id else c.component_id end as component_id
+from words w left join sets s using (row_id) left join components c using (set_id)
+"""
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "embeddings")
     return neighbours.search(base, base.where("vec_id % 100 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -82,11 +106,30 @@ def op7_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP7_SQL = """
+with recursive rows as (
+  select row_number() over () as row_id, vec_id, label, embedding::double[] as v from embeddings
+), valid as (
+  select * from rows where label is not null and v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x != 0)) > 0
+), links as (
+  select a.row_id as u, b.row_id as w from valid a join valid b on a.label = b.label and len(a.v) = len(b.v) and a.row_id != b.row_id where list_cosine_similarity(a.v, b.v) >= 0.93::double
+), reach as (
+  select row_id as u, row_id as w from rows union select r.u, l.w from reach r join links l on l.u = r.w
+), components as (
+  select r.u as row_id, min(t.vec_id) as component_id from reach r join rows t on t.row_id = r.w group by r.u
+)
+select r.vec_id, coalesce(n, 0) as n_links, component_id, r.vec_id is not distinct from component_id as kept
+from rows r join components c using (row_id) left join (select u as row_id, count(*) as n from links group by u) l using (row_id)
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shards hold of each document: words, blocks, the number of shards, and a hash over the shard and place of every block."""
     draws, rows = mixing.mix(table(spark, sf_dir, "documents"))
-    taken = draws.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    held = draws.groupBy("row_id", "shard").agg(F.sum("words").alias("words"), F.count("*").alias("blocks"), F.bit_xor(F.xxhash64("shard", "place", "block", "pass")).alias("mark"))
+    taken = held.groupBy("row_id").agg(F.sum("words").alias("taken"), F.sum("blocks").alias("n_blocks"), F.count("*").alias("n_shards"), F.bit_xor("mark").alias("placement"))
     return rows.join(taken, "row_id", "left").select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        F.col("id").alias("doc_id"), "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_blocks", "n_shards", "placement")]
     )
 
 
@@ -232,4 +275,4 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_warc": op1_warc, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_vector_neardup": op7_vector_neardup, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity, "op11_collocations": op11_collocations, "op12_url_filter": op12_url_filter, "op13_alignment": op13_alignment}
-SQL: dict[str, str] = {"op9_lines": OP9_SQL, "op11_collocations": OP11_SQL, "op12_url_filter": OP12_SQL}
+SQL: dict[str, str] = {"op2_jaccard": OP2_SQL, "op7_vector_neardup": OP7_SQL, "op9_lines": OP9_SQL, "op11_collocations": OP11_SQL, "op12_url_filter": OP12_SQL}
