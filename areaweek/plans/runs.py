@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import explain, gate, metrics, model, scoring
-from ..session import durable
+from ..session import durable, gathered
 from .features import feature_columns
 
 
@@ -27,7 +27,7 @@ def prepare(panel: DataFrame, train_end: str, valid_end: str, gate_sees_test: bo
 
     By default the gate sees nothing after the validation fold.
     """
-    folded = durable(gate.temporal_split(panel, train_end, valid_end))
+    folded = gathered(gate.temporal_split(panel, train_end, valid_end))
     table = gate.feature_gate(gate.coverage(folded, feature_columns(panel), train_end, until=None if gate_sees_test else valid_end))
     # One row per feature.
     kept = [r.feature for r in table.where("in_model").select("feature").collect()]
