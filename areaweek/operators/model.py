@@ -6,7 +6,10 @@ import itertools
 import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +17,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import gathered
 from . import isotonic, metrics, scoring
 
 # Training defaults and the sweep grid.
@@ -21,6 +25,8 @@ DEFAULTS = {
     "trees": 700, "rate": 0.05, "depth": 6, "row_share": 0.8, "column_share": 0.8, "min_child": 20, "positive_weight": 1.0, "seed": 608,
 }
 SWEEP = {"depth": (3, 4, 6), "rate": (0.03, 0.05), "positive_weight": ("auto", 1.0), "min_child": (5, 20)}
+#: Fits of a sweep that run at the same time; each keeps its own copy of the training rows in Spark's storage.
+SWEEP_PARALLELISM = 4
 
 
 @dataclass
@@ -104,19 +110,25 @@ def compare(folded: DataFrame, full: RiskModel, reduced: GBTClassificationModel,
 
 
 def sweep(folded: DataFrame, features: Sequence[str], grid: dict[str, Sequence] = SWEEP, trees: int = DEFAULTS["trees"]) -> DataFrame:
-    """One row per combination, best validation recall at 20 first, then average precision."""
-    spark = folded.sparkSession
+    """One row per combination, best validation recall at 20 first, then average precision.
+
+    ``SWEEP_PARALLELISM`` fits run at a time; all candidates are measured in one pass.
+    """
+    combinations = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     valid = folded.where("fold = 'valid'")
-    out = None
-    for combination in itertools.product(*grid.values()):
-        settings = dict(zip(grid, combination))
-        booster = fit_booster(folded, features, trees=trees, **settings)
-        scored = long_scores(raw_scores(booster, valid, features), {"candidate": "raw"})
-        row = metrics.evaluate(scored).select("roc_auc", "average_precision", "recall_at_20", "precision_at_20", "recall_at_50")
-        named = row.select(*[F.lit(str(v)).alias(k) for k, v in settings.items()], F.lit(booster.getNumTrees).alias("trees"), "*")
-        result = spark.createDataFrame(named.collect(), named.schema)
-        out = result if out is None else out.unionByName(result)
-    return out.orderBy(F.desc("recall_at_20"), F.desc("average_precision"))
+    with ThreadPool(min(SWEEP_PARALLELISM, len(combinations))) as pool:
+        fit = inheritable_thread_target(folded.sparkSession)(lambda settings: fit_booster(folded, features, trees=trees, **settings))
+        boosters = pool.map(fit, combinations, chunksize=1)
+    scores = [long_scores(raw_scores(b, valid, features), {str(i): "raw"}) for i, b in enumerate(boosters)]
+    measured = metrics.evaluate(gathered(reduce(DataFrame.unionByName, scores)))
+    named = [
+        F.struct(F.lit(str(i)).alias("model"), *[F.lit(str(v)).alias(k) for k, v in c.items()], F.lit(b.getNumTrees).alias("trees"))
+        for i, (c, b) in enumerate(zip(combinations, boosters))
+    ]
+    # One row per combination.
+    settings = folded.sparkSession.range(1).select(F.explode(F.array(*named)).alias("s")).select("s.*")
+    table = settings.join(measured, "model").select(*grid, "trees", "roc_auc", "average_precision", "recall_at_20", "precision_at_20", "recall_at_50")
+    return table.orderBy(F.desc("recall_at_20"), F.desc("average_precision"))
 
 
 def save(model: RiskModel, path: str, metadata: DataFrame) -> None:
