@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import gathered
+from ..session import gathered, one_wave
 from . import isotonic, metrics, scoring
 
 # Training defaults and the sweep grid.
@@ -91,7 +91,7 @@ def score(model: RiskModel, frame: DataFrame) -> DataFrame:
 
 def train(folded: DataFrame, features: Sequence[str], **settings) -> RiskModel:
     booster = fit_booster(folded, features, **settings)
-    valid = raw_scores(booster, folded.where("fold = 'valid'"), features)
+    valid = raw_scores(booster, one_wave(folded).where("fold = 'valid'"), features)
     return RiskModel(booster, fit_calibrator(valid), list(features), {**DEFAULTS, **settings})
 
 
@@ -115,7 +115,7 @@ def sweep(folded: DataFrame, features: Sequence[str], grid: dict[str, Sequence]
     ``SWEEP_PARALLELISM`` fits run at a time; all candidates are measured in one pass.
     """
     combinations = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
-    valid = folded.where("fold = 'valid'")
+    valid = one_wave(folded).where("fold = 'valid'")
     with ThreadPool(min(SWEEP_PARALLELISM, len(combinations))) as pool:
         fit = inheritable_thread_target(folded.sparkSession)(lambda settings: fit_booster(folded, features, trees=trees, **settings))
         boosters = pool.map(fit, combinations, chunksize=1)

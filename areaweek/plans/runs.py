@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import explain, gate, metrics, model, scoring
-from ..session import durable, gathered
+from ..session import durable, gathered, one_wave
 from .features import feature_columns
 
 
@@ -27,7 +27,7 @@ def prepare(panel: DataFrame, train_end: str, valid_end: str, gate_sees_test: bo
 
     By default the gate sees nothing after the validation fold.
     """
-    folded = gathered(gate.temporal_split(panel, train_end, valid_end))
+    folded = durable(gate.temporal_split(panel, train_end, valid_end))
     table = gate.feature_gate(gate.coverage(folded, feature_columns(panel), train_end, until=None if gate_sees_test else valid_end))
     # One row per feature.
     kept = [r.feature for r in table.where("in_model").select("feature").collect()]
@@ -37,12 +37,14 @@ def prepare(panel: DataFrame, train_end: str, valid_end: str, gate_sees_test: bo
 def train_run(panel: DataFrame, run_id: str, train_end: str, valid_end: str, **settings) -> TrainedRun:
     folded, features, coverage = prepare(panel, train_end, valid_end)
     gate.require_trainable(folded)
+    # Fits read the panel in its own pieces, since those decide which rows a tree samples.
+    near = one_wave(folded)
     full = model.train(folded, features, **settings)
     reduced_features = metrics.without_point_process(features)
     reduced = model.fit_booster(folded, reduced_features, **settings) if reduced_features != features else full.booster
-    valid = model.score(full, folded.where("fold = 'valid'"))
+    valid = model.score(full, near.where("fold = 'valid'"))
     return TrainedRun(
-        run_id, full, durable(scoring.tier_cut_points(valid)), model.compare(folded, full, reduced, reduced_features), gate.describe_split(folded), coverage
+        run_id, full, durable(scoring.tier_cut_points(valid)), model.compare(near, full, reduced, reduced_features), gate.describe_split(near), coverage
     )
 
 
@@ -53,7 +55,7 @@ class NothingToScore(ValueError):
 def score_week(run: TrainedRun, panel: DataFrame, week: str | None = None) -> DataFrame:
     """Every unit of one week (the last one by default) with probability, tier and ranks."""
     chosen = panel.agg(F.max("week_start")).first()[0] if week is None else week
-    rows = panel.where(F.col("week_start") == F.lit(chosen).cast("date"))
+    rows = gathered(panel.where(F.col("week_start") == F.lit(chosen).cast("date")))
     if rows.isEmpty():
         raise NothingToScore(str(chosen))
     tiered = scoring.assign_tiers(model.score(run.model, rows), run.cuts)

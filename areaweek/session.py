@@ -53,15 +53,18 @@ def durable(df: DataFrame) -> DataFrame:
 ROWS_PER_TASK = 20_000
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """``durable`` in as few pieces as its rows need: one wave of tasks, more only for more than ``ROWS_PER_TASK`` rows each.
+def one_wave(written: DataFrame) -> DataFrame:
+    """A written table in as few pieces as its rows need: one wave of tasks, more only for more than ``ROWS_PER_TASK`` rows each.
 
-    Meant for tables that iterative jobs read over and over, where a small table in
-    hundreds of pieces costs hundreds of tasks in each job. Rows do not move between tasks.
+    Meant for small tables that come in hundreds of pieces, each of which costs a task in
+    every job that reads them. Rows do not move between tasks.
     """
-    written = durable(df)
-    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-written.count() // ROWS_PER_TASK))
-    return written.coalesce(pieces)
+    return written.coalesce(max(written.sparkSession.sparkContext.defaultParallelism, -(-written.count() // ROWS_PER_TASK)))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``durable``, read in one wave."""
+    return one_wave(durable(df))
 
 
 def work_path(spark: SparkSession, label: str) -> str:

@@ -11,7 +11,7 @@ from ..operators import model as md
 from ..operators.pointprocess import HawkesParameters
 from ..plans import features, runs
 from ..schemas import MODEL_RUNS, PREDICTIONS
-from ..session import gathered, work_path
+from ..session import durable, work_path
 from ..sources import tables as tb
 
 QUERIES: dict = {}
@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 def panel(spark, sf):
     d = Domain(spark, sf)
     # Written once: training and scoring both read it, the latter several times.
-    return gathered(features.build_panel(d.incidents, d.registry, d.adjacency, WEEKS, d.documents, hawkes=PAR, fit_end=FIT_END))
+    return durable(features.build_panel(d.incidents, d.registry, d.adjacency, WEEKS, d.documents, hawkes=PAR, fit_end=FIT_END))
 
 
 def folded(spark, sf):

@@ -17,11 +17,17 @@ def test_gathered_keeps_all_rows_in_one_wave_of_tasks(spark):
     assert rows.agg(F.count("id"), F.sum("id")).first()[:] == (1000, 499500)
 
 
-def test_prepared_panel_is_read_in_one_wave(spark):
+def test_prepared_panel_keeps_its_pieces_for_the_fits_and_a_week_is_scored_in_one_wave(spark, monkeypatch):
     days = [dt.date(2000, 1, 3) + dt.timedelta(days=7 * i) for i in range(60)]
     panel = spark.createDataFrame([(f"U{u}", d, float(u + i), int(i % 2)) for u in range(5) for i, d in enumerate(days)], "lga_code string, week_start date, own_events_1w double, label int")
     folded, features, _ = runs.prepare(panel.repartition(30, "lga_code"), "2000-08-01", "2000-12-01")
-    assert folded.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert folded.rdd.getNumPartitions() == 30
+    seen = []
+    monkeypatch.setattr(runs.model, "score", lambda _, rows: seen.append(rows) or rows)
+    monkeypatch.setattr(runs.scoring, "assign_tiers", lambda rows, _: rows)
+    monkeypatch.setattr(runs.scoring, "rank_units", lambda rows: rows)
+    week = runs.score_week(runs.TrainedRun("r", None, None, None, None, None), folded)
+    assert week.count() == 5 and seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert folded.count() == 300 and features == ["own_events_1w"]
     assert {r.fold: r.rows for r in gate.describe_split(folded).collect()} == {"train": 155, "valid": 85, "test": 60}
 
