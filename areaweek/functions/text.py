@@ -112,12 +112,14 @@ def fold(text: Column) -> Column:
 def normalise(text) -> Column:
     """Lower-case ASCII words, slashes, apostrophes and hyphens, single spaces.
 
-    One pass over a character table does most of the work; patterns only touch
-    leftover foreign characters and runs of spaces.
+    ASCII texts are cut into runs of kept characters and joined again. Others take one
+    pass over a character table, and patterns only touch leftover foreign characters
+    and runs of spaces.
     """
-    column = F.col(text) if isinstance(text, str) else text
-    plain = F.regexp_replace(fold(F.coalesce(column, F.lit(""))), r"[^\x00-\x7F]+", " ")
-    return F.trim(F.regexp_replace(plain, " {2,}", " "))
+    column = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    kept = F.array_join(F.regexp_extract_all(F.lower(column), F.lit(r"[a-z0-9/'-]++"), F.lit(0)), " ")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(fold(column), r"[^\x00-\x7F]+", " "), " {2,}", " "))
+    return F.when(F.octet_length(column) == F.char_length(column), kept).otherwise(plain)
 
 
 def normalise_exact(text) -> Column:

@@ -1,9 +1,9 @@
 """Place names: gazetteer, mentioned states, resolved units and the fact bundle.
 
-Surface forms are found through an index of whole word n-grams. Inside each text row,
-words that begin some surface, by a bit table of fixed size, are extended to the
-lengths that surfaces have, and those n-grams that pass a second bit table leave the
-row to be joined with the surfaces as a whole. However many surfaces share their
+Surface forms are found through an index of whole word n-grams. In the task that reads
+a text, words that begin some surface, by a bit table of fixed size, are extended to the
+lengths that surfaces have, and those n-grams that pass a second bit table are
+joined with the surfaces as a whole. However many surfaces share their
 first word, an n-gram meets only its own; n-grams that overlap are all tried, so a
 name inside a longer name counts as well. The text itself is never shuffled.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -86,31 +86,25 @@ class NameIndex:
         slot = _slot(value)
         return F.getbit(F.get(table, F.floor(slot / 64).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
 
-    def grams(self, normalised: Column) -> Column:
-        """Array of (core, before, after): the n-grams of a text that may be surfaces, with the separators around them."""
-        cut = lambda t: F.struct(F.regexp_extract_all(t, F.lit(_WORD), 0).alias("words"), F.regexp_extract_all(t, F.lit(_PIECE), 0).alias("pieces"))
-        # Bound as lambda variables, the text is normalised and cut once and not once for each use.
-        return F.get(F.transform(F.transform(F.array(normalised), cut), lambda c: self._of_words(c["words"], c["pieces"])), F.lit(0))
-
-    def _of_words(self, words: Column, pieces: Column) -> Column:
-        gap = lambda i: F.substring(F.get(pieces, i), F.length(F.get(words, i)) + 1, F.length(F.get(pieces, i)))
-        starts = F.filter(F.transform(words, lambda w, i: F.when(self._in(self.first, w), i)), lambda i: i.isNotNull())
-
-        def extended(i: Column, n: int) -> Column:
-            last = i + (n - 1)
-            core = F.get(words, i) if n == 1 else F.concat(F.array_join(F.slice(pieces, i + 1, n - 1), ""), F.get(words, last))
-            before = F.when(i > 0, gap(i - 1))
-            after = F.when(last + 1 < F.size(words), gap(last))
-            return F.struct(core.alias("core"), before.alias("before"), after.alias("after"))
-
-        every = F.flatten(F.transform(starts, lambda i: F.array(*[extended(i, n) for n in sorted(self.lengths)])))
-        return F.array_distinct(F.filter(every, lambda g: self._in(self.whole, g["core"])))
-
-    def found(self, grams: DataFrame, text_id: str) -> DataFrame:
-        """(text_id, surface) of the n-grams in column ``grams`` that are surfaces, bounded on both sides."""
-        each = grams.select(text_id, F.explode("grams").alias("g")).select(text_id, "g.*")
+    def hits(self, texts: DataFrame, text_id: str, normalised: str = "norm") -> DataFrame:
+        """(text_id, surface), a row for each place in column ``normalised`` where a surface stands, bounded on both sides."""
+        cut = texts.select(
+            text_id, F.regexp_extract_all(normalised, F.lit(_WORD), 0).alias("_words"), F.regexp_extract_all(normalised, F.lit(_PIECE), 0).alias("_pieces")
+        )
+        # The outer form: of the plain one Spark infers that arrays are not empty, and asks that by cutting every text twice more below this.
+        starts = cut.select(text_id, "_words", "_pieces", F.posexplode_outer("_words").alias("_i", "_w")).where(self._in(self.first, F.col("_w")))
+        grams = starts.select(text_id, F.explode(F.array(*[self._extended(n) for n in sorted(self.lengths)])).alias("g")).select(text_id, "g.*")
         whole = "(lead = '' or lead <=> before) and (tail = '' or tail <=> after)"
-        return each.join(self.surfaces, "core").where(whole).select(text_id, "surface").distinct()
+        return grams.where(self._in(self.whole, F.col("core"))).join(self.surfaces, "core").where(whole).select(text_id, "surface")
+
+    @staticmethod
+    def _extended(n: int) -> Column:
+        """(core, before, after) of the ``n`` words from word ``_i`` on, with the separators around them."""
+        words, pieces, i = F.col("_words"), F.col("_pieces"), F.col("_i")
+        gap = lambda k: F.substring(F.get(pieces, k), F.length(F.get(words, k)) + 1, F.length(F.get(pieces, k)))
+        last = i + (n - 1)
+        core = F.col("_w") if n == 1 else F.concat(F.array_join(F.slice(pieces, i + 1, n - 1), ""), F.get(words, last))
+        return F.struct(core.alias("core"), F.when(i > 0, gap(i - 1)).alias("before"), F.when(last + 1 < F.size(words), gap(last)).alias("after"))
 
 
 def mentions(texts: DataFrame, surfaces: DataFrame, text_id: str = "text_id", normalised: str = "norm") -> DataFrame:
@@ -118,7 +112,7 @@ def mentions(texts: DataFrame, surfaces: DataFrame, text_id: str = "text_id", no
     index = NameIndex(surfaces)
     if not index.lengths:
         return texts.select(text_id, F.lit("").alias("surface")).limit(0)
-    return index.found(texts.select(text_id, index.grams(F.col(normalised)).alias("grams")), text_id)
+    return index.hits(texts, text_id, normalised).distinct()
 
 
 def all_surfaces(registry: DataFrame) -> DataFrame:
@@ -126,12 +120,15 @@ def all_surfaces(registry: DataFrame) -> DataFrame:
 
 
 def all_mentions(texts: DataFrame, registry: DataFrame, text_id: str = "text_id", normalised: str = "norm") -> DataFrame:
-    """Mentions of unit and state surfaces in one pass over the texts.
+    """Mentions of unit and state surfaces in one pass over the texts; a surface comes as often as a text names it.
 
     Units and states both read this frame several times. It is small next to the
-    texts, so it is written once and the texts are read a single time.
+    texts, so it is written once, where it arises, and the texts are read a single time.
     """
-    return durable(mentions(texts, all_surfaces(registry), text_id, normalised))
+    index = NameIndex(all_surfaces(registry))
+    if not index.lengths:
+        return texts.select(text_id, F.lit("").alias("surface")).limit(0)
+    return durable(index.hits(texts, text_id, normalised))
 
 
 def find_states(seen: DataFrame, registry: DataFrame, text_id: str = "text_id") -> DataFrame:
@@ -140,21 +137,26 @@ def find_states(seen: DataFrame, registry: DataFrame, text_id: str = "text_id")
 
 
 def resolve_units(seen: DataFrame, registry: DataFrame, text_id: str = "text_id", k: int = UNITS_KEPT) -> DataFrame:
-    """The ``k`` best units of every text with their confidence."""
+    """The ``k`` best units of every text with their confidence.
+
+    Rows are dealt by text alone, so the steps after that share one shuffle.
+    """
     names = gazetteer(registry)
     holders = names.groupBy("surface").agg(F.count(F.lit(1)).alias("n_units"))
     candidates = seen.join(names.join(holders, "surface"), "surface")
     shared = F.col("n_units") > 1
     sole = candidates.where(~shared).select(text_id, "lga_code", F.lit(UNIQUE_CONFIDENCE).alias("confidence"))
     # Only surfaces shared by several units need the states of the text.
-    states = find_states(seen, registry, text_id).withColumn("named", F.lit(1))
-    placed = candidates.where(shared).join(states, [text_id, "state_name"], "left")
-    matching = placed.groupBy(text_id, "surface").agg(F.count("named").alias("n_named"))
-    rated = placed.join(matching, [text_id, "surface"]).where((F.col("n_named") != 1) | F.col("named").isNotNull()).select(
+    states = seen.join(state_surfaces(registry), "surface").select(text_id, "state_name").repartition(text_id).distinct().withColumn("named", F.lit(1))
+    # A text counts once for each unit that holds a name, however often it says the name; texts without an id cannot be told apart.
+    said = seen.where(F.col(text_id).isNotNull()).join(holders.where(shared), "surface").repartition(text_id).distinct()
+    placed = said.join(names, "surface").join(states, [text_id, "state_name"], "left")
+    n_named = F.count("named").over(Window.partitionBy(text_id, "surface"))
+    rated = placed.withColumn("n_named", n_named).where((F.col("n_named") != 1) | F.col("named").isNotNull()).select(
         text_id, "lga_code",
         F.when(F.col("n_named") == 1, F.lit(RESOLVED_CONFIDENCE)).otherwise(F.lit(SHARED_CONFIDENCE) / F.col("n_units")).alias("confidence"),
     )
-    best = sole.unionByName(rated).groupBy(text_id, "lga_code").agg(F.max("confidence").alias("confidence"))
+    best = sole.unionByName(rated).repartition(text_id).groupBy(text_id, "lga_code").agg(F.max("confidence").alias("confidence"))
     return top_in_group(best, [text_id], [F.desc("confidence"), F.asc("lga_code")], k, "place_rank")
 
 
@@ -175,20 +177,20 @@ def extract_facts(texts: DataFrame, registry: DataFrame, text_id: str = "text_id
     """The fact bundle per text, places included, with the ``keep`` columns of ``texts`` (default: all).
 
     Texts are read and normalised once; what is kept of a row is written with its
-    facts and n-grams, and only that meets the places.
+    facts and its normalised text, and only that meets the places.
     """
     index = NameIndex(all_surfaces(registry))
     facts = text_facts(texts, text)
     added = [c for c in facts.columns if c not in texts.columns and c != "norm"]
     kept = list(dict.fromkeys([text_id, *(texts.columns if keep is None else keep)]))
-    rows = durable(facts.select(*kept, *added, index.grams(F.col("norm")).alias("grams")))
-    seen = durable(index.found(rows, text_id))
+    rows = durable(facts.select(*kept, *added, F.col("norm").alias("_norm")))
+    seen = durable(index.hits(rows, text_id, "_norm"))
     units = resolve_units(seen, registry, text_id).groupBy(text_id).agg(
         F.array_sort(F.collect_list(F.struct("place_rank", "lga_code", "confidence"))).alias("_u")
     )
     states = find_states(seen, registry, text_id).groupBy(text_id).agg(F.array_sort(F.collect_set("state_name")).alias("states"))
     places = units.join(states, text_id, "full").select(text_id, F.col("_u.lga_code").alias("lga_codes"), F.col("_u")[0]["confidence"].alias("confidence"), "states")
     none = F.array().cast("array<string>")
-    return rows.drop("grams").join(places, text_id, "left").withColumns(
+    return rows.drop("_norm").join(places, text_id, "left").withColumns(
         {"lga_codes": F.coalesce("lga_codes", none), "states": F.coalesce("states", none), "confidence": F.coalesce("confidence", F.lit(0.0))}
     )
