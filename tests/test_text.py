@@ -152,3 +152,34 @@ def test_ascii_texts_are_normalised_as_by_the_exact_form(spark):
     assert df.where("not n <=> e").count() == 0
     # The wide character table is not asked for in such texts.
     assert df._jdf.queryExecution().optimizedPlan().toString().count("octet_length") >= 1
+
+
+def test_facts_equal_the_plain_patterns(spark):
+    import itertools
+    import re
+
+    starts = ["Sixteen", "six", "SIX teen", "1234", "12345", "a seven", "xone", "N", "n 5,", "NGN1.5", "₦ 20,000", "several  ", "twenty-two"]
+    ends = [" villagers", " people were killed", "\tothers  shot\ndead", " Naira", ", x", " million naira", "k", " have been gunned down", " PERSONS died two dead", "killed"]
+    texts = ["".join(t) for t in itertools.product(starts, ends, ["", " Four soldiers slain", ", N30m"])]
+    word = lambda t: int(t) if t.isdigit() else tx.NUMBER_WORDS[t.lower()]
+    count = lambda pattern, text: max((word(m) for m in re.findall(pattern, text)), default=None)
+
+    def amount(text):
+        found = []
+        for pattern in tx.MONEY_PATTERNS:
+            for figure, unit in re.findall(pattern, text):
+                if figure.strip(",."):
+                    found.append(float(figure.replace(",", "")) * tx.MULTIPLIERS.get(unit.lower(), 1.0))
+        return max((f for f in found if f >= tx.SMALLEST_AMOUNT), default=None)
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.victims("t").alias("v"), tx.fatalities("t").alias("f"), tx.money("t").alias("m"))
+    for r in df.collect():
+        assert (r.v, r.f, r.m) == (count(tx.VICTIM_PATTERN, r.t), count(tx.FATALITY_PATTERN, r.t), amount(r.t)), r.t
+
+
+def test_words_are_screened_once_for_their_mood(spark):
+    import re
+
+    df = spark.createDataFrame([(["attack", "attack", "peace", "calm"],), ([],), (None,)], "w array<string>").select(tx.sentiment(F.col("w")).alias("v"))
+    assert len(re.findall(r"filter\(w#\d+", df._jdf.queryExecution().optimizedPlan().toString())) == 1
+    assert [r.v for r in df.collect()] == [1 / 3, 0.0, None]
