@@ -104,15 +104,24 @@ def publish(
     stage, place = f"{topic}/_staging/{batch}", f"producer={producer}/ingest_date={ingest_date}"
     new_path = spark._jvm.org.apache.hadoop.fs.Path
     files = new_path(topic).getFileSystem(spark._jsc.hadoopConfiguration())
-    written = f"{stage}/_SUCCESS"
-    if not path_exists(spark, written):
+    every, parted = f"{stage}/every", f"{stage}/parted"
+    # Written as they come: one write into two folders would have every task sort all its rows first.
+    if not path_exists(spark, f"{every}/_SUCCESS"):
         checked = contracts.check(rows, schema, defaults, allowed)
-        checked.withColumn("fits", F.size(contracts.REASONS) == 0).write.mode("overwrite").partitionBy("fits").parquet(stage)
-    if strict and path_exists(spark, f"{stage}/fits=false"):
-        reasons = [r[0] for r in spark.read.parquet(f"{stage}/fits=false").select(contracts.REASONS).limit(5).collect()]
+        checked.withColumn("fits", F.size(contracts.REASONS) == 0).write.mode("overwrite").parquet(every)
+    # The files' statistics leave no file to read when all rows fit, and then the files are the topic's as they are.
+    kinds = T.StructType([*schema.fields, T.StructField(contracts.REASONS, T.ArrayType(T.StringType())), T.StructField("fits", T.BooleanType())])
+    staged = spark.read.schema(kinds).parquet(every)
+    reasons = [r[0] for r in staged.where("not fits").select(contracts.REASONS).limit(5).collect()]
+    if strict and reasons:
         files.delete(new_path(stage), True)
         raise contracts.ContractBroken("; ".join(", ".join(r) for r in reasons))
-    for part, target in (("fits=false", f"{topic}/_quarantine/{place}"), ("fits=true", f"{topic}/{place}")):
+    if reasons:
+        for fits in ("false", "true"):
+            if not path_exists(spark, f"{parted}/fits={fits}/_SUCCESS"):
+                staged.where(f"fits = {fits}").drop("fits").write.mode("overwrite").parquet(f"{parted}/fits={fits}")
+    moves = [("parted/fits=false", f"{topic}/_quarantine/{place}"), ("parted/fits=true", f"{topic}/{place}")] if reasons else [("every", f"{topic}/{place}")]
+    for part, target in moves:
         if not path_exists(spark, f"{stage}/{part}"):
             continue
         files.mkdirs(new_path(target))

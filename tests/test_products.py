@@ -335,3 +335,23 @@ def test_publish_checks_stages_and_finishes(spark, monkeypatch):
     assert held() == ["a", "c"]
     tb.publish(rows.where("k = 'a'"), topic, schema, "p", "2024-01-02", batch="two")
     assert held() == ["a", "a", "c"]
+
+
+def test_rows_that_fit_are_published_without_being_sorted_into_folders(spark, monkeypatch):
+    """The files of a batch in which all rows fit are those its tasks wrote, and a move that stops is finished."""
+    topic = work_path(spark, "topic")
+    schema = T.StructType([T.StructField("k", T.LongType(), False)])
+    rows = spark.range(90).withColumnRenamed("id", "k").repartition(3)
+    place = f"{topic}/producer=p/ingest_date=2024-01-01"
+    moved = spark.range(1).select(F.lit(-1).cast("long").alias("k"))
+    for _ in range(2):
+        tb.publish(rows, topic, schema, "p", "2024-01-01", batch="one")
+    assert not tb.path_exists(spark, f"{topic}/_staging/one/fits=true") and not tb.path_exists(spark, f"{topic}/_quarantine")
+    assert len(spark.read.parquet(place).inputFiles()) == 3
+    # One file back in the staging folder, as if the move had stopped there; the batch's rows are not written anew.
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = new_path(topic).getFileSystem(spark._jsc.hadoopConfiguration())
+    last = new_path(spark.read.parquet(place).inputFiles()[0])
+    assert files.rename(last, new_path(f"{topic}/_staging/one/every/{last.getName().removeprefix('one-')}"))
+    tb.publish(moved, topic, schema, "p", "2024-01-01", batch="one")
+    assert sorted(r.k for r in tb.replay(spark, topic, schema).collect()) == list(range(90))
