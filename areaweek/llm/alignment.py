@@ -2,7 +2,7 @@
 
 Both tokenizers of the query never join bytes across a single space between two other
 characters, so a text is cut there; a cut is where tokens of both end. Each distinct
-piece of a batch is encoded once. Its tokens become incidence matrices in CSR form,
+piece of a batch is encoded once, many of them in one call. Its tokens become incidence matrices in CSR form,
 tokens by bytes: the row products of A and B transposed are the overlap links (with the
 bytes shared), and the products of the group-incidence matrices are the links between
 all tokens that share a group. Pieces of a batch form one block-diagonal matrix.
@@ -29,6 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,8 @@ from areaweek.llm.common import stored
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text cut at once, bytes of text encoded together, pairs of the count table in one range.
 WINDOW, BATCH_BYTES, TABLE_PAIRS = 1 << 20, 2 << 20, 4_000_000
+#: Pieces encoded in one call of a tokenizer.
+RUN = 64
 #: An id pair as one number: the B id above, the A id in the lower bits.
 A_BITS = 16
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -125,9 +128,62 @@ class Tokenizers:
         self.a_text = {end: text(len(self.a_bytes), end) for end in (b",", b"|")}
         self.b_text = {end: text(len(self.b_bytes), end) for end in (b",", b";")}
 
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of pieces that begin with the added or the cut space."""
-        return [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)], self.b.encode([p[1:] for p in pieces], num_threads=1)
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A ids, B ids, their numbers per piece and whether both give the piece back, for pieces that begin with the added or the cut space.
+
+        A piece that is not given back has no ids. Pieces that meet at a cut are encoded in runs of
+        ``RUN``; where a run is not given back or a token reaches over a cut, its pieces are encoded by themselves.
+        """
+        plain = [i for i, p in enumerate(pieces) if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
+        rest = np.ones(len(pieces), bool)
+        rest[plain] = False
+        runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)]
+        a, b, order, n_a, n_b, same = [], [], [], [], [], []
+        for run, text, x, y in zip(runs, *self._both(["".join([pieces[i] for i in run]) for run in runs]), strict=True):
+            ends = np.cumsum([len(pieces[i].encode()) for i in run]) if not text.isascii() else np.cumsum([len(pieces[i]) for i in run])
+            places = [self._places(text, ids, known, sizes, ends) for ids, known, sizes in ((x, self.a_bytes, self.a_size), (y, self.b_bytes, self.b_size))]
+            if places[0] is None or places[1] is None:
+                rest[run] = True
+                continue
+            order += run
+            a.append(x)
+            b.append(y)
+            n_a.append(places[0])
+            n_b.append(places[1])
+            same += [True] * len(run)
+        single = np.flatnonzero(rest).tolist()
+        for p, x, y in zip(*self._both([pieces[i] for i in single]), strict=True):
+            raw = p.encode()
+            exact = b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y))
+            a.append(x if exact else x[:0])
+            b.append(y if exact else y[:0])
+            n_a.append(np.array([len(a[-1])]))
+            n_b.append(np.array([len(b[-1])]))
+            same.append(exact)
+        order = np.array(order + single, np.int64)
+        back = np.argsort(order)
+        return *(x for side, n in ((a, n_a), (b, n_b)) for x in _reordered(side, n, back)), np.array(same, bool)[back]
+
+    def _both(self, texts: list[str]) -> tuple[list[str], list[list[int]], list[list[int]]]:
+        return texts, [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
+
+    @staticmethod
+    def _places(text: str, ids: list[int], known: list[bytes], sizes: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """How many ids lie in each stretch of the text up to the byte ``ends``; None if the ids are not this text's bytes or reach over an end."""
+        if b"".join(map(known.__getitem__, ids)) != text.encode():
+            return None
+        at = np.cumsum(sizes[ids])
+        last = np.searchsorted(at, ends)
+        return np.diff(last, prepend=-1) if (at[last] == ends).all() else None
+
+
+def _reordered(ids: list[list[int]], n: list[np.ndarray], back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces in the pieces' own order, and their numbers."""
+    ids = np.fromiter(chain.from_iterable(ids), np.int64)
+    n = np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64)
+    first, n = (np.cumsum(n) - n)[back], n[back]
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return ids[np.repeat(first, n) + inside], n
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -153,13 +209,7 @@ class Aligned:
     """The alignment of distinct pieces: block-diagonal matrices, then sums and links per piece."""
 
     def __init__(self, tok: Tokenizers, pieces: list[str]):
-        a, b = tok.encode(pieces)
-        raw = [p.encode() for p in pieces]
-        same = [b"".join(map(tok.a_bytes.__getitem__, x)) == r == b"".join(map(tok.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw, strict=True)]
-        a, b = ([x if ok else [] for x, ok in zip(side, same, strict=True)] for side in (a, b))
-        self.exact = np.array(same, bool)
-        self.n_a, self.n_b = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b))
-        self.a_ids, self.b_ids = (np.fromiter((i for x in side for i in x), np.int64) for side in (a, b))
+        self.a_ids, self.n_a, self.b_ids, self.n_b, self.exact = tok.encode(pieces)
         a_rows, b_rows = Csr.of_ranges(tok.a_size[self.a_ids]), Csr.of_ranges(tok.b_size[self.b_ids])
         blocks = list(a_rows.times(b_rows.transposed()))
         self.links_a, self.links_b, self.shared_bytes = (np.concatenate([x[i] for x in blocks]) if blocks else np.zeros(0, np.int64) for i in range(3))
@@ -246,8 +296,8 @@ class _Text:
 
 def _encoded(tok: Tokenizers, parts: list[tuple[_Text, list[str]]]) -> None:
     """Align the distinct pieces of some windows and add each window to its text."""
-    number: dict[str, int] = {}
-    places = [np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces)) for _, pieces in parts]
+    number = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(pieces for _, pieces in parts)))}
+    places = [np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces)) for _, pieces in parts]
     done = Aligned(tok, list(number))
     sums = np.stack([getattr(done, n) for n in _SUMS], axis=1)
     groups = done.written(tok)

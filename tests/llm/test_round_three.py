@@ -258,6 +258,28 @@ def test_alignment_in_windows(tokenizers, monkeypatch):
     assert run() == whole
 
 
+def test_pieces_are_encoded_in_runs(tokenizers, monkeypatch):
+    rng = random.Random(3)
+    pieces = [" " + "".join(rng.choice("abcdeéß日x'1-") for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    pieces = list(dict.fromkeys([*pieces[:700], "  two", " x\n", " ", " \u3000", " ½ﬁ", " <s>", " ▁", *pieces[700:]]))
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name, of=tokenizers.a):
+            f = getattr(of, name)
+            return lambda texts, *a, **b: calls.extend(texts) or f(texts, *a, **b)
+
+    want = [(tokenizers.a.encode(p, add_special_tokens=False).ids, tokenizers.b.encode(p[1:])) for p in pieces]
+    monkeypatch.setattr(tokenizers, "a", Counted())
+    done = alignment.Aligned(tokenizers, pieces)
+    for i, (p, (a, b)) in enumerate(zip(pieces, want)):
+        exact = b"".join(tokenizers.a_bytes[t] for t in a) == p.encode() == b"".join(tokenizers.b_bytes[t] for t in b)
+        assert done.exact[i] == exact
+        got = [ids[f[i] : f[i + 1]].tolist() for ids, f in ((done.a_ids, done.a_from), (done.b_ids, done.b_from))]
+        assert got == ([a, b] if exact else [[], []])
+    assert len(calls) < len(pieces) / 2
+
+
 def test_links_of_both_kinds(spark, tokenizers):
     rows = token_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").where("doc_id < 900 and doc_id != 5 or doc_id = 905")
