@@ -262,5 +262,21 @@ def decode(ids: Column, path: str = MULTI_50K) -> Column:
     return unpacked(F.coalesce(ids, F.lit(b"")))
 
 
+def round_trip(text: Column, path: str = MULTI_50K) -> Column:
+    """(ids, decoded): what ``encode`` gives, and what ``decode`` makes of it.
+
+    One call does both, so a task needs one worker with one vocabulary; two columns,
+    one made of the other, would take two.
+    """
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        known = vocabulary(path)
+        ids = texts.map(known.encode)
+        return pd.DataFrame({"ids": ids, "decoded": ids.map(known.decode)})
+
+    return both(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def count(ids: Column) -> Column:
     return F.octet_length(ids).cast("long") / 4

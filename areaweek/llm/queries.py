@@ -52,10 +52,9 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    return ids.select(
-        "doc_id", bpe.count(F.col("ids")).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    both = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text")).alias("both")).select("doc_id", "both.*")
+    return both.select(
+        "doc_id", bpe.count(F.col("ids")).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 

@@ -188,6 +188,14 @@ def test_bpe_equals_library(spark, sample, tokenizer):
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == want and r.n == len(want) and bytes(r.back).decode() == (r.text or "")
 
 
+def test_encoding_and_decoding_take_one_python_worker_a_task(spark, sample, tmp_path):
+    documents(spark, sample).write.parquet(f"{tmp_path}/documents.parquet")
+    stage = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    for df in (stage, queries.op4_bpe(spark, str(tmp_path))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert all(r.exact is (r.text is not None) or r.text is None for r in stage.join(documents(spark, sample).select("doc_id", "text"), "doc_id").collect())
+
+
 def test_bpe_on_every_code_point(tokenizer):
     for code in [*range(0xD800), *range(0xE000, 0x11000)]:
         text = f"a{chr(code)}b 1{chr(code)}!{chr(code)}{chr(code)} x"
