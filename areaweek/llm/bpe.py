@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MULTI_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces of at most this many characters are remembered, so many bytes of them per worker in each of two generations, and so many pairs.
-_KEEP_CHARS, _KEEP_BYTES, _KEEP_PAIRS = 128, 24 << 20, 1 << 17
+_KEEP_CHARS, _KEEP_BYTES, _KEEP_PAIRS = 128, 24 << 20, 1 << 18
 #: What an entry takes besides its characters and ids: two objects and their place in the table.
 _ENTRY_BYTES = 200
 #: A later character changes at most this many of the last pieces ("'v" + "e").
@@ -106,30 +106,33 @@ class Vocabulary:
     def extend(self, last: list[int], piece: bytes) -> list[int]:
         """Complete ``last``, the last tokens of the first prefixes, to all prefixes of ``piece``."""
         pairs, known = self._pairs, len(last)
+        get, append = pairs.get, last.append
         skip = max(0, known - self.longest)
+        want, before = known - skip, skip + 1
         for end, (token, size) in self.found(piece[skip:].decode("latin-1")):
-            end += skip + 1
-            if end != len(last) + 1 or end - size < 0:
+            if end != want:
                 continue
-            if end > size:
-                key = last[end - size - 1] << 32 | token
-                if (fits := pairs.get(key)) is None:
-                    fits = pairs[key] = self.pair(key >> 32, token)
-                if not fits:
-                    continue
-            if self.alone(token):
-                last.append(token)
+            if at := end + before - size:
+                key = last[at - 1] << 32 | token
+                if (fits := get(key)) is None:
+                    fits = pairs[key] = self.alone(token) and self.pair(key >> 32, token)
+            else:
+                fits = self.alone(token)
+            if fits:
+                append(token)
+                want += 1
         return last
 
     def walk(self, last: list[int], piece: bytes) -> list[int]:
         """The encoding that a full table of last tokens stands for."""
         if (token := self.ranks.get(piece)) is not None:
             return [token]  # a piece that is a token is that token, even if no merges lead to it
-        out, end = [], len(last)
+        out, end, tokens = [], len(last), self.tokens
         while end:
-            out.append(last[end - 1])
-            end -= len(self.tokens[last[end - 1]])
-        return out[::-1]
+            out.append(token := last[end - 1])
+            end -= len(tokens[token])
+        out.reverse()
+        return out
 
     def encode_piece(self, piece: bytes) -> list[int]:
         return self.walk([] if piece in self.ranks else self.extend([], piece), piece)
