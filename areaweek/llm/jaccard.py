@@ -15,7 +15,9 @@ Equal sets are one class from the start. What is wanted is connectedness, so lis
 searched in rounds against few of their members: first the smallest, then eight drawn
 anew, sixteen and so on. Lists that lie in one component by then are done and are
 carried no further. Once all pairs of different components in the open lists are no more
-than the next round would make, these are searched in full. All members of a group draw
+than the next round would make, these are searched in full. Once, after the first round,
+the n-grams of the sets in open lists are counted that occur in another component: no
+partner shares more of them, so sets and pairs with too few are not searched. All members of a group draw
 alike, so a round makes few candidates per set however large the group. No list is
 collected in a task: lists stream in sorted order.
 """
@@ -140,6 +142,16 @@ def _unpack(data: bytes) -> np.ndarray:
     return wide.view(">i8").ravel().astype(np.int64)
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, id, root) of every member of the packed sets of rows (id, root, tokens)."""
+    for batch in batches:
+        for some in (batch.slice(at, 500) for at in range(0, len(batch), 500)):
+            members = [_unpack(t) for t in some.column("tokens").to_pylist()]
+            n = np.fromiter(map(len, members), np.int64, len(members))
+            columns = [np.concatenate(members), *[np.repeat(_column(some, c), n) for c in ("id", "root")]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "root"])
+
+
 def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token and then by set, those whose token has more than one set, each once, with the first set (p) of the token."""
     names = ["token", "n", "id"]
@@ -315,30 +327,46 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
     alike = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     need = lambda a, b: 1 + F.floor(F.least(a, b) / _EXTRA)
+    def open_lists(placed: DataFrame) -> DataFrame:
+        """The lists that hold sets of different components."""
+        still = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
+        return placed.join(still, "token", "left_semi")
+
+    def shared(placed: DataFrame) -> DataFrame:
+        """(id, c): how many n-grams of each of these sets occur in one of another component; no partner shares more. Equal upper bits count as equal."""
+        tokens = sets.join(placed.select("id", "root").distinct(), "id").select("id", "root", "tokens").mapInArrow(_one_by_one, "token long, id long, root long")
+        return open_lists(tokens).groupBy("id").agg(F.count("*").alias("c"))
+
     edges, pivots = links(found), _PIVOTS
     roots = components(edges)
+    posted, counted = posted.withColumn("c", F.col("n")), False
     while True:
-        placed = posted.join(roots, "id", "left").select("token", "n", "id", F.coalesce("component", "id").alias("root"))
-        still = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-        placed = stored(placed.join(still, "token", "left_semi"), "open")
+        placed = posted.join(roots, "id", "left").select("token", "n", "id", "c", F.coalesce("component", "id").alias("root"))
+        placed = stored(open_lists(placed), "open")
+        if not counted:
+            # Components only grow from here on, so these numbers stay upper bounds.
+            placed = placed.drop("c").join(stored(shared(placed), "shared"), "id").where(100 * F.col("c") >= percent * F.col("n"))
+            placed, counted = stored(open_lists(placed.select("token", "n", "id", "c", "root")), "open"), True
         parts = placed.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
         n_open, open_pairs = parts.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()
         if not n_open:
             break
         full = open_pairs <= pivots * n_open or pivots > _MOST_PIVOTS
-        partner = placed.select("token", F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("root").alias("root2"))
+        partner = placed.select("token", F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("root").alias("root2"))
         if not full:
-            # All lists of a group draw the same members, which are thus met in enough of the lists.
-            drawn = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(pivots), "id2"), "id2")
+            # All lists of a group draw the same members, which are thus met in enough of the lists: first those with the fewest n-grams of their own.
+            own = (F.col("n2") - F.col("c2")) / F.col("n2") if pivots == _PIVOTS else F.lit(0.0)
+            drawn = Window.partitionBy("token").orderBy(own, F.xxhash64(F.lit(pivots), "id2"), "id2")
             partner = partner.withColumn("drawn", F.row_number().over(drawn)).where(F.col("drawn") <= pivots).drop("drawn")
-        met = placed.join(partner, "token").where((F.col("root") < F.col("root2") if full else F.col("root") != F.col("root2")) & alike(F.col("n"), F.col("n2")))
+        enough = (100 + percent) * F.least("c", "c2") >= percent * (F.col("n") + F.col("n2"))
+        met = placed.join(partner, "token").where((F.col("root") < F.col("root2") if full else F.col("root") != F.col("root2")) & alike(F.col("n"), F.col("n2")) & enough)
         candidates = met.select(F.col("id").alias("q"), "token", F.col("id2").alias("r"), need(F.col("n"), F.col("n2")).alias("need"))
         found = stored(candidates.repartition("q").sortWithinPartitions("q", "token", "r").mapInArrow(_search, "q long, r long"), "candidates")
         edges = edges.unionByName(links(found))
         roots = components(edges)
         if full:
             break
-        posted, pivots = placed.select("token", "n", "id"), 2 * pivots
+        posted, pivots = placed.select("token", "n", "id", "c"), 2 * pivots
     whole = sizes.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id"))
     smallest = whole.where("root is not null").groupBy("root").agg(F.min("doc").alias("smallest"))
     return whole.select("doc", "n", "id", "root").join(smallest, "root", "left").select(

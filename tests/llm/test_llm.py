@@ -188,6 +188,17 @@ def test_bpe_equals_library(spark, sample, tokenizer):
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == want and r.n == len(want) and bytes(r.back).decode() == (r.text or "")
 
 
+def test_sets_that_share_too_little_leave_the_search(spark, monkeypatch):
+    rng = random.Random(6)
+    passage = prose(rng, 75)
+    rows = [(i, " ".join([passage, *(f"{i}x{k}" for k in range(25))]), "en", "a") for i in range(60)]  # 71 of 96 shingles are common: too few for any link
+    labels = []
+    monkeypatch.setattr(jaccard, "stored", lambda df, label, f=jaccard.stored: labels.append(label) or f(df, label))
+    got = jaccard.join(documents(spark, rows)).collect()
+    assert sorted(r.id for r in got) == list(range(60)) and all(r.component == r.id for r in got)
+    assert "open" in labels and "candidates" not in labels
+
+
 def test_encoding_and_decoding_take_one_python_worker_a_task(spark, sample, tmp_path):
     documents(spark, sample).write.parquet(f"{tmp_path}/documents.parquet")
     stage = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
