@@ -14,20 +14,23 @@ import base64
 import re
 import sys
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MULTI_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces of at most this many characters are remembered, so many bytes of them per worker in each of two generations, and so many pairs.
-_KEEP_CHARS, _KEEP_BYTES, _KEEP_PAIRS = 128, 24 << 20, 1 << 18
+_KEEP_CHARS, _KEEP_BYTES, _KEEP_PAIRS = 128, 32 << 20, 1 << 18
+#: Texts that are Python objects at once; what is made of them goes back to Arrow before the next ones.
+_RUN = 256
 #: What an entry takes besides its characters and ids: two objects and their place in the table.
 _ENTRY_BYTES = 200
 #: A later character changes at most this many of the last pieces ("'v" + "e").
@@ -41,13 +44,14 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = dict(zip(self.ranks.values(), self.ranks))
-        self.longest = max(map(len, self.ranks))
+        self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
+        self.longest = max(self.sizes.values())
         self._alone: dict[int, bool] = {}
         self._spines: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
-        self._pairs: dict[int, bool] = {}
+        self.after = _Followers(self)
         matcher = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
-            matcher.add_word(token.decode("latin-1"), (rank, len(token)))
+            matcher.add_word(token.decode("latin-1"), (rank, -len(token)))
         matcher.make_automaton()
         self.found = matcher.iter
         self.pieces = _Pieces(self)
@@ -105,21 +109,15 @@ class Vocabulary:
 
     def extend(self, last: list[int], piece: bytes) -> list[int]:
         """Complete ``last``, the last tokens of the first prefixes, to all prefixes of ``piece``."""
-        pairs, known = self._pairs, len(last)
-        get, append = pairs.get, last.append
-        skip = max(0, known - self.longest)
-        want, before = known - skip, skip + 1
-        for end, (token, size) in self.found(piece[skip:].decode("latin-1")):
-            if end != want:
-                continue
-            if at := end + before - size:
-                key = last[at - 1] << 32 | token
-                if (fits := get(key)) is None:
-                    fits = pairs[key] = self.alone(token) and self.pair(key >> 32, token)
-            else:
-                fits = self.alone(token)
-            if fits:
+        skip = max(0, len(last) - self.longest)
+        want, after, append = len(last) - skip, self.after, last.append
+        # What may follow each prefix, the longest one last: a token of n bytes that ends at the next byte follows the n-th from the end.
+        rows = [after[token] for token in (last[skip - 1 :] if skip else (None, *last))]
+        push = rows.append
+        for end, (token, back) in self.found(piece[skip:].decode("latin-1")):
+            if end == want and rows[back][token]:
                 append(token)
+                push(after[token])
                 want += 1
         return last
 
@@ -127,10 +125,10 @@ class Vocabulary:
         """The encoding that a full table of last tokens stands for."""
         if (token := self.ranks.get(piece)) is not None:
             return [token]  # a piece that is a token is that token, even if no merges lead to it
-        out, end, tokens = [], len(last), self.tokens
+        out, end, sizes = [], len(last), self.sizes
         while end:
             out.append(token := last[end - 1])
-            end -= len(tokens[token])
+            end -= sizes[token]
         out.reverse()
         return out
 
@@ -139,8 +137,9 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self._pairs) > _KEEP_PAIRS:
-            self._pairs.clear()
+        if self.after.held > _KEEP_PAIRS:
+            self.after.clear()
+            self.after.held = 0
         return b"".join(map(self.pieces.__getitem__, split(text)))
 
     def decode(self, ids: bytes) -> bytes:
@@ -154,6 +153,30 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class _Followers(dict):
+    """Token, or None at the start of a piece -> what may follow it, filled on demand."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.held = vocabulary, 0
+
+    def __missing__(self, left: int | None) -> _Verdicts:
+        self[left] = verdicts = _Verdicts()
+        verdicts.followers, verdicts.left = self, left
+        return verdicts
+
+
+class _Verdicts(dict):
+    """Token -> whether it stays one token and the merges leave it beside the one before."""
+
+    __slots__ = ("followers", "left")
+
+    def __missing__(self, token: int) -> bool:
+        known = self.followers.vocabulary
+        self[token] = fits = known.alone(token) and (self.left is None or known.pair(self.left, token))
+        self.followers.held += 1
+        return fits
+
+
 class _Pieces(dict):
     """Packed ids of pieces, filled on demand, in two generations of bounded size: pieces still in use move to the younger one."""
 
@@ -161,8 +184,7 @@ class _Pieces(dict):
         self.vocabulary, self.older, self.held = vocabulary, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
+        if (ids := self.older.get(piece)) is None:
             ids = _packed(self.vocabulary.encode_piece(piece.encode()))
         if len(piece) <= _KEEP_CHARS:
             if self.held > _KEEP_BYTES:
@@ -241,6 +263,41 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _in_runs(values: pa.Array) -> Iterator:
+    """The values as Python objects, a few at a time: a whole batch is never held as such."""
+    for at in range(0, len(values), _RUN):
+        yield from values.slice(at, _RUN).to_pylist()
+
+
+class _Bytes:
+    """A binary array that grows in one buffer."""
+
+    def __init__(self) -> None:
+        self.data, self.ends = bytearray(), array.array("i", [0])
+
+    def add(self, value: bytes) -> bytes:
+        self.data += value
+        self.ends.append(len(self.data))
+        return value
+
+    def done(self) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(self.ends) - 1, [None, pa.py_buffer(self.ends), pa.py_buffer(self.data)])
+
+
+def _mapped(run: Callable[..., bytes], values: pa.Array) -> pa.Array:
+    out = _Bytes()
+    for value in _in_runs(values):
+        out.add(run(value))
+    return out.done()
+
+
+def _both(known: Vocabulary, texts: pa.Array) -> pa.Array:
+    ids, decoded = _Bytes(), _Bytes()
+    for text in _in_runs(texts):
+        decoded.add(known.decode(ids.add(known.encode(text))))
+    return pa.StructArray.from_arrays([ids.done(), decoded.done()], names=["ids", "decoded"])
+
+
 def encode(text: Column, path: str = MULTI_50K) -> Column:
     """Ids of a text column, packed as little-endian unsigned 32-bit integers.
 
@@ -248,9 +305,9 @@ def encode(text: Column, path: str = MULTI_50K) -> Column:
     Null and empty texts have no ids. ``path`` must be readable on every executor.
     """
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(vocabulary(path).encode)
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        return _mapped(vocabulary(path).encode, texts)
 
     return packed(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -258,9 +315,9 @@ def encode(text: Column, path: str = MULTI_50K) -> Column:
 def decode(ids: Column, path: str = MULTI_50K) -> Column:
     """The bytes that packed ids stand for; null and empty ids give no bytes."""
 
-    @F.pandas_udf("binary")
-    def unpacked(packed: pd.Series) -> pd.Series:
-        return packed.map(vocabulary(path).decode)
+    @F.arrow_udf("binary")
+    def unpacked(packed: pa.Array) -> pa.Array:
+        return _mapped(vocabulary(path).decode, packed)
 
     return unpacked(F.coalesce(ids, F.lit(b"")))
 
@@ -272,11 +329,9 @@ def round_trip(text: Column, path: str = MULTI_50K) -> Column:
     one made of the other, would take two.
     """
 
-    @F.pandas_udf("ids binary, decoded binary")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        known = vocabulary(path)
-        ids = texts.map(known.encode)
-        return pd.DataFrame({"ids": ids, "decoded": ids.map(known.decode)})
+    @F.arrow_udf("ids binary, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        return _both(vocabulary(path), texts)
 
     return both(F.coalesce(text.cast("string"), F.lit("")))
 

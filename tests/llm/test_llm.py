@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -413,3 +414,36 @@ def test_crowded_lines_of_one_character_and_longer_ones(spark):
     rows = list(enumerate(longer[:4] + same + longer[4:], 1))
     got = {r.doc_id: r.n_removed for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", "n_removed").collect()}
     assert got == {i: int(any(distance(a, b) <= 1 for j, b in rows if j < i)) for i, a in rows}
+
+
+def test_a_batch_of_texts_is_encoded_in_runs(tokenizer, monkeypatch):
+    """Few texts of a batch are Python objects at once, and what is made of them is not held twice."""
+    monkeypatch.setattr(bpe, "_RUN", 3)
+    texts = ["", "one", "äö 12", "x y", "ñ", "字 😀", "end"]
+    for n in (7, 3, 1, 0):
+        got = bpe._both(tokenizer[0], pa.array(["left out", *texts[:n]], pa.string()).slice(1)).to_pylist()
+        assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [tokenizer[1].encode_ordinary(t) for t in texts[:n]]
+        assert [r["decoded"].decode() for r in got] == texts[:n]
+        assert bpe._mapped(str.encode, pa.array(texts[:n], pa.string())).to_pylist() == [t.encode() for t in texts[:n]]
+    seen = []
+    monkeypatch.setattr(pa, "py_buffer", lambda data, f=pa.py_buffer: seen.append(data) or f(data))
+    bpe._mapped(str.encode, pa.array(texts))
+    assert len(seen) == 2 and len(seen[1]) == sum(len(t.encode()) for t in texts)
+
+
+def test_verdicts_are_kept_by_the_token_before(tokenizer, monkeypatch):
+    known = bpe.Vocabulary(bpe.MULTI_50K)
+    monkeypatch.setattr(bpe, "_KEEP_PAIRS", 40)
+    rng = random.Random(9)
+    for _ in range(30):
+        text = prose(rng, 20)
+        assert np.frombuffer(known.encode(text), "<u4").tolist() == tokenizer[1].encode_ordinary(text)
+        assert known.after.held == sum(map(len, known.after.values()))
+
+
+def test_each_batch_of_the_counts_is_one_scan(spark, sample, tmp_path, monkeypatch):
+    documents(spark, sample).write.parquet(f"{tmp_path}/documents.parquet")
+    scans = []
+    monkeypatch.setattr(counts, "commit", lambda df, *a, f=counts.commit: scans.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan")) or f(df, *a))
+    queries.op6_token_counts(spark, str(tmp_path))
+    assert scans == [1, 1, 1, 1]
