@@ -83,14 +83,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing. The totals are those of the table as it stands.
     """
     root, docs = work_path(spark, "counts"), table(spark, sf_dir, "documents")
-    rows = lambda df, op, seq: df.select(F.lit(op).alias("op"), F.col("doc_id").alias("id"), "text", "source", "lang", F.lit(seq).alias("seq"))
-    early = {"text": F.expr("left(text, length(text) div 2)"), "source": F.concat(F.lit("early-"), F.coalesce("source", F.lit("")))}
-    revised, dropped, plain = docs.where(_share(0)), docs.where(_share(1)), docs.where(_share(2))
-    no_text = dropped.withColumn("text", F.lit(None).cast("string"))
+    revised, dropped = _share(0), _share(1)
+
+    def rows(of: Column, op: Column, text: Column, source: Column, seq: Column) -> DataFrame:
+        """One scan for all changes of a batch."""
+        return docs.where(of).select(op.alias("op"), F.col("doc_id").alias("id"), text.alias("text"), source.alias("source"), "lang", seq.alias("seq"))
+
+    put, text, source = F.lit("put"), F.col("text"), F.col("source")
+    half, early = F.expr("left(text, length(text) div 2)"), F.concat(F.lit("early-"), F.coalesce("source", F.lit("")))
     batches = {
-        "load": rows(revised.withColumns(early), "put", 1).unionByName(rows(dropped, "put", 1)).unionByName(rows(plain, "put", 1)),
-        "change": rows(revised, "put", 2).unionByName(rows(no_text, "delete", 2)),
-        "back": rows(dropped, "put", 3).unionByName(rows(revised.withColumn("text", F.lit("stale")), "put", 1)),
+        "load": rows(F.lit(True), put, F.when(revised, half).otherwise(text), F.when(revised, early).otherwise(source), F.lit(1)),
+        "change": rows(revised | dropped, F.when(dropped, "delete").otherwise(put), F.when(revised, text), source, F.lit(2)),
+        "back": rows(revised | dropped, put, F.when(dropped, text).otherwise("stale"), source, F.when(dropped, 3).otherwise(1)),
     }
     for name, changes in batches.items():
         counts.commit(changes, root, name)
