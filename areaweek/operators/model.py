@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import gathered, one_wave
+from ..session import ROWS_PER_TASK, durable, gathered, one_wave
 from . import isotonic, metrics, scoring
 
 # Training defaults and the sweep grid.
@@ -27,6 +27,8 @@ DEFAULTS = {
 SWEEP = {"depth": (3, 4, 6), "rate": (0.03, 0.05), "positive_weight": ("auto", 1.0), "min_child": (5, 20)}
 #: Fits of a sweep that run at the same time; each keeps its own copy of the training rows in Spark's storage.
 SWEEP_PARALLELISM = 4
+#: Fewest pieces of the rows of a fit, which takes a shuffle over all pieces for each level of each tree.
+FIT_PIECES = 8
 
 
 @dataclass
@@ -38,6 +40,9 @@ class RiskModel:
 
 
 def as_vectors(frame: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add the vector column ``features``, unless the frame has it."""
+    if "features" in frame.columns:
+        return frame
     filled = frame.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(filled)
 
@@ -51,11 +56,21 @@ def positive_weight(folded: DataFrame, setting) -> float:
     return (row.n - positives) / positives
 
 
+def fit_pieces(rows: DataFrame) -> DataFrame:
+    """Rows of a fit, whole units to a piece and weeks in order, in as many pieces as the rows need.
+
+    The pieces decide which rows a tree samples. They follow from the rows alone, not
+    from the way these came or the size of the cluster.
+    """
+    pieces = max(FIT_PIECES, -(-rows.count() // ROWS_PER_TASK))
+    return rows.repartition(pieces, "lga_code").sortWithinPartitions("lga_code", "week_start")
+
+
 def fit_booster(folded: DataFrame, features: Sequence[str], **settings) -> GBTClassificationModel:
     """Boosting on the train fold; the valid fold stops it early."""
     s = {**DEFAULTS, **settings}
     weight = positive_weight(folded, s["positive_weight"])
-    rows = as_vectors(folded.where(F.col("fold").isin("train", "valid")), features).select(
+    rows = as_vectors(fit_pieces(folded.where(F.col("fold").isin("train", "valid"))), features).select(
         "features", F.col("label").cast("double").alias("label"), (F.col("fold") == "valid").alias("held_out"),
         F.when(F.col("label") == 1, weight).otherwise(1.0).alias("row_weight"),
     )
@@ -90,8 +105,9 @@ def score(model: RiskModel, frame: DataFrame) -> DataFrame:
 
 
 def train(folded: DataFrame, features: Sequence[str], **settings) -> RiskModel:
-    booster = fit_booster(folded, features, **settings)
-    valid = raw_scores(booster, one_wave(folded).where("fold = 'valid'"), features)
+    near = one_wave(folded)
+    booster = fit_booster(near, features, **settings)
+    valid = raw_scores(booster, near.where("fold = 'valid'"), features)
     return RiskModel(booster, fit_calibrator(valid), list(features), {**DEFAULTS, **settings})
 
 
@@ -115,9 +131,11 @@ def sweep(folded: DataFrame, features: Sequence[str], grid: dict[str, Sequence]
     ``SWEEP_PARALLELISM`` fits run at a time; all candidates are measured in one pass.
     """
     combinations = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
-    valid = one_wave(folded).where("fold = 'valid'")
+    # Vectors are made once for all candidates and written in the pieces of the fits.
+    placed = durable(fit_pieces(as_vectors(folded, features).select("lga_code", "week_start", "fold", "label", "features")))
+    valid = gathered(placed.where("fold = 'valid'"))
     with ThreadPool(min(SWEEP_PARALLELISM, len(combinations))) as pool:
-        fit = inheritable_thread_target(folded.sparkSession)(lambda settings: fit_booster(folded, features, trees=trees, **settings))
+        fit = inheritable_thread_target(folded.sparkSession)(lambda settings: fit_booster(placed, features, trees=trees, **settings))
         boosters = pool.map(fit, combinations, chunksize=1)
     scores = [long_scores(raw_scores(b, valid, features), {str(i): "raw"}) for i, b in enumerate(boosters)]
     measured = metrics.evaluate(gathered(reduce(DataFrame.unionByName, scores)))

@@ -28,7 +28,7 @@ def prepare(panel: DataFrame, train_end: str, valid_end: str, gate_sees_test: bo
     By default the gate sees nothing after the validation fold.
     """
     folded = durable(gate.temporal_split(panel, train_end, valid_end))
-    table = gate.feature_gate(gate.coverage(folded, feature_columns(panel), train_end, until=None if gate_sees_test else valid_end))
+    table = gate.feature_gate(gate.coverage(one_wave(folded), feature_columns(panel), train_end, until=None if gate_sees_test else valid_end))
     # One row per feature.
     kept = [r.feature for r in table.where("in_model").select("feature").collect()]
     return folded, [f for f in feature_columns(panel) if f in kept], table
@@ -36,12 +36,12 @@ def prepare(panel: DataFrame, train_end: str, valid_end: str, gate_sees_test: bo
 
 def train_run(panel: DataFrame, run_id: str, train_end: str, valid_end: str, **settings) -> TrainedRun:
     folded, features, coverage = prepare(panel, train_end, valid_end)
-    gate.require_trainable(folded)
-    # Fits read the panel in its own pieces, since those decide which rows a tree samples.
-    near = one_wave(folded)
-    full = model.train(folded, features, **settings)
+    # In the pieces of the fits, few enough for all that follows.
+    near = durable(model.fit_pieces(folded))
+    gate.require_trainable(near)
+    full = model.train(near, features, **settings)
     reduced_features = metrics.without_point_process(features)
-    reduced = model.fit_booster(folded, reduced_features, **settings) if reduced_features != features else full.booster
+    reduced = model.fit_booster(near, reduced_features, **settings) if reduced_features != features else full.booster
     valid = model.score(full, near.where("fold = 'valid'"))
     return TrainedRun(
         run_id, full, durable(scoring.tier_cut_points(valid)), model.compare(near, full, reduced, reduced_features), gate.describe_split(near), coverage

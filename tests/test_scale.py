@@ -54,3 +54,24 @@ def test_sweep_fits_several_candidates_at_a_time(spark, monkeypatch):
     first, second = out.collect()
     assert (first.depth, first.trees, first.roc_auc, first.recall_at_20) == ("4", 40, 1.0, 1.0)
     assert (second.depth, second.trees, second.roc_auc, second.recall_at_20) == ("3", 30, 0.0, 0.0)
+
+
+def _panel(spark, pieces):
+    days = [dt.date(2000, 1, 3) + dt.timedelta(days=7 * i) for i in range(40)]
+    rows = [(f"U{u}", d, "valid" if i >= 30 else "train", float((u * 7 + i * 3) % 11), float((u * i) % 5), int((u * 7 + i * 3) % 11 > 6 or (u + i) % 9 == 0)) for u in range(20) for i, d in enumerate(days)]
+    return spark.createDataFrame(rows, "lga_code string, week_start date, fold string, a double, b double, label int").repartition(pieces)
+
+
+def test_a_fit_has_few_pieces_and_the_same_trees_however_its_rows_come(spark):
+    placed = md.fit_pieces(_panel(spark, 60))
+    assert placed.rdd.getNumPartitions() == md.FIT_PIECES and placed.count() == 800
+    trees = [md.fit_booster(_panel(spark, n), ["a", "b"], trees=2, depth=3, min_child=2).toDebugString.split("\n", 1)[1] for n in (3, 60)]
+    assert trees[0] == trees[1]
+
+
+def test_a_sweep_makes_its_vectors_once(spark, monkeypatch):
+    seen = []
+    assembled = md.VectorAssembler.transform
+    monkeypatch.setattr(md.VectorAssembler, "transform", lambda self, rows: seen.append(self.getInputCols()) or assembled(self, rows))
+    out = md.sweep(_panel(spark, 6), ["a", "b"], grid={"depth": (2, 3), "min_child": (2,)}, trees=2)
+    assert out.count() == 2 and seen == [["a", "b"]]
