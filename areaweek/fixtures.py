@@ -181,10 +181,15 @@ class Domain:
     @property
     def sentences(self) -> DataFrame:
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        return (
-            spread(self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
-            .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        # Orders meet their places first, so that the many lines are dealt once.
+        placed = (
+            self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
             .join(self.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("o_orderkey", "o_totalprice", "n_name", "r_name")
+        )
+        return (
+            spread(self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+            .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
             .selectExpr(*_columns(SENTENCE_SQL))
         )

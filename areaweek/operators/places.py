@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import durable
+from ..session import durable, stored
+from .panel import broadcast_within
 from .ranking import top_in_group
 
 # Confidences, shortest surface, direction words and extra state names.
@@ -30,6 +31,8 @@ UNITS_KEPT = 5
 
 #: Bits of a table of hashes; a crowded table lets more n-grams through to the join and changes no result.
 TABLE_BITS = 1 << 16
+#: Most surfaces or units that are sent to the tasks; more meet the mentions over a shuffle.
+NAMES_SENT = 100_000
 _WORD, _PIECE = r"[a-z0-9]++", r"[a-z0-9]++[^a-z0-9]*+"
 
 
@@ -59,6 +62,11 @@ def state_surfaces(registry: DataFrame) -> DataFrame:
     return names.unionByName(extra).groupBy("surface").agg(F.min_by("state_name", "p").alias("state_name"))
 
 
+def _sent(names: DataFrame) -> DataFrame:
+    """A table of names, broadcast after its rows are counted, so that mentions need not be dealt by name."""
+    return broadcast_within(names, names.count(), NAMES_SENT)
+
+
 def _slot(value) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(TABLE_BITS))
 
@@ -70,7 +78,7 @@ class NameIndex:
         core = r"[a-z0-9](?:.*[a-z0-9])?"
         found = surfaces.select("surface").distinct().withColumn("core", F.regexp_extract("surface", core, 0)).where("core <> ''")
         # What stands outside the core, at most a separator at either end, must match too.
-        self.surfaces = found.withColumns({"lead": F.regexp_extract("surface", r"^[^a-z0-9]*", 0), "tail": F.regexp_extract("surface", r"[^a-z0-9]*$", 0)})
+        self.surfaces = _sent(found).withColumns({"lead": F.regexp_extract("surface", r"^[^a-z0-9]*", 0), "tail": F.regexp_extract("surface", r"[^a-z0-9]*$", 0)})
         first, words = F.regexp_extract("core", _WORD, 0), F.size(F.regexp_extract_all("core", F.lit(_WORD), 0))
         slots = found.select(words.alias("words"), F.explode(F.array(F.struct(F.lit(0).alias("table"), _slot(first).alias("at")), F.struct(F.lit(1).alias("table"), _slot("core").alias("at")))).alias("s"))
         long = slots.groupBy("s.table", F.expr("s.at div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s.at % 64 as int))")).alias("bits"), F.collect_set("words").alias("words"))
@@ -128,12 +136,12 @@ def all_mentions(texts: DataFrame, registry: DataFrame, text_id: str = "text_id"
     index = NameIndex(all_surfaces(registry))
     if not index.lengths:
         return texts.select(text_id, F.lit("").alias("surface")).limit(0)
-    return durable(index.hits(texts, text_id, normalised))
+    return stored(index.hits(texts, text_id, normalised))
 
 
 def find_states(seen: DataFrame, registry: DataFrame, text_id: str = "text_id") -> DataFrame:
     """States named in each text."""
-    return seen.join(state_surfaces(registry), "surface").select(text_id, "state_name").distinct()
+    return seen.join(_sent(state_surfaces(registry)), "surface").select(text_id, "state_name").distinct()
 
 
 def resolve_units(seen: DataFrame, registry: DataFrame, text_id: str = "text_id", k: int = UNITS_KEPT) -> DataFrame:
@@ -143,14 +151,18 @@ def resolve_units(seen: DataFrame, registry: DataFrame, text_id: str = "text_id"
     """
     names = gazetteer(registry)
     holders = names.groupBy("surface").agg(F.count(F.lit(1)).alias("n_units"))
-    candidates = seen.join(names.join(holders, "surface"), "surface")
+    held = _sent(names.join(holders, "surface"))
     shared = F.col("n_units") > 1
-    sole = candidates.where(~shared).select(text_id, "lga_code", F.lit(UNIQUE_CONFIDENCE).alias("confidence"))
-    # Only surfaces shared by several units need the states of the text.
-    states = seen.join(state_surfaces(registry), "surface").select(text_id, "state_name").repartition(text_id).distinct().withColumn("named", F.lit(1))
+    sole = seen.join(held.where(~shared), "surface").select(text_id, "lga_code", F.lit(UNIQUE_CONFIDENCE).alias("confidence"))
     # A text counts once for each unit that holds a name, however often it says the name; texts without an id cannot be told apart.
-    said = seen.where(F.col(text_id).isNotNull()).join(holders.where(shared), "surface").repartition(text_id).distinct()
-    placed = said.join(names, "surface").join(states, [text_id, "state_name"], "left")
+    known = seen.where(F.col(text_id).isNotNull())
+    said = known.join(_sent(holders.where(shared)), "surface").select(text_id, "surface").repartition(text_id).distinct()
+    # Only surfaces shared by several units need the states of the text. They come as one row per text: a join by
+    # text and state would deal all rows anew.
+    states = known.join(_sent(state_surfaces(registry)), "surface").select(text_id, "state_name").repartition(text_id)
+    states = states.groupBy(text_id).agg(F.collect_set("state_name").alias("_states"))
+    named = F.when(F.array_contains("_states", F.col("state_name")), 1)
+    placed = said.join(states, text_id, "left").join(held.where(shared), "surface").withColumn("named", named)
     n_named = F.count("named").over(Window.partitionBy(text_id, "surface"))
     rated = placed.withColumn("n_named", n_named).where((F.col("n_named") != 1) | F.col("named").isNotNull()).select(
         text_id, "lga_code",
@@ -183,14 +195,15 @@ def extract_facts(texts: DataFrame, registry: DataFrame, text_id: str = "text_id
     facts = text_facts(texts, text)
     added = [c for c in facts.columns if c not in texts.columns and c != "norm"]
     kept = list(dict.fromkeys([text_id, *(texts.columns if keep is None else keep)]))
-    rows = durable(facts.select(*kept, *added, F.col("norm").alias("_norm")))
-    seen = durable(index.hits(rows, text_id, "_norm"))
+    rows = stored(facts.select(*kept, *added, F.col("norm").alias("_norm")))
+    seen = stored(index.hits(rows, text_id, "_norm"))
     units = resolve_units(seen, registry, text_id).groupBy(text_id).agg(
         F.array_sort(F.collect_list(F.struct("place_rank", "lga_code", "confidence"))).alias("_u")
     )
     states = find_states(seen, registry, text_id).groupBy(text_id).agg(F.array_sort(F.collect_set("state_name")).alias("states"))
-    places = units.join(states, text_id, "full").select(text_id, F.col("_u.lga_code").alias("lga_codes"), F.col("_u")[0]["confidence"].alias("confidence"), "states")
+    units = units.select(text_id, F.col("_u.lga_code").alias("lga_codes"), F.col("_u")[0]["confidence"].alias("confidence"))
     none = F.array().cast("array<string>")
-    return rows.drop("_norm").join(places, text_id, "left").withColumns(
+    # One after the other, all by text: what a full join of the two returns would be dealt again.
+    return rows.drop("_norm").join(units, text_id, "left").join(states, text_id, "left").withColumns(
         {"lga_codes": F.coalesce("lga_codes", none), "states": F.coalesce("states", none), "confidence": F.coalesce("confidence", F.lit(0.0))}
     )

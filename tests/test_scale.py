@@ -1,14 +1,17 @@
 """Work that must not grow with the number of pieces a small table comes in."""
 
 import datetime as dt
+import re
 import threading
 
 from pyspark.sql import functions as F
 
+from areaweek.fixtures import Domain
 from areaweek.operators import gate
 from areaweek.operators import model as md
+from areaweek.operators import places as pl
 from areaweek.plans import runs
-from areaweek.session import gathered
+from areaweek.session import gathered, stored
 
 
 def test_gathered_keeps_all_rows_in_one_wave_of_tasks(spark):
@@ -75,3 +78,51 @@ def test_a_sweep_makes_its_vectors_once(spark, monkeypatch):
     monkeypatch.setattr(md.VectorAssembler, "transform", lambda self, rows: seen.append(self.getInputCols()) or assembled(self, rows))
     out = md.sweep(_panel(spark, 6), ["a", "b"], grid={"depth": (2, 3), "min_child": (2,)}, trees=2)
     assert out.count() == 2 and seen == [["a", "b"]]
+
+
+def _names(spark):
+    return spark.createDataFrame([("A", "Obira", "Lomo"), ("B", "Obira", "Kede"), ("C", "Danko", "Lomo")], "lga_code string, lga_name string, state_name string")
+
+
+def test_mentions_are_dealt_by_text_alone(spark):
+    said = [("t", "obira"), ("t", "lomo"), ("u", "obira"), ("u", "danko"), (None, "danko"), (None, "obira"), ("v", "lomo"), ("w", "obira"), ("w", "lomo"), ("w", "kede")]
+    found = pl.resolve_units(spark.createDataFrame(said, "text_id string, surface string"), _names(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin [surface") >= 3 and not re.search(r"SortMergeJoin \[text_id#\d+, state_name", plan)
+    want = {("t", "A", 0.9), ("u", "A", 0.25), ("u", "B", 0.25), ("u", "C", 0.95), (None, "C", 0.95), ("w", "A", 0.25), ("w", "B", 0.25)}
+    assert {(r.text_id, r.lga_code, r.confidence) for r in found.collect()} == want
+
+
+def test_many_names_meet_the_mentions_over_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(pl, "NAMES_SENT", 0)
+    texts = spark.createDataFrame([("t", "obira in lomo"), ("u", "danko"), ("v", None)], "text_id string, norm string")
+    found = pl.resolve_units(pl.all_mentions(texts, _names(spark)), _names(spark))
+    assert {(r.text_id, r.lga_code, r.confidence) for r in found.collect()} == {("t", "A", 0.9), ("u", "C", 0.95)}
+
+
+def test_facts_are_joined_with_their_places_by_text_once(spark):
+    texts = spark.createDataFrame([("t", "Obira in Lomo"), ("t", "nothing"), ("s", "Kede"), (None, "Danko"), ("e", None)], "text_id string, text string")
+    found = pl.extract_facts(texts, _names(spark))
+    assert "coalesce(text_id" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r.text_id, r.text, r.lga_codes, r.states, r.confidence) for r in found.collect()), key=str)
+    assert got == sorted([("t", "Obira in Lomo", ["A"], ["Lomo"], 0.9), ("t", "nothing", ["A"], ["Lomo"], 0.9), ("s", "Kede", [], ["Kede"], 0.0), (None, "Danko", [], [], 0.0), ("e", None, [], [], 0.0)], key=str)
+
+
+def test_stored_rows_come_back_as_they_are(spark):
+    rows = spark.createDataFrame([(1, ["a", None], None, dt.date(1500, 1, 2), float("nan")), (None, [], "\u00e9", None, -0.0)], "i long, w array<string>, s string, d date, x double")
+    assert sorted(map(repr, stored(rows).collect())) == sorted(map(repr, rows.collect())) and stored(rows).dtypes == rows.dtypes
+    assert stored(rows.limit(0)).count() == 0
+
+
+def test_order_lines_are_dealt_once(spark, tmp_path):
+    tables = {
+        "region": ([(1, "ASIA")], "r_regionkey int, r_name string"), "nation": ([(7, "INDIA", 1), (8, "JAPAN", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(1, 7), (2, 8)], "c_custkey long, c_nationkey int"), "orders": ([(10, 1, 5.5), (12, 2, 7.0), (14, 3, 1.0)], "o_orderkey long, o_custkey long, o_totalprice double"),
+        "lineitem": ([(10, 1, 1, 1, 2.0, 3.0), (10, 1, 1, 1, 2.0, 3.0), (12, 4, 5, 2, 2.0, 3.0), (14, 1, 1, 1, 2.0, 3.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = Domain(spark, str(tmp_path)).sentences
+    joins = [line for line in lines._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert "l_orderkey" in joins[0]
+    assert sorted(r.text[:20] for r in lines.collect()) == ["Gunmen killed 1 peop", "Gunmen killed 1 peop", "The abducted student"]
